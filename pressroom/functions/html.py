@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .jsonld import pick_article
-from .text import col, trim_space
+from .text import col, let_sql, trim_space, trim_sql
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -230,19 +230,25 @@ def page_outline(html: Column | str, fields_only: bool = True) -> Column:
     return _outline_udf(fields_only)(col(html))
 
 
+def _attr(element: str, key: str) -> str:
+    return f"coalesce({trim_sql(f'try_element_at({element}.attrs, {_quoted(key.lower())})')}, '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def attr(element: Column, key: str) -> Column:
     """Attribute value, trimmed; '' when the element or the attribute is missing. Names are stored in lower case."""
-    return F.coalesce(trim_space(F.try_element_at(element["attrs"], F.lit(key.lower()))), F.lit(""))
+    return let_sql(element, "e", _attr("e", key))
 
 
 def find_element(elements: Column, tag: str = "", key: str = "", value: str = "") -> Column:
     """First element in document order with the tag (if given) and the exact attribute value (if a key is given)."""
-
-    def match(e: Column) -> Column:
-        hit = F.lit(True) if not tag else e["tag"] == tag
-        return hit & (attr(e, key) == value) if key else hit
-
-    return F.try_element_at(F.filter(elements, match), F.lit(1))
+    tests = [f"e.tag = {_quoted(tag)}"] if tag else []
+    tests += [f"{_attr('e', key)} = {_quoted(value)}"] if key else []
+    found = F.call_function("filter", elements, F.expr(f"e -> {' and '.join(tests) or 'true'}"))
+    return F.get(found, F.lit(0))
 
 
 def meta(elements: Column, key: str, value: str) -> Column:

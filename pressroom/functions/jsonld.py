@@ -8,8 +8,9 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .text import col, first_nonblank, let, trim_space
+from .text import col, let, let_sql, trim_sql
 
 # The types that describe a news article.
 ARTICLE_TYPES = frozenset(("NewsArticle", "Article", "ReportageNewsArticle"))
@@ -44,108 +45,113 @@ def pick_article(scripts: Iterable[str | None]) -> str | None:
     return None
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def jsonld_article(scripts: pa.Array) -> pa.Array:
     """The article object among a page's JSON-LD scripts (ARRAY<STRING>), as JSON text."""
     return pa.array([pick_article(texts or ()) for texts in scripts.to_pylist()], type=pa.string())
 
 
-def _get(value: Column, key: str) -> Column:
-    return F.try_variant_get(value, f"$['{key}']", "variant")
+# Fields are written as SQL text, since the readers nest: a Column expression would cost one JVM call per operator.
 
 
-def plain_number(number: Column) -> Column:
-    """Shortest decimal form: plain for exponents from -4 to 5, otherwise ``d.ddde+XX``."""
-    return let(number, _plain_number)
-
-
-def _plain_number(number: Column) -> Column:
-    text = F.abs(number).cast("string")
-    mantissa = F.substring_index(text, "E", 1)
-    whole = F.substring_index(mantissa, ".", 1)
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"0+\z", "")
-    power = F.when(text.contains("E"), F.substring_index(text, "E", -1).cast("int")).otherwise(F.length(whole) - 1)
-    scientific = F.concat(
-        F.regexp_replace(digits, r"\A(.)(.+)", "$1.$2"),
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.regexp_replace(F.abs(power).cast("string"), r"\A(.)\z", "0$1"),
-    )
-    plain = F.regexp_replace(F.abs(number).try_cast("decimal(38,24)").cast("string"), r"\.?0+\z", "")
-    shown = F.when((F.abs(number) >= 1e-4) & (F.abs(number) < 1e6), plain).otherwise(scientific)
-    return F.when(number == 0, F.lit("0")).otherwise(F.concat(F.when(number < 0, F.lit("-")).otherwise(F.lit("")), shown))
+def _get(value: str, key: str) -> str:
+    return f"try_variant_get({value}, \"$['{key}']\", 'variant')"
 
 
-def as_string(value: Column) -> Column:
-    """A string, trimmed; a number, printed; '' for anything else.
+def _let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    The type is checked first, since casting a VARIANT object to STRING gives its JSON text.
-    """
-    return let(value, _as_string)
+
+def _is(value: str, *kinds: str) -> str:
+    return f"coalesce(schema_of_variant({value}) rlike '^({'|'.join(kinds)})', false)"
 
 
-def _as_string(value: Column) -> Column:
-    number = F.try_variant_get(value, "$", "double")
+def _items(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'array<variant>')"
+
+
+def _joined(names: str) -> str:
+    return f"array_join(filter({names}, n -> n != ''), ', ')"
+
+
+def _plain_number(value: str) -> str:
+    """Shortest decimal form: plain for exponents from -4 to 5, otherwise ``d.ddde+XX``."""
+    mantissa = "substring_index(cast(abs(x) as string), 'E', 1)"
+    digits = rf"regexp_replace(replace({mantissa}, '.', ''), '0+$', '')"
+    power = (
+        "if(contains(cast(x as string), 'E'), cast(substring_index(cast(x as string), 'E', -1) as int), "
+        f"length(substring_index({mantissa}, '.', 1)) - 1)"
+    )
+    scientific = (
+        f"concat(regexp_replace({digits}, '^(.)(.+)', '$1.$2'), if({power} < 0, 'e-', 'e+'), "
+        f"regexp_replace(cast(abs({power}) as string), '^(.)$', '0$1'))"
+    )
+    plain = r"regexp_replace(cast(try_cast(abs(x) as decimal(38,24)) as string), '[.]?0+$', '')"
+    shown = f"concat(if(x < 0, '-', ''), if(abs(x) >= 1e-4D and abs(x) < 1e6D, {plain}, {scientific}))"
+    return _let(value, "x", f"if(x = 0, '0', {shown})")
+
+
+def _string(value: str) -> str:
+    text, number = f"try_variant_get({value}, '$', 'string')", f"try_variant_get({value}, '$', 'double')"
     return (
-        F.when(_is(value, "STRING"), trim_space(F.try_variant_get(value, "$", "string")))
-        .when(_is(value, "BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), plain_number(number))
-        .otherwise(F.lit(""))
+        f"case when {_is(value, 'STRING')} then {trim_sql(text)} "
+        f"when {_is(value, 'BIGINT', 'DOUBLE', 'FLOAT', 'DECIMAL')} then {_plain_number(number)} else '' end"
     )
 
 
-def _is(value: Column, *kinds: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).rlike(f"^({'|'.join(kinds)})"), F.lit(False))
+def _author(value: str, depth: int) -> str:
+    single = f"case when {_is(value, 'OBJECT')} then {_let(_get(value, 'name'), 'm', _string('m'))} else {_string(value)} end"
+    if depth == 0:
+        return single
+    entry = f"a{depth}"
+    names = f"transform({_items(value)}, {entry} -> {_author(entry, depth - 1)})"
+    return f"if({_is(value, 'ARRAY')}, {_joined(names)}, {single})"
 
 
-def _joined(names: Column) -> Column:
-    return F.array_join(F.filter(names, lambda n: n != ""), ", ")
+def _image(value: str, depth: int) -> str:
+    links = ", ".join(_let(_get(value, key), "m", _string("m")) for key in ("url", "contentUrl"))
+    single = (
+        f"case when {_is(value, 'OBJECT')} then coalesce(get(filter(array({links}), x -> x != ''), 0), '') "
+        f"when {_is(value, 'STRING')} then {_string(value)} else '' end"
+    )
+    if depth == 0:
+        return single
+    first = _let(f"try_variant_get({value}, '$[0]', 'variant')", f"i{depth}", _image(f"i{depth}", depth - 1))
+    return f"if({_is(value, 'ARRAY')}, coalesce({first}, ''), {single})"
 
 
-def _items(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+def as_string(value: Column) -> Column:
+    """A string, trimmed; a number, printed; '' for anything else.
+
+    The type is checked first, since casting a VARIANT object to STRING gives its JSON text.
+    """
+    return let_sql(value, "v", _string("v"))
 
 
 def author_name(value: Column, depth: int = 3) -> Column:
     """An object's name, a list of authors joined with ', ' (lists within lists up to ``depth``), or a string."""
-
-    def read(v: Column) -> Column:
-        single = F.when(_is(v, "OBJECT"), as_string(_get(v, "name"))).otherwise(as_string(v))
-        if depth == 0:
-            return single
-        names = F.transform(_items(v), lambda entry: author_name(entry, depth - 1))
-        return F.when(_is(v, "ARRAY"), _joined(names)).otherwise(single)
-
-    return let(value, read)
+    return let_sql(value, "v", _author("v", depth))
 
 
 def publisher_name(value: Column) -> Column:
     """An object's name; a plain string is not a publisher."""
-    return let(value, lambda v: F.when(_is(v, "OBJECT"), as_string(_get(v, "name"))).otherwise(F.lit("")))
+    return let_sql(value, "v", f"if({_is('v', 'OBJECT')}, {_let(_get('v', 'name'), 'm', _string('m'))}, '')")
 
 
 def image_value(value: Column, depth: int = 2) -> Column:
     """A string, an object's url or contentUrl, or the first entry of a list."""
-
-    def read(v: Column) -> Column:
-        nested = first_nonblank(as_string(_get(v, "url")), as_string(_get(v, "contentUrl")))
-        single = F.when(_is(v, "OBJECT"), nested).when(_is(v, "STRING"), as_string(v)).otherwise(F.lit(""))
-        if depth == 0:
-            return single
-        first = image_value(F.try_variant_get(v, "$[0]", "variant"), depth - 1)
-        return F.when(_is(v, "ARRAY"), F.coalesce(first, F.lit(""))).otherwise(single)
-
-    return let(value, read)
+    return let_sql(value, "v", _image("v", depth))
 
 
 def section_name(value: Column) -> Column:
     """A string, or a list joined with ', '."""
-    return let(
-        value, lambda v: F.when(_is(v, "ARRAY"), _joined(F.transform(_items(v), as_string))).otherwise(as_string(v))
-    )
+    entries = _joined(f"transform({_items('v')}, e -> {_string('e')})")
+    return let_sql(value, "v", f"if({_is('v', 'ARRAY')}, {entries}, {_string('v')})")
 
 
 def main_entity(value: Column) -> Column:
     """An object's @id, or a string."""
-    return let(value, lambda v: F.when(_is(v, "OBJECT"), as_string(_get(v, "@id"))).otherwise(as_string(v)))
+    return let_sql(value, "v", f"if({_is('v', 'OBJECT')}, {_let(_get('v', '@id'), 'm', _string('m'))}, {_string('v')})")
 
 
 def jsonld_fields(article_json: Column | str) -> Column:
@@ -153,7 +159,7 @@ def jsonld_fields(article_json: Column | str) -> Column:
 
     def read(doc: Column) -> Column:
         def field(name: str, reader=as_string) -> Column:
-            return F.coalesce(reader(_get(doc, name)), F.lit(""))
+            return F.coalesce(reader(F.try_variant_get(doc, f"$['{name}']", "variant")), F.lit(""))
 
         plain = ("headline", "url", "description", "articleBody", "datePublished", "dateModified")
         return F.struct(

@@ -31,6 +31,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_sql(value: Column, name: str, body: str) -> Column:
+    """:func:`let` with the body as SQL text: one call into the JVM, where a Column body costs one per operator."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), F.lit(0))
+
+
+_SPACE_LITERAL = "'" + "".join(f"\\u{ord(c):04x}" for c in UNICODE_SPACE) + "'"
+
+
+def trim_sql(text: str) -> str:
+    return f"btrim({text}, {_SPACE_LITERAL})"
+
+
 def trim_space(text: Column | str) -> Column:
     """Strip Unicode white space at both ends (Spark's plain trim only strips U+0020)."""
     return F.trim(col(text), F.lit(UNICODE_SPACE))
@@ -50,7 +62,8 @@ def word_count(text: Column | str) -> Column:
 
 def first_nonblank(*values: Column | str) -> Column:
     """First value that is not blank, trimmed; '' when all are blank."""
-    return F.coalesce(*[F.nullif(trim_space(v), F.lit("")) for v in values], F.lit(""))
+    trimmed = f"filter(transform(v, x -> {trim_sql('x')}), x -> x != '')"
+    return let_sql(F.array(*[col(v) for v in values]), "v", f"coalesce(get({trimmed}, 0), '')")
 
 
 def optional(text: Column | str) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import col, let, trim_space
 
@@ -107,7 +108,7 @@ def ascii_host(host: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.regexp_replace(host, r"\.\z", "")), rf"^({name})\z", 1), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def idna_ascii(hosts: pd.Series) -> pd.Series:
     """Internationalised host names to their ASCII form; NULL stays NULL and a name that breaks the rules becomes NULL."""
     try:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import parse_article_time
+from ..functions.dates import ARTICLE_TIME_FIELDS, parse_article_time
 from ..functions.html import attr, element_text, find_element, meta, page_outline
 from ..functions.jsonld import jsonld_fields
 from ..functions.text import (
@@ -17,21 +17,17 @@ from ..functions.text import (
     col,
     content_hash,
     first_nonblank,
+    let,
     optional,
     trim_space,
     word_count,
 )
 from ..functions.urls import resolve_url, url_parts
+from ..schemas import ARTICLE_COLUMNS
 
 # The page's own metadata names, in the order they are tried.
 DATE_METAS = ("dcterms.created", "dcterms.issued", "dcterms.available")
 
-ARTICLE_COLUMNS = (
-    "status", "source_url", "final_url", "canonical_url", "domain", "title", "author", "published_at", "modified_at",
-    "publication_time", "modification_time", "source", "section", "description", "image_url", "content", "word_count",
-    "content_hash", "robots_status", "fetched_at",
-)
-
 
 def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per element in document order: key, ordinal, parent, depth, tag, attrs and ``lo``/``hi``.
@@ -53,39 +49,52 @@ def first_element(elements: DataFrame, key: str, tag: str = "", name: str = "",
     return elements.filter(hit).groupBy(key).agg(F.min_by(row, "ordinal").alias("_first")).select(key, "_first.*")
 
 
-def pick_time(candidates: Sequence[tuple[Column, str]], last: tuple[Column, str] | None = None) -> Column:
-    """The first candidate (raw, source) whose date parses, else ``last`` if it parses, else the first that is not blank.
+def time_candidates(candidates: Sequence[tuple[Column, str]], last: tuple[Column, str] | None = None) -> Column:
+    """ARRAY of STRUCT(raw, source, fallback) in order; ``last`` counts only when its date parses."""
 
-    Written as an ArticleTime struct.
-    """
-    nothing = parse_article_time(F.lit(None).cast("string"))
-    parsed = F.array(*[parse_article_time(optional(first_nonblank(raw)), F.lit(source)) for raw, source in candidates])
-    given = F.filter(parsed, lambda t: t["raw"].isNotNull())
-    dated = F.filter(given, lambda t: t["date"].isNotNull())
-    if last is not None:
-        extra = parse_article_time(optional(first_nonblank(last[0])), F.lit(last[1]))
-        dated = F.concat(dated, F.filter(F.array(extra), lambda t: t["date"].isNotNull()))
-    return F.coalesce(F.try_element_at(dated, F.lit(1)), F.try_element_at(given, F.lit(1)), nothing)
+    def entry(raw: Column, source: str, fallback: bool) -> Column:
+        return F.struct(
+            optional(first_nonblank(raw)).alias("raw"), F.lit(source).alias("source"), F.lit(fallback).alias("fallback")
+        )
+
+    rows = [entry(raw, source, False) for raw, source in candidates]
+    return F.array(*rows, *([entry(*last, True)] if last is not None else []))
+
+
+def pick_time(candidates: Column) -> Column:
+    """The first candidate whose date parses, else the first that is not blank and no fallback, as an ArticleTime."""
+    given = F.filter(candidates, lambda c: c["raw"].isNotNull())
+    parsed = F.transform(
+        given, lambda c: F.struct(parse_article_time(c["raw"], c["source"]).alias("time"), c["fallback"].alias("fallback"))
+    )
+    nothing = F.expr(f"from_json('{{\"precision\":\"unknown\"}}', '{ARTICLE_TIME_FIELDS}')")
+
+    def choose(times: Column) -> Column:
+        dated = F.filter(times, lambda t: t["time"]["date"].isNotNull())
+        own = F.filter(times, lambda t: ~t["fallback"])
+        return F.coalesce(F.get(dated, F.lit(0))["time"], F.get(own, F.lit(0))["time"], nothing)
 
+    return let(parsed, choose)
 
-def _article_time(outline: Column, data: Column, modified: bool) -> Column:
+
+def _article_candidates(outline: Column, data: Column, modified: bool) -> Column:
     field = "dateModified" if modified else "datePublished"
     prop = "article:modified_time" if modified else "article:published_time"
     elements = outline["elements"]
     item = find_element(elements, key="itemprop", value=field)
+    stated = first_nonblank(attr(item, "content"), attr(item, "datetime"), element_text(outline["text"], item))
     candidates = [
         (data[field], f"json_ld.{field}"),
         (meta(elements, "property", prop), f"meta.{prop}"),
         (meta(elements, "name", prop), f"meta.{prop}"),
-        (
-            first_nonblank(attr(item, "content"), attr(item, "datetime"), element_text(outline["text"], item)),
-            f"itemprop.{field}",
-        ),
+        (stated, f"itemprop.{field}"),
     ]
+    if modified:
+        return time_candidates(candidates)
     readable = first_nonblank(
         *[meta(elements, "name", name) for name in DATE_METAS], attr(find_element(elements, "time"), "datetime")
     )
-    return pick_time(candidates, None if modified else (readable, "readability.date"))
+    return time_candidates(candidates, (readable, "readability.date"))
 
 
 def extract_articles(
@@ -125,19 +134,29 @@ def extract_articles(
             "title": first_nonblank(
                 ld["headline"], *named(("property", "og:title"), ("name", "twitter:title")), document_title
             ),
-            "canonical_url": resolve_url(final_url, canonical),
+            "_links": F.transform(F.array(canonical, image), lambda link: resolve_url(final_url, link)),
+            "_has_image": image != "",
             "author": optional(first_nonblank(ld["author"], *named(("name", "author")), author_link)),
             "source": optional(first_nonblank(ld["publisher"], *named(("property", "og:site_name")))),
             "section": optional(ld["section"]),
             "description": optional(
                 first_nonblank(ld["description"], *named(("name", "description"), ("property", "og:description")))
             ),
-            "image_url": F.when(image != "", resolve_url(final_url, image)),
-            "publication_time": _article_time(outline, ld, modified=False),
-            "modification_time": _article_time(outline, ld, modified=True),
+            # both times go through one copy of the parser
+            "_times": F.transform(
+                F.array(_article_candidates(outline, ld, False), _article_candidates(outline, ld, True)), pick_time
+            ),
         }
     ).drop("_outline", "_ld")
-    df = df.withColumn("word_count", word_count("content"))
+    df = df.withColumns(
+        {
+            "word_count": word_count("content"),
+            "canonical_url": F.col("_links")[0],
+            "image_url": F.when(F.col("_has_image"), F.col("_links")[1]),
+            "publication_time": F.col("_times")[0],
+            "modification_time": F.col("_times")[1],
+        }
+    )
     unknown = F.lit("unknown") if robots_status is None else robots_status
     return df.select(
         *[c for c in kept if c not in ARTICLE_COLUMNS],

@@ -22,8 +22,6 @@ from ..functions.urls import (
 from .skew import first_per_key, lookup_join
 
 MAX_URL_BYTES = 2048
-# an allow-list up to this length is written into the plan as literals; a longer one is joined
-LITERAL_DOMAINS = 200
 
 
 def clean_domains(domains: Sequence[str]) -> list[str]:

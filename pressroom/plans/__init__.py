@@ -1,0 +1,4 @@
+from . import page_queries, url_queries
+from .catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import col
-from ..schemas import ARTICLE, DNS, FETCH_LOG, RESULT_PAGES, ROBOTS
+from ..schemas import ARTICLE, ARTICLE_COLUMNS, DNS, FETCH_LOG, RESULT_PAGES, ROBOTS
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 
 
@@ -35,9 +34,8 @@ def read_captured_pages(spark: SparkSession, path: str, fmt: str = "parquet") ->
 
 def articles_to_json(df: DataFrame, name: str = "article_json") -> DataFrame:
     """The article columns as one JSON text with its nulls kept; other columns stay."""
-    fields = [f.name for f in ARTICLE]
-    text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "timestampFormat": _ISO})
-    return df.select(*[c for c in df.columns if c not in fields], text.alias(name))
+    text = F.to_json(F.struct(*ARTICLE_COLUMNS), {"ignoreNullFields": "false", "timestampFormat": _ISO})
+    return df.select(*[c for c in df.columns if c not in ARTICLE_COLUMNS], text.alias(name))
 
 
 def articles_from_json(df: DataFrame, name: str = "article_json") -> DataFrame:
