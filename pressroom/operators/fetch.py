@@ -304,7 +304,7 @@ def schedule_requests(
     )
 
 
-def with_robots_requests(requests: DataFrame, host: str, arrival: str, delay: Column | str) -> DataFrame:
+def with_robots_requests(requests: DataFrame, delay: Column | str) -> DataFrame:
     """Both request kinds of a fetch, for the schedule: robots.txt first (``step`` 0), the page next (``step`` 1).
 
     A robots request keeps its domain busy for the domain delay, the page for the larger of it and the crawl delay.

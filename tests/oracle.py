@@ -49,8 +49,8 @@ def compare(df, db: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     left, right = sorted(ours, key=repr), sorted(theirs, key=repr)
     if left == right:
         return None
-    extra = [r for r in left if r not in set(right)][:3] if len(left) < 20000 else []
-    missing = [r for r in right if r not in set(left)][:3] if len(right) < 20000 else []
+    extra = sorted(set(left) - set(right), key=repr)[:3]
+    missing = sorted(set(right) - set(left), key=repr)[:3]
     return f"{len(left)} rows against {len(right)}; columns {names}; ours only {extra}; theirs only {missing}"
 
 
