@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..functions.urls import resolve_url, url_parts
-from .skew import GROUP_ROWS, SALTS, carried_scan, has_hot_group, lookup_join
+from .skew import GROUP_ROWS, SALTS, carried_scan, durable, has_hot_group, lookup_join
 from .urls import validate_urls
 
 # Limits and status sets of the crawler.
@@ -76,14 +76,15 @@ def resolve_redirects(
 
     One join per hop, ``max_redirects`` + 1 in all. Each hop is validated before its response is looked at, so an unsafe
     target ends the chain unread. Only URLs travel through the joins, the bodies stay in the log, and requests that meet at
-    one address are spread over ``salts`` tasks. Adds ``final_url``, ``hops`` and the outcome columns.
+    one address are spread over ``salts`` tasks. Each hop is materialised, since its rows are both a result and the start
+    of the next hop; the loop ends with the last chain. Adds ``final_url``, ``hops`` and the outcome columns.
     """
     log = fetch_log.select(
         F.col("url").alias("_at"),
         F.col("location").alias("_location"),
         classify_fetch("status", "location", "content_type", "content_length", F.octet_length("body")).alias("_response"),
     )
-    live = requests.select("*", F.col("url").alias("_current"), F.lit(0).alias("hops"))
+    live = requests.select("*", F.col("url").alias("_current"))
     done = []
     keep = requests.columns
     result = ["final_url", "hops", "outcome", "error_code", "error_detail", "retryable"]
@@ -100,14 +101,16 @@ def resolve_redirects(
             )
             .otherwise(found)
         )
-        joined = joined.withColumn("_state", state)
+        joined = durable(joined.select(*keep, "_current", "_at", "_location", state.alias("_state")))
         going = F.col("_state.outcome") == "redirect"
         done.append(
             joined.filter(~going).select(
                 *keep, F.coalesce("_at", "_current").alias("final_url"), F.lit(hop).alias("hops"), "_state.*"
             )
         )
-        live = joined.filter(going).select(*keep, resolve_url("_at", "_location").alias("_current"), F.lit(hop + 1).alias("hops"))
+        live = joined.filter(going).select(*keep, resolve_url("_at", "_location").alias("_current"))
+        if joined.filter(going).isEmpty():
+            break
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
