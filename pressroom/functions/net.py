@@ -7,7 +7,7 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, let
+from .text import col, let, let_sql
 
 # The networks that are not public. First private, loopback, link-local and unspecified space, then the
 # special-purpose blocks.
@@ -74,29 +74,23 @@ def _expand(ip: Column) -> Column:
     return F.when(well_formed & (F.length(text) == 32), text)
 
 
-def _in_v4(number: Column) -> Column:
-    hit = F.lit(False)
+def _special(version: int) -> str:
+    """SQL test of ``n`` (a number for IPv4, 32 hex digits for IPv6) against the special networks."""
+    tests = []
     for net in map(ipaddress.ip_network, SPECIAL_NETWORKS):
-        if net.version == 4:
-            hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
-    return hit
+        if net.version == version:
+            low, high = int(net.network_address), int(net.broadcast_address)
+            tests.append(f"n between {low} and {high}" if version == 4 else f"n between '{low:032x}' and '{high:032x}'")
+    return " or ".join(tests)
 
 
-def _in_v6(hex32: Column) -> Column:
-    hit = F.lit(False)
-    for net in map(ipaddress.ip_network, SPECIAL_NETWORKS):
-        if net.version == 6:
-            low, high = (f"{int(a):032x}" for a in (net.network_address, net.broadcast_address))
-            hit = hit | hex32.between(low, high)
-    return hit
+def ipv4_is_public(ip: Column | str) -> Column:
+    """NULL for text that is no IPv4 address."""
+    return let_sql(ipv4_number(ip), "n", f"not ({_special(4)})")
 
 
 def ip_is_public(ip: Column | str) -> Column:
     """False for every special address and for text that is no address; IPv4-mapped IPv6 counts as IPv4."""
-
-    def v6_public(v6: Column) -> Column:
-        mapped = F.conv(F.substring(v6, 25, 8), 16, 10).cast("bigint")
-        return F.when(v6.startswith(_MAPPED), let(mapped, lambda n: ~_in_v4(n))).otherwise(~_in_v6(v6))
-
-    v4_public = let(ipv4_number(ip), lambda n: ~_in_v4(n))
-    return F.coalesce(F.when(is_ipv4(ip), v4_public).otherwise(let(ipv6_hex(ip), v6_public)), F.lit(False))
+    mapped = "get(transform(array(cast(conv(substring(n, 25, 8), 16, 10) as bigint)), n -> not ({})), 0)".format(_special(4))
+    v6 = f"if(startswith(n, '{_MAPPED}'), {mapped}, not ({_special(6)}))"
+    return F.coalesce(ipv4_is_public(ip), let_sql(ipv6_hex(ip), "n", v6), F.lit(False))

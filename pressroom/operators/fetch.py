@@ -86,6 +86,7 @@ def resolve_redirects(
     )
     live = requests.select("*", F.col("url").alias("_current"))
     done = []
+    following = resolve_url("_at", "_location")
     keep = requests.columns
     result = ["final_url", "hops", "outcome", "error_code", "error_detail", "retryable"]
     for hop in range(max_redirects + 1):
@@ -108,7 +109,7 @@ def resolve_redirects(
                 *keep, F.coalesce("_at", "_current").alias("final_url"), F.lit(hop).alias("hops"), "_state.*"
             )
         )
-        live = joined.filter(going).select(*keep, resolve_url("_at", "_location").alias("_current"))
+        live = joined.filter(going).select(*keep, following.alias("_current"))
         if joined.filter(going).isEmpty():
             break
     out = done[0]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SALTS = 8
@@ -18,9 +18,8 @@ SALTS = 8
 GROUP_ROWS = 1_000_000
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that a lost executor cannot change what later steps read."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; one of our own only where it names none, in a local session."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +28,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="pressroom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder, so that a lost executor cannot change what later steps read."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_is_public, is_ipv4
+from ..functions.net import ip_is_public, ipv4_is_public
 from ..functions.text import trim_space
 from ..functions.urls import (
     ascii_host,
@@ -95,9 +95,9 @@ def validate_urls(
     if dns is not None:
         verdicts = host_verdicts(dns).withColumnRenamed("host", "_host")
         df = lookup_join(df, verdicts, ["_host"], [url])
-        public = F.when(is_ipv4(host), ip_is_public(host)).otherwise(F.col("all_public"))
+        public = F.coalesce(ipv4_is_public(host), F.col("all_public"))
     else:
-        public = F.when(is_ipv4(host), ip_is_public(host)).otherwise(F.lit(True))
+        public = F.coalesce(ipv4_is_public(host), F.lit(True))
 
     reason = (
         F.when(raw.isNull() | (raw == "") | (F.octet_length(raw) > MAX_URL_BYTES), F.lit("empty_or_too_long"))
