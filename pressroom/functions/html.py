@@ -39,29 +39,7 @@ FIELD_TAGS = frozenset(("title", "meta", "link", "time", "html"))
 
 ELEMENT = "struct<ordinal:int,parent:int,depth:int,tag:string,attrs:map<string,string>,lo:int,hi:int>"
 OUTLINE = f"struct<text:string,main_text:string,article_json:string,elements:array<{ELEMENT}>>"
-_ARROW_OUTLINE = pa.struct(
-    [
-        ("text", pa.string()),
-        ("main_text", pa.string()),
-        ("article_json", pa.string()),
-        (
-            "elements",
-            pa.list_(
-                pa.struct(
-                    [
-                        ("ordinal", pa.int32()),
-                        ("parent", pa.int32()),
-                        ("depth", pa.int32()),
-                        ("tag", pa.string()),
-                        ("attrs", pa.map_(pa.string(), pa.string())),
-                        ("lo", pa.int32()),
-                        ("hi", pa.int32()),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
+_NUMBERS = ("ordinal", "parent", "depth", "lo", "hi")
 
 
 class _Outline(HTMLParser):
@@ -198,31 +176,58 @@ class _Outline(HTMLParser):
         return "\n".join(text for container, text, _ in self.blocks if best <= container < last)
 
 
-def _outline(html: str, wanted: bool) -> dict:
+def _outline(html: str, fields_only: bool) -> tuple[str, str, str | None, list[dict]]:
+    """(text, main text, JSON-LD article object, elements) of one page."""
     parser = _Outline()
     parser.feed(html)
     parser.finish()
     text = "".join(parser.pieces)
+    elements = parser.elements
     scripts = [
         text[e["lo"] : e["hi"]]
-        for e in parser.elements
+        for e in elements
         if e["tag"] == "script" and e["attrs"].get("type", "").strip().lower() == "application/ld+json"
     ]
-    elements = parser.elements
-    if wanted:
+    if fields_only:
         elements = [e for e in elements if e["tag"] in FIELD_TAGS or "itemprop" in e["attrs"] or e["attrs"].get("rel") == "author"]
-    for element in elements:
-        element["attrs"] = list(element["attrs"].items())
-    return {"text": text, "main_text": parser.main_text(), "article_json": pick_article(scripts), "elements": elements}
-
-
-def _outline_udf(wanted: bool):
+    return text, parser.main_text(), pick_article(scripts) if scripts else None, elements
+
+
+def _offsets(lists: list) -> pa.Array:
+    return pa.array(itertools.accumulate(map(len, lists), initial=0), pa.int32())
+
+
+def _arrow(pages: list[tuple[str, str, str | None, list[dict]]], missing: list[bool]) -> pa.Array:
+    """Outlines as one Arrow struct array, built by column."""
+    lists = [page[3] for page in pages]
+    flat = [element for elements in lists for element in elements]
+    attrs = [element["attrs"] for element in flat]
+    columns = {name: pa.array([element[name] for element in flat], pa.int32()) for name in _NUMBERS}
+    columns["tag"] = pa.array([element["tag"] for element in flat], pa.string())
+    columns["attrs"] = pa.MapArray.from_arrays(
+        _offsets(attrs),
+        pa.array([key for values in attrs for key in values], pa.string()),
+        pa.array([value for values in attrs for value in values.values()], pa.string()),
+    )
+    names = ["ordinal", "parent", "depth", "tag", "attrs", "lo", "hi"]
+    rows = pa.StructArray.from_arrays([columns[name] for name in names], names)
+    texts = [pa.array([page[i] for page in pages], pa.string()) for i in range(3)]
+    return pa.StructArray.from_arrays(
+        [*texts, pa.ListArray.from_arrays(_offsets(lists), rows)],
+        ["text", "main_text", "article_json", "elements"],
+        mask=pa.array(missing, pa.bool_()),
+    )
+
+
+def _outline_udf(fields_only: bool):
     @F.arrow_udf(OUTLINE)
     def outline(pages: pa.Array) -> pa.Array:
-        rows = [None if html is None else _outline(html, wanted) for html in pages.to_pylist()]
-        return pa.array(rows, type=_ARROW_OUTLINE)
+        texts = pages.to_pylist()
+        rows = [("", "", None, []) if html is None else _outline(html, fields_only) for html in texts]
+        return _arrow(rows, [html is None for html in texts])
 
-    return outline
+    # Spark repeats a deterministic call below filters that it derives from the result; this one is too costly for that
+    return outline.asNondeterministic()
 
 
 def page_outline(html: Column | str, fields_only: bool = True) -> Column:

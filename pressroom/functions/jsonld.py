@@ -154,21 +154,29 @@ def main_entity(value: Column) -> Column:
     return let_sql(value, "v", f"if({_is('v', 'OBJECT')}, {_let(_get('v', '@id'), 'm', _string('m'))}, {_string('v')})")
 
 
+_PLAIN = ("headline", "url", "description", "articleBody", "datePublished", "dateModified")
+_READERS = {
+    "author": ("author", author_name),
+    "publisher": ("publisher", publisher_name),
+    "image": ("image", image_value),
+    "section": ("articleSection", section_name),
+    "main_entity": ("mainEntityOfPage", main_entity),
+}
+
+
 def jsonld_fields(article_json: Column | str) -> Column:
     """STRUCT of the article fields; every field is '' when it is missing."""
+    text = col(article_json)
+    readers = {**{name: (name, as_string) for name in _PLAIN}, **_READERS}
 
     def read(doc: Column) -> Column:
-        def field(name: str, reader=as_string) -> Column:
-            return F.coalesce(reader(F.try_variant_get(doc, f"$['{name}']", "variant")), F.lit(""))
-
-        plain = ("headline", "url", "description", "articleBody", "datePublished", "dateModified")
         return F.struct(
-            *[field(name).alias(name) for name in plain],
-            field("author", author_name).alias("author"),
-            field("publisher", publisher_name).alias("publisher"),
-            field("image", image_value).alias("image"),
-            field("articleSection", section_name).alias("section"),
-            field("mainEntityOfPage", main_entity).alias("main_entity"),
+            *[
+                F.coalesce(reader(F.try_variant_get(doc, f"$['{key}']", "variant")), F.lit("")).alias(name)
+                for name, (key, reader) in readers.items()
+            ]
         )
 
-    return let(F.try_parse_json(col(article_json)), read)
+    # pages without an article object, which are most, skip the readers
+    empty = F.struct(*[F.lit("").alias(name) for name in readers])
+    return F.when(text.isNull(), empty).otherwise(let(F.try_parse_json(text), read))

@@ -24,6 +24,7 @@ from ..functions.text import (
 )
 from ..functions.urls import resolve_url, url_parts
 from ..schemas import ARTICLE_COLUMNS
+from .skew import spread_small
 
 # The page's own metadata names, in the order they are tried.
 DATE_METAS = ("dcterms.created", "dcterms.issued", "dcterms.available")
@@ -35,7 +36,7 @@ def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     ``lo`` and ``hi`` are offsets into the page's text, which :func:`page_outline` returns next to the elements: the text
     of nested elements is not repeated for each of them.
     """
-    outline = pages.select(key, page_outline(html, fields_only=False).alias("_outline"))
+    outline = spread_small(pages.select(key, html)).select(key, page_outline(html, fields_only=False).alias("_outline"))
     return outline.select(key, F.inline("_outline.elements"))
 
 
@@ -114,7 +115,7 @@ def extract_articles(
     """
     final_url = final_url or source_url
     kept = [c for c in pages.columns if c != html]
-    df = pages.withColumn("_outline", page_outline(html)).drop(html)
+    df = spread_small(pages).withColumn("_outline", page_outline(html)).drop(html)
     df = df.withColumn("_ld", jsonld_fields("_outline.article_json"))
     outline, ld = F.col("_outline"), F.col("_ld")
     elements, page_text = outline["elements"], outline["text"]

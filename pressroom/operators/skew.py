@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SALTS = 8
 # largest group that one task orders by itself; larger ones are cut into ranges
 GROUP_ROWS = 1_000_000
+# Spark's default size of one input split
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -37,6 +39,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small table over the cores before a costly stage; a table of normal size is left as it is.
+
+    A small Parquet file is one row group and so one task, however many cores there are. The size is Spark's own estimate
+    for the plan; nothing runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:

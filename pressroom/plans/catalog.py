@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
+from ..operators.skew import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -24,12 +26,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table, its zone-less timestamps read as UTC instants."""
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """One table, its zone-less timestamps read as UTC instants; ``spread`` for queries that work long on each row."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     naive = [f.name for f in df.schema if isinstance(f.dataType, TimestampNTZType)]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
+    return spread_small(df) if spread else df
 
 
 def case_of(key, values: list):

@@ -61,7 +61,7 @@ _BASE = """base AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d, (o_orderkey
 )
 def parse_times(spark, folder):
     """Order dates written in twelve formats, three of which must not parse, and parsed again."""
-    df = _stamps(table(spark, folder, "orders"))
+    df = _stamps(table(spark, folder, "orders", spread=True))
     day = F.date_format("d", "yyyy-MM-dd")
     hm = F.format_string("%02d:%02d", "hh", "mi")
     hms = F.format_string("%02d:%02d:%02d", "hh", "mi", "ss")
@@ -107,7 +107,7 @@ def pick_times(spark, folder):
     second = F.when(key < 2, F.concat(day, F.lit("T12:00Z"))).otherwise("")
     last = F.when(key == 2, day).otherwise("lusa")
     picked = pick_time(time_candidates([(first, "first"), (second, "second")], (last, "last")))
-    rows = table(spark, folder, "orders").select("o_orderkey", picked.alias("t"))
+    rows = table(spark, folder, "orders", spread=True).select("o_orderkey", picked.alias("t"))
     return rows.select("o_orderkey", "t.source", F.col("t.date").cast("string").alias("day"), "t.raw")
 
 
@@ -183,7 +183,7 @@ def normalize_requests(spark, folder):
     zone = F.when(f == 9, "Mars").otherwise("Asia/Jakarta")
     now = F.lit(NOW).cast("timestamp")
     request = normalize_date_request(day, month, year, start, end, zone, now)
-    rows = table(spark, folder, "orders").select(k, request.alias("r"))
+    rows = table(spark, folder, "orders", spread=True).select(k, request.alias("r"))
     return rows.select(
         "o_orderkey", "r.error", "r.mode", F.col("r.start_date").cast("string").alias("start_date"),
         F.col("r.end_date").cast("string").alias("end_date"),

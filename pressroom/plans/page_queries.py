@@ -30,7 +30,7 @@ def _decoded(text: str) -> str:
     FROM pages"""
 )
 def page_titles(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", page_outline("html").alias("o"))
+    pages = table(spark, folder, "pages", spread=True).select("page_id", page_outline("html").alias("o"))
     title = element_text(F.col("o.text"), find_element(F.col("o.elements"), "title"))
     return pages.select("page_id", title.alias("title"))
 
@@ -94,7 +94,7 @@ _ARTICLE_TEXT = f"""
 )
 def main_texts(spark, folder):
     """Readable text of every page: navigation, advertisements, scripts and footers left out."""
-    pages = table(spark, folder, "pages").select("page_id", clean_text(page_outline("html")["main_text"]).alias("content"))
+    pages = table(spark, folder, "pages", spread=True).select("page_id", clean_text(page_outline("html")["main_text"]).alias("content"))
     return pages.select("page_id", content_hash("content").alias("content_hash"), word_count("content").alias("words"))
 
 
@@ -114,7 +114,7 @@ def corpus_summary(spark, folder):
 
     Only accepted URLs reach the HTML stage's filter; one shuffle, of partial counts.
     """
-    pages = table(spark, folder, "pages")
+    pages = table(spark, folder, "pages", spread=True)
     checked = validate_urls(pages, allowed_domains=["example.com", "example.net", "example.org"], idna=False)
     listing = F.coalesce(is_listing("normalized_url"), F.lit(False))
     checked = checked.select(
@@ -223,7 +223,7 @@ _DOC_CONTENT = """cleaned AS (SELECT doc_id, source, lang, array_to_string(list_
 )
 def extracted_articles(spark, folder):
     """All article fields of a page per document, whole texts, every field source in turn."""
-    articles = extract_articles(article_pages(table(spark, folder, "documents")))
+    articles = extract_articles(article_pages(table(spark, folder, "documents", spread=True)))
     return articles.select(
         "doc_id", "title", "canonical_url", "domain", "author", "source", "section", "image_url", "published_at",
         F.col("publication_time.source").alias("time_source"),
@@ -249,7 +249,7 @@ def page_articles(spark, folder):
     FROM cleaned GROUP BY 1, 2"""
 )
 def extraction_outcomes(spark, folder):
-    articles = extract_articles(article_pages(table(spark, folder, "documents")))
+    articles = extract_articles(article_pages(table(spark, folder, "documents", spread=True)))
     return articles.select(item_outcome("reject_reason").alias("o")).groupBy("o.error_code", "o.error_detail").agg(
         F.count("*").alias("articles")
     )
@@ -263,7 +263,7 @@ def extraction_outcomes(spark, folder):
 )
 def article_json(spark, folder):
     """Articles written as JSON and read back; the JSON names its null fields."""
-    articles = extract_articles(article_pages(table(spark, folder, "documents"))).drop("reject_reason")
+    articles = extract_articles(article_pages(table(spark, folder, "documents", spread=True))).drop("reject_reason")
     text = articles_to_json(articles.withColumn("fetched_at", F.timestamp_micros(F.lit(0))))
     back = articles_from_json(text.withColumn("nulls", _null_fields("article_json")))
     return back.select("doc_id", "content_hash", "word_count", "nulls")
@@ -302,7 +302,7 @@ def jsonld_values(spark, folder):
         F.lit('{"@type":"WebPage","headline":"not an article"}'),
     ]
     text = case_of(key, texts).alias("script")
-    docs = table(spark, folder, "documents").select("doc_id", text)
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", text)
     docs = docs.withColumn("script", F.regexp_replace("script", r"5\.5e-400", "null")).withColumn(
         "script", F.when(key % 4 == 0, F.regexp_replace("script", r'("headline":"[^"]*")\}', "$1")).otherwise(F.col("script"))
     )
@@ -317,7 +317,7 @@ def jsonld_values(spark, folder):
     SELECT page_id, '' AS missing, lower(regexp_extract(html, '(?i)<meta[^>]*charset="?([^">]*)', 1)) AS charset FROM pages"""
 )
 def meta_lookup(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", page_outline("html")["elements"].alias("e"))
+    pages = table(spark, folder, "pages", spread=True).select("page_id", page_outline("html")["elements"].alias("e"))
     first_meta = find_element(F.col("e"), "meta")
     return pages.select(
         "page_id",

@@ -280,7 +280,7 @@ _CLEAN = """cleaned AS (SELECT doc_id, array_to_string(list_filter(list_transfor
 
 @query(f"WITH {_CLEAN} SELECT doc_id, content FROM cleaned")
 def clean_texts(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", clean_text("text").alias("content"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", clean_text("text").alias("content"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+'))::INTEGER AS words FROM documents")
@@ -290,7 +290,7 @@ def word_counts(spark, folder):
 
 @query(f"WITH {_CLEAN} SELECT doc_id, sha256(content) AS content_hash FROM cleaned")
 def content_hashes(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", content_hash(clean_text("text")).alias("content_hash"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", content_hash(clean_text("text")).alias("content_hash"))
 
 
 @query(
