@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .jsonld import pick_article
-from .text import col, let_sql, trim_space, trim_sql
+from .text import col, let_sql, trim_sql
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -263,4 +263,5 @@ def meta(elements: Column, key: str, value: str) -> Column:
 
 def element_text(text: Column, element: Column) -> Column:
     """Text of an element and everything inside it, trimmed; '' when there is no element."""
-    return F.coalesce(trim_space(F.substring(text, element["lo"] + 1, element["hi"] - element["lo"])), F.lit(""))
+    cut = trim_sql("substring(p.t, p.e.lo + 1, p.e.hi - p.e.lo)")
+    return let_sql(F.struct(text.alias("t"), element.alias("e")), "p", f"coalesce({cut}, '')")

@@ -99,20 +99,24 @@ def _string(value: str) -> str:
     )
 
 
+def _name(value: str) -> str:
+    """An object's name, or the value itself, as a string."""
+    return _let(f"if({_is(value, 'OBJECT')}, {_get(value, 'name')}, {value})", "m", _string("m"))
+
+
 def _author(value: str, depth: int) -> str:
-    single = f"case when {_is(value, 'OBJECT')} then {_let(_get(value, 'name'), 'm', _string('m'))} else {_string(value)} end"
     if depth == 0:
-        return single
-    entry = f"a{depth}"
-    names = f"transform({_items(value)}, {entry} -> {_author(entry, depth - 1)})"
-    return f"if({_is(value, 'ARRAY')}, {_joined(names)}, {single})"
+        return _name(value)
+    names = f"transform({_items(value)}, a{depth} -> {_author(f'a{depth}', depth - 1)})"
+    return f"if({_is(value, 'ARRAY')}, {_joined(names)}, {_name(value)})"
 
 
 def _image(value: str, depth: int) -> str:
-    links = ", ".join(_let(_get(value, key), "m", _string("m")) for key in ("url", "contentUrl"))
+    links = f"transform(array({_get(value, 'url')}, {_get(value, 'contentUrl')}), m -> {_string('m')})"
+    text = trim_sql(f"try_variant_get({value}, '$', 'string')")
     single = (
-        f"case when {_is(value, 'OBJECT')} then coalesce(get(filter(array({links}), x -> x != ''), 0), '') "
-        f"when {_is(value, 'STRING')} then {_string(value)} else '' end"
+        f"case when {_is(value, 'OBJECT')} then coalesce(get(filter({links}, x -> x != ''), 0), '') "
+        f"when {_is(value, 'STRING')} then {text} else '' end"
     )
     if depth == 0:
         return single
@@ -120,6 +124,11 @@ def _image(value: str, depth: int) -> str:
     return f"if({_is(value, 'ARRAY')}, coalesce({first}, ''), {single})"
 
 
+def _section(value: str) -> str:
+    entries = f"if({_is(value, 'ARRAY')}, {_items(value)}, array({value}))"
+    return _joined(f"transform({entries}, e -> {_string('e')})")
+
+
 def as_string(value: Column) -> Column:
     """A string, trimmed; a number, printed; '' for anything else.
 
@@ -135,7 +144,7 @@ def author_name(value: Column, depth: int = 3) -> Column:
 
 def publisher_name(value: Column) -> Column:
     """An object's name; a plain string is not a publisher."""
-    return let_sql(value, "v", f"if({_is('v', 'OBJECT')}, {_let(_get('v', 'name'), 'm', _string('m'))}, '')")
+    return let_sql(value, "v", f"if({_is('v', 'OBJECT')}, {_name('v')}, '')")
 
 
 def image_value(value: Column, depth: int = 2) -> Column:
@@ -145,38 +154,49 @@ def image_value(value: Column, depth: int = 2) -> Column:
 
 def section_name(value: Column) -> Column:
     """A string, or a list joined with ', '."""
-    entries = _joined(f"transform({_items('v')}, e -> {_string('e')})")
-    return let_sql(value, "v", f"if({_is('v', 'ARRAY')}, {entries}, {_string('v')})")
+    return let_sql(value, "v", _section("v"))
 
 
 def main_entity(value: Column) -> Column:
     """An object's @id, or a string."""
-    return let_sql(value, "v", f"if({_is('v', 'OBJECT')}, {_let(_get('v', '@id'), 'm', _string('m'))}, {_string('v')})")
+    return as_string(let_sql(value, "v", f"if({_is('v', 'OBJECT')}, {_get('v', '@id')}, v)"))
 
 
-_PLAIN = ("headline", "url", "description", "articleBody", "datePublished", "dateModified")
-_READERS = {
-    "author": ("author", author_name),
-    "publisher": ("publisher", publisher_name),
-    "image": ("image", image_value),
-    "section": ("articleSection", section_name),
-    "main_entity": ("mainEntityOfPage", main_entity),
+# field -> the key that it is read from; the first group are plain strings
+_PLAIN = {
+    name: f"$['{name}']" for name in ("headline", "url", "description", "articleBody", "datePublished", "dateModified")
 }
+_OTHERS = {"publisher": "$.publisher.name", "entity_id": "$.mainEntityOfPage['@id']", "entity": "$.mainEntityOfPage"}
 
 
 def jsonld_fields(article_json: Column | str) -> Column:
     """STRUCT of the article fields; every field is '' when it is missing."""
     text = col(article_json)
-    readers = {**{name: (name, as_string) for name in _PLAIN}, **_READERS}
+    names = [*_PLAIN, "author", "publisher", "image", "section", "main_entity"]
 
     def read(doc: Column) -> Column:
-        return F.struct(
-            *[
-                F.coalesce(reader(F.try_variant_get(doc, f"$['{key}']", "variant")), F.lit("")).alias(name)
-                for name, (key, reader) in readers.items()
-            ]
+        def value(path: str) -> Column:
+            return F.try_variant_get(doc, path, "variant")
+
+        # one copy of the string reader serves all fields that are plain strings
+        paths = {**_PLAIN, **_OTHERS}
+        strings = F.call_function(
+            "transform", F.array(*[value(path) for path in paths.values()]), F.expr(f"v -> coalesce({_string('v')}, '')")
         )
 
+        def build(found: Column) -> Column:
+            at = {name: F.get(found, F.lit(i)) for i, name in enumerate(paths)}
+            return F.struct(
+                *[at[name].alias(name) for name in _PLAIN],
+                F.coalesce(author_name(value("$.author")), F.lit("")).alias("author"),
+                at["publisher"].alias("publisher"),
+                F.coalesce(image_value(value("$.image")), F.lit("")).alias("image"),
+                F.coalesce(section_name(value("$.articleSection")), F.lit("")).alias("section"),
+                F.when(at["entity_id"] != "", at["entity_id"]).otherwise(at["entity"]).alias("main_entity"),
+            )
+
+        return let(strings, build)
+
     # pages without an article object, which are most, skip the readers
-    empty = F.struct(*[F.lit("").alias(name) for name in readers])
+    empty = F.struct(*[F.lit("").alias(name) for name in names])
     return F.when(text.isNull(), empty).otherwise(let(F.try_parse_json(text), read))

@@ -95,7 +95,7 @@ def _escape(path: Column) -> Column:
 
 def build_url(scheme: Column, host: Column, path: Column, query: Column, fragment: Column | None = None) -> Column:
     """Write the parts back as text; a NULL query or fragment leaves out its mark."""
-    text = F.concat(scheme, F.lit("://"), host, escape_path(path), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
+    text = F.concat(scheme, F.lit("://"), host, path, F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
     if fragment is None:
         return text
     return F.concat(text, F.coalesce(F.concat(F.lit("#"), F.nullif(fragment, F.lit(""))), F.lit("")))
@@ -138,7 +138,7 @@ def is_ascii(text: Column) -> Column:
 
 def normalize_parts(parts: Column, host: Column) -> Column:
     """Normal form from :func:`url_parts` and a checked ASCII host."""
-    path = F.when(parts["path"] == "", F.lit("/")).otherwise(parts["path"])
+    path = F.when(parts["path"] == "", F.lit("/")).otherwise(escape_path(parts["path"]))
     return build_url(parts["scheme"], host, path, parts["query"])
 
 
@@ -201,22 +201,29 @@ def _authority(parts: Column) -> Column:
 
 def _resolve(b: Column, r: Column, raw: Column) -> Column:
     path = r["path"]
-    merged = (
-        F.when(path == "", escape_path(b["path"]))
-        .when(path.startswith("/"), escape_path(path))
-        .otherwise(F.concat(F.regexp_replace(escape_path(b["path"]), r"[^/]*\z", ""), escape_path(path)))
+    escaped = F.struct(escape_path(b["path"]).alias("b"), escape_path(path).alias("r"))
+    merged = let(
+        escaped,
+        lambda p: F.when(r["has_authority"] | p["r"].startswith("/"), p["r"])
+        .when(p["r"] == "", p["b"])
+        .otherwise(F.concat(F.regexp_replace(p["b"], r"[^/]*\z", ""), p["r"])),
     )
-    same_query = (path == "") & r["query"].isNull()
+    return let(_clean_path(merged), lambda clean: _written(b, r, raw, clean))
+
+
+def _written(b: Column, r: Column, raw: Column, path: Column) -> Column:
+    """Base and reference put together with the path that was found for them."""
+    same_query = (r["path"] == "") & r["query"].isNull()
     same_fragment = same_query & (F.coalesce(r["fragment"], F.lit("")) == "")
     relative = build_url(
         b["scheme"],
         _authority(b),
-        _clean_path(merged),
+        path,
         F.when(same_query, b["query"]).otherwise(r["query"]),
         F.when(same_fragment, b["fragment"]).otherwise(r["fragment"]),
     )
     scheme = F.when(r["scheme"] == "", b["scheme"]).otherwise(r["scheme"])
-    absolute = build_url(scheme, _authority(r), _clean_path(escape_path(path)), r["query"], r["fragment"])
+    absolute = build_url(scheme, _authority(r), path, r["query"], r["fragment"])
     # a scheme without an authority ("mailto:x") stays as it is
     return F.when(r["has_authority"], absolute).when(r["scheme"] != "", raw).otherwise(relative)
 

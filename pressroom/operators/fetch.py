@@ -21,12 +21,15 @@ MAX_REDIRECTS = 3
 OUTCOME = "struct<outcome:string,error_code:string,error_detail:string,retryable:boolean>"
 
 
-def _outcome(outcome: str, code: str | None = None, detail: Column | str | None = None, retryable: Column | bool = False):
+def _outcome(
+    outcome: str, code: Column | str | None = None, detail: Column | str | None = None, retryable: Column | bool = False
+) -> Column:
+    code = F.lit(code) if code is None or isinstance(code, str) else code
     detail = F.lit(detail) if detail is None or isinstance(detail, str) else detail
     retryable = F.lit(retryable) if isinstance(retryable, bool) else retryable
     return F.struct(
         F.lit(outcome).alias("outcome"),
-        F.lit(code).cast("string").alias("error_code"),
+        code.cast("string").alias("error_code"),
         detail.cast("string").alias("error_detail"),
         retryable.alias("retryable"),
     )
@@ -70,14 +73,20 @@ def classify_fetch(
 
 
 def resolve_redirects(
-    requests: DataFrame, fetch_log: DataFrame, max_redirects: int = MAX_REDIRECTS, salts: int = SALTS, **policy
+    requests: DataFrame,
+    fetch_log: DataFrame,
+    max_redirects: int = MAX_REDIRECTS,
+    salts: int = SALTS,
+    rules: DataFrame | None = None,
+    **policy,
 ) -> DataFrame:
     """Follow every request (column ``url``) through the fetch log (one row per fetched ``url``).
 
-    One join per hop, ``max_redirects`` + 1 in all. Each hop is validated before its response is looked at, so an unsafe
-    target ends the chain unread. Only URLs travel through the joins, the bodies stay in the log, and requests that meet at
-    one address are spread over ``salts`` tasks. Each hop is materialised, since its rows are both a result and the start
-    of the next hop; the loop ends with the last chain. Adds ``final_url``, ``hops`` and the outcome columns.
+    One join per hop, ``max_redirects`` + 1 in all. Each hop is validated, and tested against robots ``rules`` (see
+    :func:`host_rules`) when they are given, before its response is looked at: an unsafe or denied target ends the chain
+    unread. Only URLs travel through the joins, the bodies stay in the log, and requests that meet at one address are
+    spread over ``salts`` tasks. Each hop is materialised, since its rows are both a result and the start of the next
+    hop; the loop ends with the last chain. Adds ``final_url``, ``hops``, ``robots_status`` and the outcome columns.
     """
     log = fetch_log.select(
         F.col("url").alias("_at"),
@@ -88,13 +97,18 @@ def resolve_redirects(
     done = []
     following = resolve_url("_at", "_location")
     keep = requests.columns
-    result = ["final_url", "hops", "outcome", "error_code", "error_detail", "retryable"]
+    found = F.col("_response")
     for hop in range(max_redirects + 1):
-        checked = validate_urls(live, "_current", **policy)
-        joined = lookup_join(checked.withColumnRenamed("normalized_url", "_at"), log, ["_at"], keep, salts=salts)
-        found = F.col("_response")
+        checked = validate_urls(live, "_current", **policy).withColumnRenamed("normalized_url", "_at")
+        if rules is None:
+            no_rule = {"robots_status": "unknown", "error_code": None, "error_detail": None}
+            checked = checked.withColumns({name: F.lit(value).cast("string") for name, value in no_rule.items()})
+        else:
+            checked = apply_rules(checked, rules, url="_at")
+        joined = lookup_join(checked, log, ["_at"], keep, salts=salts)
         state = (
             F.when(F.col("reject_reason").isNotNull(), _outcome("error", "unsafe_url", F.col("reject_reason")))
+            .when(F.col("error_code").isNotNull(), _outcome("error", F.col("error_code"), F.col("error_detail")))
             .when(found.isNull(), _outcome("error", "fetch_failed", "page could not be fetched", True))
             .when(
                 (found["outcome"] == "redirect") & F.lit(hop == max_redirects),
@@ -102,11 +116,11 @@ def resolve_redirects(
             )
             .otherwise(found)
         )
-        joined = durable(joined.select(*keep, "_current", "_at", "_location", state.alias("_state")))
+        joined = durable(joined.select(*keep, "_current", "_at", "_location", "robots_status", state.alias("_state")))
         going = F.col("_state.outcome") == "redirect"
         done.append(
             joined.filter(~going).select(
-                *keep, F.coalesce("_at", "_current").alias("final_url"), F.lit(hop).alias("hops"), "_state.*"
+                *keep, F.coalesce("_at", "_current").alias("final_url"), F.lit(hop).alias("hops"), "robots_status", "_state.*"
             )
         )
         live = joined.filter(going).select(*keep, following.alias("_current"))
@@ -115,7 +129,7 @@ def resolve_redirects(
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select(*keep, *result)
+    return out
 
 
 def robots_status(
@@ -213,38 +227,45 @@ def path_allowed(path: Column | str, rules: Column | str) -> Column:
     return F.coalesce(F.array_max(F.transform(hits, lambda r: F.struct(r["length"], r["allow"])))["allow"], F.lit(True))
 
 
-def robots_gate(
-    urls: DataFrame,
-    robots: DataFrame,
-    agent: str,
-    respect: bool = True,
-    fail_closed: bool = True,
-    url: str = "url",
+def host_rules(robots: DataFrame, agent: str, respect: bool = True, fail_closed: bool = True) -> DataFrame:
+    """robots.txt responses (host, status, body; one row per host) → one row per host with its verdict and its rules."""
+    verdict = robots_status("status", F.octet_length("body"), respect, fail_closed)
+    hosts = robots.select("host", verdict.alias("_verdict"), "body")
+    rules = robots_rules(parse_robots(hosts.filter("_verdict.robots_status = 'allowed'")), agent)
+    return hosts.drop("body").join(rules, "host", "left")
+
+
+def apply_rules(
+    urls: DataFrame, rules: DataFrame, respect: bool = True, fail_closed: bool = True, url: str = "url"
 ) -> DataFrame:
     """Add ``robots_status``, ``crawl_delay`` and, where denied, ``error_code``/``error_detail`` to URLs with a ``host``.
 
-    ``robots`` has one row per host: (host, status, body). Hot hosts are spread, since each URL only needs its host's row.
+    Hot hosts are spread, since each URL only needs its host's row. A host without a response counts as one that could
+    not be reached.
     """
-    verdict = robots_status("status", F.octet_length("body"), respect, fail_closed)
-    hosts = robots.select("host", verdict.alias("_verdict"), "body")
-    readable = hosts.filter("_verdict.robots_status = 'allowed'")
-    rules = robots_rules(parse_robots(readable), agent)
-    table = hosts.drop("body").join(rules, "host", "left")
     missing = robots_status(F.lit(None).cast("int"), F.lit(None).cast("int"), respect, fail_closed)
-    joined = lookup_join(urls, table, ["host"], [url]).withColumn("_verdict", F.coalesce("_verdict", missing))
+    joined = lookup_join(urls, rules, ["host"], [url]).withColumn("_verdict", F.coalesce("_verdict", missing))
     path = url_parts(url)["path"]
     # an empty rule list, or a host without rules, allows everything
     blocked = (F.col("_verdict.robots_status") == "allowed") & ~F.coalesce(path_allowed(path, "rules"), F.lit(True))
-    denied = F.col("_verdict.error_code").isNotNull() | blocked
+    joined = joined.withColumn("_blocked", F.coalesce(blocked, F.lit(False)))
+    blocked, verdict = F.col("_blocked"), F.col("_verdict")
     return joined.select(
         *urls.columns,
-        F.when(~denied, F.col("_verdict.robots_status")).alias("robots_status"),
+        F.when(~blocked & verdict["error_code"].isNull(), verdict["robots_status"]).alias("robots_status"),
         F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"),
-        F.when(blocked, F.lit("robots_denied")).otherwise(F.col("_verdict.error_code")).alias("error_code"),
-        F.when(blocked, F.lit("robots.txt does not allow this URL")).otherwise(F.col("_verdict.error_detail")).alias("error_detail"),
+        F.when(blocked, F.lit("robots_denied")).otherwise(verdict["error_code"]).alias("error_code"),
+        F.when(blocked, F.lit("robots.txt does not allow this URL")).otherwise(verdict["error_detail"]).alias("error_detail"),
     )
 
 
+def robots_gate(
+    urls: DataFrame, robots: DataFrame, agent: str, respect: bool = True, fail_closed: bool = True, url: str = "url"
+) -> DataFrame:
+    """:func:`apply_rules` straight from the robots.txt responses."""
+    return apply_rules(urls, host_rules(robots, agent, respect, fail_closed), respect, fail_closed, url)
+
+
 def schedule_requests(
     df: DataFrame,
     domain: str,

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.html import attr, element_text, find_element, meta, page_outline
 from ..functions.jsonld import jsonld_article, jsonld_fields
+from ..functions.register import register
 from ..functions.text import article_gate, clean_text, content_hash, word_count
 from ..functions.urls import is_listing
 from ..operators.articles import extract_articles, first_element, html_elements, item_outcome
 from ..operators.urls import validate_urls
 from ..sources.tables import articles_from_json, articles_to_json
 from .catalog import case_of, query, table
+from .flows import scrape_batches
 
 # the page writer's text as SQL: tags stripped from an <article>, headings left out, one line per block
 _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "chr(160)"), ("&amp;", "&")]
@@ -324,3 +326,59 @@ def meta_lookup(spark, folder):
         meta(F.col("e"), "property", "og:title").alias("missing"),
         F.lower(attr(first_meta, "CHARSET")).alias("charset"),
     )
+
+
+@query(
+    """
+    WITH stripped AS (SELECT regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+      '(?is)<(script|style)([^>]*)>.*?</(script|style)>', '<\\1\\2>', 'g') AS html FROM pages)
+    SELECT 'h1' AS tag, sum(len(regexp_extract_all(html, '<h1[^>]*>')))::BIGINT AS elements FROM stripped"""
+)
+def sql_elements(spark, folder):
+    """The table function in SQL, next to the page it reads."""
+    register(spark)
+    table(spark, folder, "pages", spread=True).createOrReplaceTempView("pressroom_pages")
+    return spark.sql(
+        "SELECT e.tag, count(*) AS elements FROM pressroom_pages, LATERAL html_elements(html) e WHERE e.tag = 'h1' GROUP BY e.tag"
+    )
+
+
+@query(
+    f"""
+    WITH {_ARTICLE_TEXT},
+    i AS (SELECT page_id // 50 AS job_id, page_id, url LIKE 'https:%' AS secure, page_id % 10 = 9 AS lost,
+      len(regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}_]+')) AS words FROM pages JOIN cleaned USING (page_id))
+    SELECT job_id, count(*) AS total, count(*) FILTER (WHERE secure AND NOT lost AND words >= 80) AS succeeded,
+      count(*) FILTER (WHERE NOT secure) AS unsafe, count(*) FILTER (WHERE secure AND lost) AS queued,
+      count(*) FILTER (WHERE secure AND NOT lost AND words < 80) AS too_short,
+      coalesce(sum(words) FILTER (WHERE secure AND NOT lost AND words >= 80), 0)::BIGINT AS words
+    FROM i GROUP BY 1"""
+)
+def scraped_batches(spark, folder):
+    """Page URLs submitted in batches of fifty, run through the whole flow; every tenth page answers 503."""
+    pages = table(spark, folder, "pages", spread=True)
+    bare = F.regexp_replace("url", "#.*$", "")
+    normal = F.regexp_replace(bare, "^(https?://[^/?]+)(?=[?]|$)", "$1/")
+    batches = pages.groupBy(F.floor(F.col("page_id") / 50).alias("job_id")).agg(F.collect_list("url").alias("urls"))
+    log = pages.select(
+        normal.alias("url"),
+        F.when(F.col("page_id") % 10 == 9, 503).otherwise(200).alias("status"),
+        F.lit(None).cast("string").alias("location"),
+        F.lit("text/html").alias("content_type"),
+        F.lit(None).cast("bigint").alias("content_length"),
+        F.col("html").alias("body"),
+    )
+    hosts = pages.select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).distinct()
+    robots = hosts.select("host", F.lit(404).alias("status"), F.lit("").alias("body"))
+    jobs = batches.select("job_id", *[F.lit(None).cast(kind).alias(name) for name, kind in (("start_date", "date"), ("end_date", "date"), ("timezone", "string"))])
+    now = F.timestamp_micros(F.lit(0))
+    items, _ = scrape_batches(batches, log, robots, jobs, now, "newsbot", idna=False)
+    failed = F.col("error_code")
+    return items.groupBy("job_id").agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("status") == "success").alias("succeeded"),
+        F.count_if(failed == "unsafe_url").alias("unsafe"),
+        F.count_if(F.col("status") == "queued").alias("queued"),
+        F.count_if(F.col("error_detail") == "too_short").alias("too_short"),
+        F.coalesce(F.sum(F.when(F.col("status") == "success", F.col("word_count"))), F.lit(0)).cast("bigint").alias("words"),
+    )
