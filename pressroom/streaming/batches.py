@@ -49,7 +49,7 @@ def advance_stream(
     Search runs and seen URLs are carried in versioned tables. A command that is delivered again, in the same batch after
     a failure or in a later one, gives its stored result and no new job. Returns the emitted jobs with their URLs.
     """
-    runs_schema = runs.drop("command_id").schema.simpleString()[7:-1]
+    runs_schema = runs.drop("command_id").schema
     seen_schema = "search_id string, url string"
     start_runs, start_seen = runs.drop("command_id"), seen.select("search_id", "url")
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from ..operators.skew import checkpoint_folder
 
@@ -73,7 +73,7 @@ def with_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def batch_table(spark: SparkSession, folder: str, batch: int, schema: str) -> DataFrame:
+def batch_table(spark: SparkSession, folder: str, batch: int, schema: str | StructType) -> DataFrame:
     """The table as the last micro-batch before ``batch`` left it; empty before the first one."""
     if batch == 0:
         return spark.createDataFrame([], schema)
