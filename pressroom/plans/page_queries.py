@@ -11,7 +11,7 @@ from ..functions.register import register
 from ..functions.text import article_gate, clean_text, content_hash, word_count
 from ..functions.urls import is_listing
 from ..operators.articles import extract_articles, first_element, html_elements, item_outcome
-from ..operators.urls import validate_urls
+from ..operators.urls import dedupe_first, validate_urls
 from ..sources.tables import articles_from_json, articles_to_json
 from .catalog import case_of, query, table
 from .flows import scrape_batches
@@ -346,8 +346,9 @@ def sql_elements(spark, folder):
 @query(
     f"""
     WITH {_ARTICLE_TEXT},
-    i AS (SELECT page_id // 50 AS job_id, page_id, url LIKE 'https:%' AS secure, page_id % 10 = 9 AS lost,
-      len(regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}_]+')) AS words FROM pages JOIN cleaned USING (page_id))
+    n AS (SELECT page_id, url, min(page_id) OVER (PARTITION BY regexp_replace(split_part(url, '#', 1), '^(https?://[^/?]+)($|\\?)', '\\1/\\2')) AS body FROM pages),
+    i AS (SELECT n.page_id // 50 AS job_id, url LIKE 'https:%' AS secure, body % 10 = 9 AS lost,
+      len(regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}_]+')) AS words FROM n JOIN cleaned ON cleaned.page_id = body)
     SELECT job_id, count(*) AS total, count(*) FILTER (WHERE secure AND NOT lost AND words >= 80) AS succeeded,
       count(*) FILTER (WHERE NOT secure) AS unsafe, count(*) FILTER (WHERE secure AND lost) AS queued,
       count(*) FILTER (WHERE secure AND NOT lost AND words < 80) AS too_short,
@@ -355,13 +356,17 @@ def sql_elements(spark, folder):
     FROM i GROUP BY 1"""
 )
 def scraped_batches(spark, folder):
-    """Page URLs submitted in batches of fifty, run through the whole flow; every tenth page answers 503."""
+    """Page URLs submitted in batches of fifty, run through the whole flow; every tenth page answers 503.
+
+    Pages of the same address were fetched once: the log holds the first.
+    """
     pages = table(spark, folder, "pages", spread=True)
     bare = F.regexp_replace("url", "#.*$", "")
     normal = F.regexp_replace(bare, "^(https?://[^/?]+)(?=[?]|$)", "$1/")
     batches = pages.groupBy(F.floor(F.col("page_id") / 50).alias("job_id")).agg(F.collect_list("url").alias("urls"))
-    log = pages.select(
-        normal.alias("url"),
+    fetched = dedupe_first(pages.select("page_id", "html", normal.alias("url")), "url", ["page_id"])
+    log = fetched.select(
+        "url",
         F.when(F.col("page_id") % 10 == 9, 503).otherwise(200).alias("status"),
         F.lit(None).cast("string").alias("location"),
         F.lit("text/html").alias("content_type"),
