@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import includes_future
 from ..operators.articles import extract_articles, item_outcome
-from ..operators.fetch import host_rules, resolve_redirects
+from ..operators.fetch import classify_fetch, host_rules, resolve_redirects
 from ..operators.jobs import classify_items, transition_items
 from ..operators.search import advance, emitted_jobs, next_runs, usable_hits
+from ..operators.skew import lookup_join
 from ..sources.intake import explode_batches, read_result_pages
 
 
@@ -25,21 +26,22 @@ def scrape_batches(
 ) -> tuple[DataFrame, DataFrame]:
     """URL batches (job_id, urls) through the crawl log to job items → (items, rejected batches).
 
-    ``jobs`` is (job_id, start_date, end_date, timezone). Bodies are joined only to the chains that end on a page, right
-    before they are read, and dropped right after.
+    ``jobs`` is (job_id, start_date, end_date, timezone). Bodies are read where the log has them and are never shuffled:
+    responses that are no page are left out first, and only the articles' fields are joined to the chains.
     """
     submitted, rejects = explode_batches(batches, "job_id", "urls")
     chains = resolve_redirects(submitted, fetch_log, rules=host_rules(robots, agent), **policy)
-    good = chains.filter("outcome = 'page'")
-    bodies = fetch_log.select(F.col("url").alias("final_url"), F.col("body").alias("html"))
-    # one body per final URL is read once, however many items lead to it
-    wanted = bodies.join(good.select("final_url").distinct(), "final_url", "left_semi")
-    articles = extract_articles(wanted, "html", "final_url", min_words=min_words).select(
+    response = classify_fetch("status", "location", "content_type", "content_length", F.octet_length("body"))
+    read = fetch_log.filter(response["outcome"] == "page").select(F.col("url").alias("final_url"), F.col("body").alias("html"))
+    articles = extract_articles(read, "html", "final_url", min_words=min_words).select(
         "final_url", "canonical_url", "domain", "title", "word_count", "content_hash", "publication_time",
         item_outcome("reject_reason").alias("_gate"),
     )
-    read = chains.join(articles, "final_url", "left")
-    items = read.withColumns(
+    ended = F.when(F.col("outcome") == "page", F.col("final_url"))
+    joined = lookup_join(
+        chains.withColumn("_page", ended), articles.withColumnRenamed("final_url", "_page"), ["_page"], ["job_id", "position"]
+    )
+    items = joined.withColumns(
         {
             "error_code": F.coalesce("error_code", "_gate.error_code"),
             "error_detail": F.coalesce("error_detail", "_gate.error_detail"),
@@ -48,7 +50,7 @@ def scrape_batches(
             "published_utc": F.col("publication_time.utc"),
             "published_date": F.col("publication_time.date"),
         }
-    ).drop("_gate", "outcome")
+    ).drop("_gate", "outcome", "_page")
     return classify_items(transition_items(items, now), jobs), rejects
 
 
