@@ -99,12 +99,12 @@ def resolve_redirects(
     keep = requests.columns
     found = F.col("_response")
     for hop in range(max_redirects + 1):
-        checked = validate_urls(live, "_current", **policy).withColumnRenamed("normalized_url", "_at")
+        checked = validate_urls(live, "_current", spread_by=keep, **policy).withColumnRenamed("normalized_url", "_at")
         if rules is None:
             no_rule = {"robots_status": "unknown", "error_code": None, "error_detail": None}
             checked = checked.withColumns({name: F.lit(value).cast("string") for name, value in no_rule.items()})
         else:
-            checked = apply_rules(checked, rules, url="_at")
+            checked = apply_rules(checked, rules, url="_at", spread_by=keep)
         joined = lookup_join(checked, log, ["_at"], keep, salts=salts)
         state = (
             F.when(F.col("reject_reason").isNotNull(), _outcome("error", "unsafe_url", F.col("reject_reason")))
@@ -236,15 +236,20 @@ def host_rules(robots: DataFrame, agent: str, respect: bool = True, fail_closed:
 
 
 def apply_rules(
-    urls: DataFrame, rules: DataFrame, respect: bool = True, fail_closed: bool = True, url: str = "url"
+    urls: DataFrame,
+    rules: DataFrame,
+    respect: bool = True,
+    fail_closed: bool = True,
+    url: str = "url",
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``robots_status``, ``crawl_delay`` and, where denied, ``error_code``/``error_detail`` to URLs with a ``host``.
 
     Hot hosts are spread, since each URL only needs its host's row. A host without a response counts as one that could
-    not be reached.
+    not be reached. ``spread_by`` names columns that tell rows of one host apart, when the URL does not.
     """
     missing = robots_status(F.lit(None).cast("int"), F.lit(None).cast("int"), respect, fail_closed)
-    joined = lookup_join(urls, rules, ["host"], [url]).withColumn("_verdict", F.coalesce("_verdict", missing))
+    joined = lookup_join(urls, rules, ["host"], spread_by or [url]).withColumn("_verdict", F.coalesce("_verdict", missing))
     path = url_parts(url)["path"]
     # an empty rule list, or a host without rules, allows everything
     blocked = (F.col("_verdict.robots_status") == "allowed") & ~F.coalesce(path_allowed(path, "rules"), F.lit(True))

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import classify_date, includes_future, month_windows, report_date
 from ..functions.text import col
-from .skew import ranked
+from .skew import lookup_join, ranked
 
 # Limits and messages of the job tables.
 MAX_ATTEMPTS = 3
 RECENT = 20
 ITEMS_PER_ROW = 100
 RETRY_LIMIT_DETAIL = "Batas retry worker tercapai"
+UNKNOWN_ERROR_DETAIL = "Terjadi kesalahan internal"
 ERROR_CODES = ("unsafe_url", "robots_denied", "fetch_failed", "extraction_failed", "internal_error")
 
 
@@ -32,7 +33,7 @@ def classify_error(code: Column | str, detail: Column | str, retryable: Column |
     failed = col(failed)
     return F.struct(
         F.when(failed, F.when(known, col(code)).otherwise(F.lit("internal_error"))).alias("error_code"),
-        F.when(failed, F.when(known, col(detail)).otherwise(F.lit("Terjadi kesalahan internal"))).alias("error_detail"),
+        F.when(failed, F.when(known, col(detail)).otherwise(F.lit(UNKNOWN_ERROR_DETAIL))).alias("error_detail"),
         F.when(failed, F.when(known, col(retryable)).otherwise(F.lit(True))).alias("retryable"),
     )
 
@@ -122,7 +123,7 @@ def classify_items(items: DataFrame, jobs: DataFrame) -> DataFrame:
     failed item of a dated job is unknown and not included.
     """
     filters = jobs.select("job_id", "start_date", "end_date", "timezone")
-    joined = items.join(filters, "job_id", "left")
+    joined = lookup_join(items, filters, ["job_id"], _row_columns(items))
     none = F.lit(None)
     ok = F.col("status") == "success"
     verdict = classify_date(
@@ -144,6 +145,14 @@ def visible_items(items: DataFrame, include_excluded: bool = False) -> DataFrame
     return items.filter(~F.col("has_filter") | F.coalesce("included", F.lit(False)))
 
 
+_SMALL = ("integer", "long", "string", "timestamp", "date")  # types that are cheap to hash
+
+
+def _row_columns(items: DataFrame) -> list[str]:
+    """Small columns that tell the items of one job apart."""
+    return [f.name for f in items.schema if f.name != "job_id" and f.dataType.typeName() in _SMALL]
+
+
 def _bucket() -> Column:
     return (
         F.when(F.col("status").isin("queued", "running"), "pending")
@@ -163,7 +172,8 @@ def _dated(items: DataFrame, jobs: DataFrame) -> DataFrame:
     An item says by its date_basis which of its two dates it was classified by.
     """
     filters = jobs.filter("start_date IS NOT NULL AND end_date IS NOT NULL")
-    joined = items.join(filters.select("job_id", "start_date", "end_date", "timezone"), "job_id")
+    filters = filters.select("job_id", "start_date", "end_date", "timezone")
+    joined = lookup_join(items, filters, ["job_id"], _row_columns(items), "inner")
     instant = (F.col("date_basis") == "report_timezone") & F.col("published_utc").isNotNull()
     day = F.when(instant, report_date("published_utc", "timezone")).otherwise(F.col("published_date"))
     return joined.withColumn("_bucket", _bucket()).withColumn("month", F.date_format(day, "yyyy-MM"))

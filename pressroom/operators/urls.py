@@ -64,13 +64,15 @@ def validate_urls(
     allowed_domains: Sequence[str] | DataFrame = (),
     dns: DataFrame | None = None,
     idna: bool = True,
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``host``, ``normalized_url`` and ``reject_reason`` (NULL when the URL is accepted).
 
     The reasons are tested in a fixed order and the first that holds wins. Length and control characters are tested on
     the text as given, the rest after trimming. With a DNS snapshot, hosts without an address or with any address that
     is not public are rejected too; an IPv4 literal stands for itself. ``idna=False`` leaves out the Python stage for
-    host names in other scripts, for tables known to have none.
+    host names in other scripts, for tables known to have none. ``spread_by`` names columns that tell rows of one host
+    apart, when the URL does not.
     """
     raw = F.col(url)
     # one column per step: Spark does not merge steps whose result is used more than once
@@ -85,16 +87,15 @@ def validate_urls(
     host = F.col("_host")
 
     if isinstance(allowed_domains, DataFrame):
-        key = [url]
         listed = allow_domains(df.select("_host").distinct(), "_host", allowed_domains).withColumn("_listed", F.lit(True))
-        df = lookup_join(df, listed, ["_host"], key)
+        df = lookup_join(df, listed, ["_host"], spread_by or [url])
         allowed = F.coalesce(F.col("_listed"), F.lit(False))
     else:
         allowed = F.coalesce(domain_allowed(host, allowed_domains), F.lit(False))
 
     if dns is not None:
         verdicts = host_verdicts(dns).withColumnRenamed("host", "_host")
-        df = lookup_join(df, verdicts, ["_host"], [url])
+        df = lookup_join(df, verdicts, ["_host"], spread_by or [url])
         public = F.coalesce(ipv4_is_public(host), F.col("all_public"))
     else:
         public = F.coalesce(ipv4_is_public(host), F.lit(True))

@@ -302,7 +302,7 @@ def content_hashes(spark, folder):
 )
 def word_gate(spark, folder):
     """Quality gate over documents; German ones count as having a blank title."""
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", spread=True)
     title = F.when(F.col("lang") == "de", "  ").otherwise(F.col("lang"))
     counted = docs.select("lang", title.alias("title"), word_count(clean_text("text")).alias("words"))
     verdict = F.coalesce(article_gate("words", "title"), F.lit("accepted"))

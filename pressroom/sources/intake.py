@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_space
 
-# Limits of one batch and of one provider response.
+# Limits of one batch and of one provider response, and where the response holds its parts.
 MAX_BATCH = 100
 MAX_RESULT_BYTES = 2 * 1024 * 1024
+RESULT_ROWS, RESULT_LINK, NEXT_PAGE, PROVIDER_ERROR = "$.organic_results", "$.link", "$.serpapi_pagination.next", "$.error"
 
 
 def explode_batches(df: DataFrame, batch_id: str = "batch_id", urls: str = "urls") -> tuple[DataFrame, DataFrame]:
@@ -52,15 +53,15 @@ def read_result_pages(df: DataFrame, body: str = "body", status: str = "status")
     is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
     broken = code.isNull() | (code.between(200, 299) & ~is_object)
     refused = ~code.between(200, 299)
-    reported = present(part("$.error"))
+    reported = present(part(PROVIDER_ERROR))
     failed = broken | refused | reported
-    rows = F.coalesce(F.try_variant_get(doc, "$.organic_results", "array<variant>"), F.array().cast("array<variant>"))
+    rows = F.coalesce(F.try_variant_get(doc, RESULT_ROWS, "array<variant>"), F.array().cast("array<variant>"))
 
     def link(row):
-        value = F.try_variant_get(row, "$.link", "variant")
+        value = F.try_variant_get(row, RESULT_LINK, "variant")
         return F.when(F.schema_of_variant(value) == "STRING", F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
 
-    has_next = (F.size(rows) > 0) & present(part("$.serpapi_pagination.next"))
+    has_next = (F.size(rows) > 0) & present(part(NEXT_PAGE))
     return df.select(
         *[c for c in df.columns if c not in (body, status, "_doc")],
         F.when(~failed, F.transform(rows, link)).alias("links"),
