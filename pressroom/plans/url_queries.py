@@ -325,3 +325,25 @@ def optional_fields(spark, folder):
     return table(spark, folder, "orders").select(
         "o_orderkey", first_nonblank(first, second).alias("picked"), optional(second).alias("kept")
     )
+
+
+@query(
+    f"""
+    SELECT page_id, CASE WHEN url LIKE 'http:%' THEN 'http_not_allowed' WHEN length({_HOST}) % 4 = 0 THEN 'unresolved'
+      WHEN length({_HOST}) % 4 = 1 THEN 'not_public' END AS reject_reason
+    FROM pages"""
+)
+def dns_policy(spark, folder):
+    """Page URLs against a DNS snapshot of their hosts: not resolved, one address of two private, IPv6, IPv4."""
+    pages = table(spark, folder, "pages").select("page_id", "url", url_parts("url")["host"].alias("host"))
+    addresses = case_of(
+        F.length("host"),
+        [
+            F.array().cast("array<string>"),
+            F.array(F.lit("8.8.8.8"), F.lit("10.0.0.1")),
+            F.array(F.lit("2606:4700::6810:84e5")),
+            F.array(F.lit("93.184.215.14"), F.lit("93.184.215.15")),
+        ],
+    )
+    dns = pages.select("host").distinct().select("host", F.explode(addresses).alias("ip"))
+    return validate_urls(pages.drop("host"), dns=dns, idna=False).select("page_id", "reject_reason")
