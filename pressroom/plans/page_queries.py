@@ -22,7 +22,8 @@ _ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&
 
 def _decoded(text: str) -> str:
     for entity, plain in _ENTITIES:
-        text = f"replace({text}, '{entity}', {plain if plain.startswith('chr') else chr(39) + plain + chr(39)})"
+        # HTML decodes these without their semicolon too, as a title that was cut short has them
+        text = f"regexp_replace({text}, '{entity}?', {plain if plain.startswith('chr') else chr(39) + plain + chr(39)}, 'g')"
     return text
 
 
