@@ -188,9 +188,11 @@ def exact_groups(docs: DataFrame, keep: str = "max", budget: int = BUDGET) -> Da
     owners = text_owners(docs, keep, budget)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key(text_of()).alias("k"))
     rows = rows.select("doc_id", F.col("k.length").alias("length"), F.col("k.sha").alias("sha")).distinct()
-    joined = rows.hint("merge").join(owners, ["length", "sha"])
+    # null-safe, or Spark would test the keys for nulls before the join and so work them out twice
+    same = rows["length"].eqNullSafe(owners["length"]) & rows["sha"].eqNullSafe(owners["sha"])
+    joined = rows.hint("merge").join(owners, same)
     return joined.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), rows["sha"].alias("text_sha256")
     )
 
 

@@ -282,5 +282,6 @@ def keep_first_of_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFra
     rows = durable(printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("print")))
     classes = durable(component_of_prints(rows, threshold))
     own = printed["doc_id"].cast("long").eqNullSafe(classes["component_id"])
-    first = printed.hint("merge").join(classes, (printed[name] == classes["print"]) & own, "left_semi")
+    # null-safe, or Spark would test the fingerprints for nulls before the join and so work them out twice
+    first = printed.hint("merge").join(classes, printed[name].eqNullSafe(classes["print"]) & own, "left_semi")
     return first.dropDuplicates(["doc_id", name]).drop(name)
