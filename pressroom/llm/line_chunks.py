@@ -44,7 +44,8 @@ def with_chunks(texts: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
 def _occurrences(docs: DataFrame, min_lines: int, divisor: int) -> DataFrame:
     """doc_id, text_key, pos, chunk_key, chunk: one row per chunk of ``min_lines`` lines or more."""
-    cut = with_chunks(docs, divisor).select("doc_id", "text_key", F.posexplode("chunks").alias("pos", "c"))
+    # the outer form, though no array is empty: before the other one Spark tests the array's size, and so cuts every text twice
+    cut = with_chunks(docs, divisor).select("doc_id", "text_key", F.posexplode_outer("chunks").alias("pos", "c"))
     long_enough = cut.filter(F.col("c.n_lines") >= min_lines)
     return long_enough.select("doc_id", "text_key", "pos", F.md5(F.col("c.text").cast("binary")).alias("chunk_key"), F.col("c.text").alias("chunk"))
 
