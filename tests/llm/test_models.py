@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressroom.llm import ann, quality, toxicity
 
-MIDDLE = "/root/testdata/sf0.01"
+MIDDLE = "/root/testdata/sf0.1"
 ODD = [(9001, None), (9002, ""), (9003, " \n"), (9004, "word " * 60_000), (9005, "\U0001f600漢"), (None, "no id"), (9002, ""), (9002, "")]
 
 
@@ -127,7 +127,7 @@ def test_odd_vectors_ties_and_a_hot_leaf(spark):
     rows = [(i, [draw.gauss(0, 1) for _ in range(6)]) for i in range(300)]
     rows += [(1000 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(300)]
     good = list(rows)
-    bad = [(5000, None), (5020, []), (5040, [0.0] * 6), (5060, [1.0, None, 0, 0, 0, 0]), (5080, [float("nan")] + [1.0] * 5), (5100, [float("inf")] + [1.0] * 5), (5120, [1.0] * 5), (None, [1.0] * 6)]
+    bad = [(5000, None), (5020, []), (5040, [0.0] * 6), (5060, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5080, [float("nan")] + [1.0] * 5), (5100, [float("inf")] + [1.0] * 5), (5120, [1.0] * 5), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, 0, 1.0) for i, v in rows + bad + rows[:4]], "vec_id long, embedding array<double>, leaf int, score double")
     got = by_query(ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=20, recall=1.0, sample_rows=500, block_rows=40, block_queries=3))
     truth = brute_force(good, [i for i, _ in good if i % 20 == 0], 20)
