@@ -114,6 +114,10 @@ def resolve_redirects(
                 (found["outcome"] == "redirect") & F.lit(hop == max_redirects),
                 _outcome("error", "fetch_failed", "too many redirects"),
             )
+            .when(
+                (found["outcome"] == "redirect") & url_parts("_location").isNull(),
+                _outcome("error", "unsafe_url", "redirect target is not a URL"),
+            )
             .otherwise(found)
         )
         joined = durable(joined.select(*keep, "_current", "_at", "_location", "robots_status", state.alias("_state")))

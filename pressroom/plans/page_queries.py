@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.html import attr, element_text, find_element, meta, page_outlin
 from ..functions.jsonld import jsonld_article, jsonld_fields
 from ..functions.register import register
 from ..functions.text import article_gate, clean_text, content_hash, word_count
-from ..functions.urls import is_listing
+from ..functions.urls import LISTING_PREFIXES, is_listing
 from ..operators.articles import extract_articles, first_element, html_elements, item_outcome
 from ..operators.urls import dedupe_first, validate_urls
 from ..sources.tables import articles_from_json, articles_to_json
@@ -101,16 +103,23 @@ def main_texts(spark, folder):
     return pages.select("page_id", content_hash("content").alias("content_hash"), word_count("content").alias("words"))
 
 
+_LISTING_PAGE = (
+    "regexp_matches(lower(regexp_extract(url, '://[^/?#]+([^?#]*)', 1)), '^/?$" + "".join(f"|^{re.escape(p)}" for p in LISTING_PREFIXES) + "')"
+)
+
+
 @query(
     f"""
     WITH {_ARTICLE_TEXT},
-    counted AS (SELECT page_id, len(regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}_]+')) AS words FROM cleaned)
+    counted AS (SELECT page_id, len(regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}_]+')) AS words FROM cleaned),
+    judged AS (SELECT *, url LIKE 'https:%' AND {_LISTING_PAGE} AS listing, url LIKE 'https:%' AND NOT {_LISTING_PAGE} AS article FROM pages)
     SELECT regexp_extract(url, '([^./]+\\.[^./]+)(/|$|\\?|#)', 1) AS domain, count(*) AS pages,
-           count(*) FILTER (WHERE url LIKE 'https:%' AND words >= 80) AS accepted,
-           count(*) FILTER (WHERE url LIKE 'https:%' AND words < 80) AS too_short,
+           count(*) FILTER (WHERE article AND words >= 80) AS accepted,
+           count(*) FILTER (WHERE article AND words < 80) AS too_short,
+           count(*) FILTER (WHERE listing) AS listing,
            count(*) FILTER (WHERE url LIKE 'http:%') AS rejected_urls,
-           coalesce(sum(words) FILTER (WHERE url LIKE 'https:%' AND words >= 80), 0)::BIGINT AS words
-    FROM pages JOIN counted USING (page_id) GROUP BY 1"""
+           coalesce(sum(words) FILTER (WHERE article AND words >= 80), 0)::BIGINT AS words
+    FROM judged JOIN counted USING (page_id) GROUP BY 1"""
 )
 def corpus_summary(spark, folder):
     """Flagship: pages → validated URLs → main text → quality gate → counts per domain.
@@ -123,6 +132,7 @@ def corpus_summary(spark, folder):
     checked = checked.select(
         F.regexp_extract("url", r"://[^/?#]*?([^./]+\.[^./?#]+)(?:[/?#]|$)", 1).alias("domain"),
         F.col("reject_reason").isNotNull().alias("rejected"),
+        listing.alias("listing"),
         F.when(F.col("reject_reason").isNull() & ~listing, F.col("html")).alias("html"),
     )
     outlined = checked.withColumn("_o", page_outline("html")).drop("html")
@@ -130,15 +140,18 @@ def corpus_summary(spark, folder):
     read = outlined.select(
         "domain",
         "rejected",
+        "listing",
         clean_text(outline["main_text"]).alias("content"),
         element_text(outline["text"], find_element(outline["elements"], "title")).alias("title"),
     ).withColumn("words", word_count("content"))
     verdict = article_gate("words", "title")
-    good = ~F.col("rejected") & verdict.isNull()
+    article = ~F.col("rejected") & ~F.col("listing")
+    good = article & verdict.isNull()
     return read.groupBy("domain").agg(
         F.count("*").alias("pages"),
         F.count_if(good).alias("accepted"),
-        F.count_if(~F.col("rejected") & (verdict == "too_short")).alias("too_short"),
+        F.count_if(article & (verdict == "too_short")).alias("too_short"),
+        F.count_if("listing").alias("listing"),
         F.count_if("rejected").alias("rejected_urls"),
         F.coalesce(F.sum(F.when(good, F.col("words"))), F.lit(0)).cast("bigint").alias("words"),
     )

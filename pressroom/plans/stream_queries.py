@@ -70,7 +70,10 @@ def stream_completed_jobs(spark, folder):
     with_rocksdb(spark)
     totals = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count("*").alias("total"))
     lines = read_stream(spark, folder, "lineitem.parquet").select(
-        F.col("l_orderkey").alias("job_id"), _status("l_returnflag", "l_linestatus").alias("status")
+        F.col("l_orderkey").alias("job_id"),
+        # line numbers repeat within an order here, whole lines don't
+        F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("position"),
+        _status("l_returnflag", "l_linestatus").alias("status"),
     )
     return run_available(spark, completed_jobs(lines.join(totals, "job_id")), "completed")
 

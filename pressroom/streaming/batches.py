@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.fetch import next_allowed, schedule_requests
@@ -44,10 +44,12 @@ def schedule_stream(
 def advance_stream(
     spark: SparkSession, commands: DataFrame, runs: DataFrame, pages: DataFrame, hits: DataFrame, seen: DataFrame, folder: str
 ) -> DataFrame:
-    """Resumable discovery: commands (search_id, command_id) arrive as a stream, one per search and micro-batch.
+    """Resumable discovery: commands (search_id, command_id) arrive as a stream, any number per search and micro-batch.
 
-    Search runs and seen URLs are carried in versioned tables. A command that is delivered again, in the same batch after
-    a failure or in a later one, gives its stored result and no new job. Returns the emitted jobs with their URLs.
+    The commands of one search in one micro-batch are carried out one after the other in order of command_id, each from the
+    state that the one before left; commands of different searches go together. Search runs and seen URLs are carried in
+    versioned tables. A command that is delivered again, in the same batch after a failure or in a later one, gives its
+    stored result and no new job. Returns the emitted jobs with their URLs.
     """
     runs_schema = runs.drop("command_id").schema
     seen_schema = "search_id string, url string"
@@ -56,14 +58,23 @@ def advance_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         state = batch_table(spark, f"{folder}/runs", batch_id, runs_schema) if batch_id else start_runs
         known = batch_table(spark, f"{folder}/seen", batch_id, seen_schema) if batch_id else start_seen
-        wanted = batch.groupBy("search_id").agg(F.min("command_id").alias("command_id"))
-        moved = durable(advance(state.join(wanted, "search_id"), pages, hits, known))
-        next_runs(state, moved).write.mode("overwrite").parquet(f"{folder}/runs/{batch_id}")
-        new = moved.filter("error_code IS NULL AND NOT replayed").select("search_id", F.explode("new_seen").alias("url"))
-        merge_seen(known, new, ["search_id", "url"]).write.mode("overwrite").parquet(f"{folder}/seen/{batch_id}")
-        jobs, items = emitted_jobs(moved)
-        out = jobs.join(items, "job_id").select("search_id", "command_id", "job_id", "position", "url")
-        out.write.mode("overwrite").parquet(f"{folder}/items/batch={batch_id}")
+        in_turn = Window.partitionBy("search_id").orderBy("command_id")
+        commands_ = durable(batch.select("search_id", "command_id").distinct().withColumn("nth", F.row_number().over(in_turn)))
+        out = f"{folder}/items/batch={batch_id}"
+        turns = commands_.agg(F.max("nth")).first()[0] or 0
+        for nth in range(1, max(1, turns) + 1):
+            wanted = commands_.filter(F.col("nth") == nth).drop("nth")
+            moved = durable(advance(state.join(wanted, "search_id"), pages, hits, known))
+            jobs, items = emitted_jobs(moved)
+            emitted = jobs.join(items, "job_id").select("search_id", "command_id", "job_id", "position", "url")
+            # the first turn clears what a failed attempt of this batch has left
+            emitted.write.mode("overwrite" if nth == 1 else "append").parquet(out)
+            new = moved.filter("error_code IS NULL AND NOT replayed").select("search_id", F.explode("new_seen").alias("url"))
+            state, known = next_runs(state, moved), merge_seen(known, new, ["search_id", "url"])
+            if nth < turns:
+                state, known = durable(state), durable(known)
+        state.write.mode("overwrite").parquet(f"{folder}/runs/{batch_id}")
+        known.write.mode("overwrite").parquet(f"{folder}/seen/{batch_id}")
 
     each_batch(commands, step, f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/items").drop("batch")

@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
@@ -24,19 +25,26 @@ COMPLETED = _struct(job_id=LongType(), completed=LongType(), succeeded=LongType(
 
 
 class _JobCompletion(StatefulProcessor):
+    """State: the counts of a job, and the positions that have ended until all have."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getValueState("counts", _struct(succeeded=LongType(), failed=LongType(), done=LongType()))
+        self.ended = handle.getMapState("ended", _struct(position=LongType()), _struct(one=LongType()))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         succeeded, failed, done = self.counts.get() if self.counts.exists() else (0, 0, 0)
         total = None
         for row in rows:
+            total = row.total
+            if done or self.ended.containsKey((row.position,)):
+                continue  # delivered before
+            self.ended.updateValue((row.position,), (1,))
             succeeded += row.status == "success"
             failed += row.status == "failed"
-            total = row.total
-        finished = not done and succeeded + failed == total
+        finished = not done and total is not None and succeeded + failed >= total
         self.counts.update((succeeded, failed, int(bool(done) or finished)))
         if finished:
+            self.ended.clear()
             yield Row(job_id=key[0], completed=succeeded + failed, succeeded=succeeded, failed=failed)
 
     def close(self) -> None:
@@ -44,11 +52,14 @@ class _JobCompletion(StatefulProcessor):
 
 
 def completed_jobs(outcomes: DataFrame) -> DataFrame:
-    """Emit a job once, when as many of its items have ended as it has (columns job_id, status, total).
+    """Emit a job once, when as many of its items have ended as it has (columns job_id, position, status, total).
 
-    Items that are queued again or still running do not count.
+    Items that are queued again or still running do not count. An item that is delivered again does not count again; its
+    first outcome stays. A job's positions are kept only until it completes.
     """
-    ended = outcomes.filter("status IN ('success', 'failed')").select("job_id", "status", "total")
+    ended = outcomes.filter("status IN ('success', 'failed')").select(
+        "job_id", F.col("position").cast("long").alias("position"), "status", "total"
+    )
     return ended.groupBy("job_id").transformWithState(_JobCompletion(), COMPLETED, "Append", "None")
 
 

@@ -74,12 +74,13 @@ def test_unique_urls_within_a_watermark(spark, files):
 def test_jobs_complete_once(spark, files):
     with_rocksdb(spark)
     add, stream = files
-    schema = "job_id bigint, status string, total bigint"
-    add([(1, "success", 2), (2, "failed", 1), (3, "running", 1)], schema)
-    add([(1, "queued", 2), (3, "queued", 1)], schema)
-    add([(1, "failed", 2), (2, "success", 1)], schema)
+    schema = "job_id bigint, position int, status string, total bigint"
+    add([(1, 0, "success", 2), (2, 0, "failed", 1), (3, 0, "running", 1), (4, 0, "success", 3)], schema)
+    add([(1, 1, "queued", 2), (3, 0, "queued", 1), (4, 0, "success", 3), (4, 0, "success", 3), (4, 1, "failed", 3)], schema)
+    add([(1, 1, "failed", 2), (2, 0, "success", 1)], schema)
+    add([(4, 1, "failed", 3), (4, 2, "success", 3), (1, 0, "success", 2)], schema)
     rows = run_available(spark, completed_jobs(stream()), "jobs").collect()
-    assert sorted(tuple(r) for r in rows) == [(1, 2, 1, 1), (2, 1, 0, 1)]
+    assert sorted(tuple(r) for r in rows) == [(1, 2, 1, 1), (2, 1, 0, 1), (4, 3, 2, 1)]
 
 
 def test_leases_expire(spark, files):
@@ -147,3 +148,25 @@ def test_discovery_resumes_and_answers_twice_alike(spark, files, tmp_path):
     rows = sorted((r.command_id, r.position, r.url) for r in out.collect())
     assert rows == [("c1", 0, "u0"), ("c1", 1, "u1"), ("c2", 0, "u2"), ("c2", 1, "u9"), ("c3", 0, "u10")]
     assert out.select("job_id").distinct().count() == 3
+
+
+def test_every_command_of_a_micro_batch_is_carried_out(spark, small, tmp_path):
+    from pressroom.plans.search_queries import search_tables
+    from pressroom.streaming.batches import advance_stream
+
+    runs, pages, hits, seen = search_tables(spark, small)
+    schema = "search_id string, command_id string"
+
+    def run(batches, name):
+        source = tmp_path / name
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        out = advance_stream(spark, stream, runs, pages, hits, seen, str(tmp_path / f"{name}-out"))
+        return sorted((r.search_id, r.command_id, r.position, r.url) for r in out.collect())
+
+    ids = [str(r.c_custkey) for r in spark.read.parquet(f"{small}/customer.parquet").select("c_custkey").limit(20).collect()]
+    first, second = [(i, "a") for i in ids], [(i, "b") for i in ids]
+    together, apart = run([first + second], "together"), run([first, second], "apart")
+    assert together == apart
+    assert {c for _, c, _, _ in together} == {"a", "b"}
