@@ -2,8 +2,8 @@
 
 The tree is fitted on a bounded sample; every row goes down to its leaf. A query opens nodes from a priority queue, best centre first,
 until it has visited a number of leaves, which is widened until queries of a calibration sample find the asked share of their
-true neighbours. Queries meet the rows of their leaves in blocks of bounded size, so a leaf that holds a third of all rows is
-many groups.
+true neighbours. Small leaves side by side share a block, which a query that visits one of them sees whole; a leaf that holds a
+third of all rows is cut into many. So a block has a bounded size, and a query sends on ``k`` rows per block and not per leaf.
 """
 
 from __future__ import annotations
@@ -199,6 +199,17 @@ def _calibrate(index: DataFrame, tree: Tree, sample: list[tuple[int, bytes]], k:
     return max(1, min(visits, tree.leaves))
 
 
+def blocks_of_leaves(counts: list[int], block_rows: int) -> np.ndarray:
+    """The block of each leaf: leaves side by side share one while they have ``block_rows`` rows at most together."""
+    out, block, held = [], 0, 0
+    for n in counts:
+        if held and held + n > block_rows:
+            block, held = block + 1, 0
+        held += n
+        out.append(block)
+    return np.array(out, np.int32)
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """Rank within the query; Spark keeps ``k`` rows per query and task before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -240,27 +251,32 @@ def nearest_neighbours(
         return spark.createDataFrame([], schema)
     visits = _calibrate(index, tree, sample, k, recall)
 
+    # one number per leaf, of which there are at most the sample's rows
+    counts = dict(index.groupBy("leaf").count().collect())
+    block_of = blocks_of_leaves([counts.get(leaf, 0) for leaf in range(tree.leaves)], block_rows)
+
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _unpacked(batch.column(2))
-            bins = [tree.best_bins(v, visits) for v in q]
-            at = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-            leaves = np.array([x for b in bins for x in b], np.int32)
+            opened = [np.unique(block_of[tree.best_bins(v, visits)]) for v in q]
+            at = np.repeat(np.arange(len(opened)), [len(b) for b in opened])
+            blocks = np.concatenate([np.empty(0, np.int32), *opened]).astype(np.int32)
             for part in np.array_split(np.arange(len(at)), max(1, len(at) // 20_000)):
                 take = pa.array(at[part])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(leaves[part]), batch.column(2).take(take)], ["query_id", "leaf", "q"])
-
-    visiting = asked.mapInArrow(traverse, "query_id long, leaf int, q binary")
-    # one row per leaf, of which there are at most the sample's rows
-    n_rows = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("row_blocks"))
-    n_asked = visiting.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("query_blocks"))
-    blocks = F.broadcast(durable(n_rows.join(n_asked, "leaf")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(blocks[part]), batch.column(2).take(take)], ["query_id", "block", "q"])
+
+    visiting = asked.mapInArrow(traverse, "query_id long, block int, q binary")
+    leaves = spark.createDataFrame([(leaf, int(b)) for leaf, b in enumerate(block_of)], "leaf int, block int")
+    rows = index.join(F.broadcast(leaves), "leaf")
+    n_rows = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("row_blocks"))
+    n_asked = visiting.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("query_blocks"))
+    blocks = F.broadcast(durable(n_rows.join(n_asked, "block")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(blocks, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int").alias("rb"), every("query_blocks").alias("qb"), "vec_id", "v"
+    left = rows.join(blocks, "block").select(
+        "block", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int").alias("rb"), every("query_blocks").alias("qb"), "vec_id", "v"
     )
-    right = visiting.join(blocks, "leaf").select(
-        "leaf", every("row_blocks").alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"), "query_id", "q"
+    right = visiting.join(blocks, "block").select(
+        "block", every("row_blocks").alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"), "query_id", "q"
     )
 
     def compare(candidates: pa.Table, searching: pa.Table) -> pa.Table:
@@ -271,6 +287,6 @@ def nearest_neighbours(
             a, b, score = top(q_ids.to_numpy(), _unpacked(searching.column(4)), ids.to_numpy(), _unpacked(candidates.column(4)), k)
         return pa.table({"query_id": q_ids.take(pa.array(a)), "vec_id": ids.take(pa.array(b)), "score": pa.array(score, pa.float64())})
 
-    key = ["leaf", "rb", "qb"]
+    key = ["block", "rb", "qb"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
