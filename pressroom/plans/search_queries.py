@@ -239,9 +239,9 @@ def search_tables(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataF
         key.cast("string").alias("search_id"),
         F.when(key % 17 == 0, "discovery_complete").when(key % 19 == 0, "failed").otherwise("ready").alias("status"),
         F.lit("2024-01-20").cast("date").alias("start_date"),
-        F.lit("2024-03-03").cast("date").alias("end_date"),
-        F.lit(4).alias("max_articles"),
-        F.lit(3).alias("max_pages"),
+        F.when(key % 5 == 0, "2024-01-31").otherwise("2024-03-03").cast("date").alias("end_date"),
+        (2 + key % 5).cast("int").alias("max_articles"),
+        (1 + key % 4).cast("int").alias("max_pages"),
         F.lit(0).alias("month"),
         F.lit(0).alias("offset"),
         F.when(key % 3 == 0, F.array(F.lit("https://n.example/old"))).otherwise(none).alias("pending"),
@@ -276,23 +276,57 @@ def search_tables(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     return runs, pages, hits, seen
 
 
-@query()
+# one command of every search of search_tables; the results of a month come on two pages, so only the second can repeat the first
+ADVANCE_SQL = """RECURSIVE hit AS (
+      SELECT o_custkey AS k, o_orderkey % 6 // 2 AS month, o_orderkey % 2 AS leaf, o_orderkey AS rank,
+        CASE WHEN o_orderkey % 7 > 0 THEN 'https://n.example/' || (o_orderkey // 2 % 40) END AS url FROM orders),
+    page AS (SELECT k, month, leaf, count(*) AS n FROM hit GROUP BY ALL),
+    firsts AS (SELECT k, month, leaf, url, min(rank) AS rank FROM hit WHERE url <> 'https://n.example/' || (k % 40) GROUP BY ALL),
+    news AS (SELECT k, month, leaf, list(url ORDER BY rank) AS urls FROM firsts GROUP BY ALL),
+    search AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 3 END AS months, 2 + c_custkey % 5 AS room, 1 + c_custkey % 4 AS turns,
+      CASE WHEN c_custkey % 3 = 0 THEN ['https://n.example/old'] ELSE []::VARCHAR[] END AS waiting,
+      c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 AS live FROM customer),
+    walk AS (
+      SELECT k, 0 AS turn, 0 AS month, 0 AS leaf, waiting AS urls, 0::BIGINT AS n, 0 AS repeats, FALSE AS bare FROM search WHERE live
+      UNION ALL
+      SELECT k, turn + 1, month + leaf, 1 - leaf, urls || fresh, n + got, repeats + (leaf = 1 AND bare AND len(fresh) = 0)::INTEGER, len(fresh) = 0
+      FROM (
+        SELECT w.*, coalesce(p.n, 0) AS got, coalesce(list_filter(f.urls, lambda u: NOT list_contains(w.urls, u)), []::VARCHAR[]) AS fresh
+        FROM walk w JOIN search s USING (k) LEFT JOIN page p ON p.k = w.k AND p.month = w.month AND p.leaf = w.leaf
+          LEFT JOIN news f ON f.k = w.k AND f.month = w.month AND f.leaf = w.leaf
+        WHERE w.turn < s.turns AND w.month < s.months AND len(w.urls) < s.room)),
+    last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY k ORDER BY turn DESC) = 1),
+    advanced AS (
+      SELECT s.k, live, coalesce(turn, 0) AS pages_fetched, coalesce(month, 0) AS month, coalesce(leaf, 0) * 10 AS "offset", coalesce(urls[:room], []) AS urls,
+        coalesce(urls[room + 1:], waiting) AS pending, coalesce(n - (len(urls) - len(waiting)), 0) AS skipped, coalesce(repeats, 0) AS repeats,
+        CASE WHEN s.k % 17 = 0 OR (month >= months AND len(urls) <= room) THEN 'discovery_complete' WHEN s.k % 19 = 0 THEN 'failed' ELSE 'ready' END AS status
+      FROM search s LEFT JOIN last l ON l.k = s.k)"""
+
+
+@query(
+    f"""
+    WITH {ADVANCE_SQL}
+    SELECT k::VARCHAR AS search_id, CASE WHEN live AND (len(urls) > 0 OR status = 'ready') THEN 'queued' ELSE status END AS result_status, len(urls)::INTEGER AS total,
+      pages_fetched::INTEGER AS pages_fetched, skipped::INTEGER AS skipped_now, status, month::INTEGER AS month, "offset"::INTEGER AS "offset",
+      array_to_string(urls, ' ') AS urls, array_to_string(pending, ' ') AS pending, repeats::INTEGER AS repeats FROM advanced"""
+)
 def advance_budget(spark, folder):
-    """One command of every dated search: three pages and four articles at most."""
+    """One command of every dated search, within its own limits of pages and articles."""
     moved = advance(*search_tables(spark, folder))
-    return moved.select("search_id", "result_status", "total", "pages_fetched", "skipped_now", "status", "month", "offset", F.array_join("urls", " ").alias("urls"))
+    return moved.select(
+        "search_id", "result_status", "total", "pages_fetched", "skipped_now", "status", "month", "offset", F.array_join("urls", " ").alias("urls"),
+        F.array_join("pending", " ").alias("pending"), F.size("warnings").alias("repeats"),
+    )
 
 
 @query(
-    """
-    SELECT c_custkey::VARCHAR AS search_id, CASE WHEN c_custkey % 17 = 0 THEN 'discovery_complete' WHEN c_custkey % 19 = 0 THEN 'failed' ELSE 'ready' END AS status,
-      c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 AS moved, c_custkey % 17 = 0 OR c_custkey % 19 = 0 OR TRUE AS unchanged_on_replay
-    FROM customer"""
+    f"""
+    WITH {ADVANCE_SQL}
+    SELECT k::VARCHAR AS search_id, status, live AND (len(urls) > 0 OR status = 'ready' OR pages_fetched > 0) AS moved, TRUE AS unchanged_on_replay FROM advanced"""
 )
 def advance_replay(spark, folder):
     """The same command twice: the second run gives the stored result and makes no new job."""
     runs, pages, hits, seen = search_tables(spark, folder)
-    # one call cannot finish three months of two pages each, so no search completes here
     first = advance(runs, pages, hits, seen)
     after = next_runs(runs, first)
     again = advance(after, pages, hits, seen)

@@ -11,7 +11,7 @@ from ..streaming.state import completed_jobs, expired_on_stream
 from .catalog import query, table
 from .fetch_queries import _REQUESTS, _schedule_sql
 from .job_queries import _status
-from .search_queries import search_tables
+from .search_queries import ADVANCE_SQL, search_tables
 
 _CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
 
@@ -119,7 +119,11 @@ def stream_stale_guard(spark, folder):
     return run_available(spark, fenced_completions(done, leases), "fence").select("id")
 
 
-@query()
+@query(
+    f"""
+    WITH {ADVANCE_SQL}, placed AS (SELECT k, unnest(urls) AS url, generate_subscripts(urls, 1) - 1 AS position FROM advanced)
+    SELECT k::VARCHAR AS search_id, 'c1-' || k AS command_id, md5(k || '|c1-' || k) AS job_id, position::INTEGER AS position, url FROM placed"""
+)
 def stream_discovery(spark, folder):
     """One command per customer's search, through the checkpointed discovery stream."""
     runs, pages, hits, seen = search_tables(spark, folder)
