@@ -26,6 +26,33 @@ def _is_article(obj: dict) -> bool:
     return any(isinstance(kind, str) and kind.strip() in ARTICLE_TYPES for kind in kinds)
 
 
+def _entries(value: list) -> list:
+    """The entries of a list and of the lists inside it, in order."""
+    found, pending = [], [value]
+    while pending:
+        item = pending.pop()
+        if isinstance(item, list):
+            pending.extend(reversed(item))
+        else:
+            found.append(item)
+    return found
+
+
+def _flat(article: dict) -> dict:
+    """The article with lists inside lists of authors and images flattened, so that the native readers need no depth.
+
+    Names of nested lists are joined like those of one list, and the first image of a first list is the first image.
+    """
+    authors, image = article.get("author"), article.get("image")
+    if isinstance(authors, list) and any(isinstance(a, list) for a in authors):
+        article = {**article, "author": _entries(authors)}
+    if isinstance(image, list) and image and isinstance(image[0], list):
+        while isinstance(image, list):
+            image = image[0] if image else None
+        article = {**article, "image": image}
+    return article
+
+
 def pick_article(scripts: Iterable[str | None]) -> str | None:
     """JSON text of the first article object in document order, however deep; scripts with invalid JSON are skipped."""
     for script in scripts:
@@ -37,7 +64,7 @@ def pick_article(scripts: Iterable[str | None]) -> str | None:
             value = pending.pop()
             if isinstance(value, dict):
                 if _is_article(value):
-                    text = json.dumps(value, ensure_ascii=False)
+                    text = json.dumps(_flat(value), ensure_ascii=False)
                     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
                 pending.extend(reversed(value.values()))
             elif isinstance(value, list):
@@ -138,7 +165,10 @@ def as_string(value: Column) -> Column:
 
 
 def author_name(value: Column, depth: int = 3) -> Column:
-    """An object's name, a list of authors joined with ', ' (lists within lists up to ``depth``), or a string."""
+    """An object's name, a list of authors joined with ', ', or a string.
+
+    :func:`pick_article` has flattened lists within lists; for JSON from elsewhere they are read up to ``depth``.
+    """
     return let_sql(value, "v", _author("v", depth))
 
 

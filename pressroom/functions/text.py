@@ -1,4 +1,4 @@
-"""Text functions: every one is a Column expression that stays inside codegen."""
+"""Text functions: every one is a Column expression that runs in the JVM; those with lambdas are interpreted, not generated code."""
 
 from __future__ import annotations
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..functions.urls import resolve_url, url_parts
-from .skew import GROUP_ROWS, SALTS, carried_scan, durable, has_hot_group, lookup_join
+from .skew import durable, first_per_key, ordered_chunks
 from .urls import validate_urls
 
 # Limits and status sets of the crawler.
@@ -18,6 +18,9 @@ MAX_PAGE_BYTES = 5 * 1024 * 1024
 MAX_ROBOTS_BYTES = 512 * 1024
 MAX_REDIRECTS = 3
 
+# the detail of a redirect whose target cannot be read as a URL
+NO_TARGET = "redirect target is not a URL"
+
 OUTCOME = "struct<outcome:string,error_code:string,error_detail:string,retryable:boolean>"
 
 
@@ -76,36 +79,38 @@ def resolve_redirects(
     requests: DataFrame,
     fetch_log: DataFrame,
     max_redirects: int = MAX_REDIRECTS,
-    salts: int = SALTS,
     rules: DataFrame | None = None,
     **policy,
 ) -> DataFrame:
-    """Follow every request (column ``url``) through the fetch log (one row per fetched ``url``).
+    """Follow every request (column ``url``) through the fetch log; of repeated captures of a ``url`` the latest counts.
 
     One join per hop, ``max_redirects`` + 1 in all. Each hop is validated, and tested against robots ``rules`` (see
     :func:`host_rules`) when they are given, before its response is looked at: an unsafe or denied target ends the chain
-    unread. Only URLs travel through the joins, the bodies stay in the log, and requests that meet at one address are
-    spread over ``salts`` tasks. Each hop is materialised, since its rows are both a result and the start of the next
+    unread. Only URLs travel through the joins and the bodies stay in the log. Each hop is materialised, since its rows are both a result and the start of the next
     hop; the loop ends with the last chain. Adds ``final_url``, ``hops``, ``robots_status`` and the outcome columns.
     """
+    captured = F.col("fetched_at") if "fetched_at" in fetch_log.columns else F.lit(None).cast("timestamp")
     log = fetch_log.select(
+        captured.alias("_captured"),
         F.col("url").alias("_at"),
         F.col("location").alias("_location"),
         classify_fetch("status", "location", "content_type", "content_length", F.octet_length("body")).alias("_response"),
     )
+    latest = [F.col("_captured").desc_nulls_last(), F.struct("_location", "_response")]
+    log = first_per_key(log, ["_at"], latest).drop("_captured")
     live = requests.select("*", F.col("url").alias("_current"))
     done = []
     following = resolve_url("_at", "_location")
     keep = requests.columns
     found = F.col("_response")
     for hop in range(max_redirects + 1):
-        checked = validate_urls(live, "_current", spread_by=keep, **policy).withColumnRenamed("normalized_url", "_at")
+        checked = validate_urls(live, "_current", **policy).withColumnRenamed("normalized_url", "_at")
         if rules is None:
             no_rule = {"robots_status": "unknown", "error_code": None, "error_detail": None}
             checked = checked.withColumns({name: F.lit(value).cast("string") for name, value in no_rule.items()})
         else:
-            checked = apply_rules(checked, rules, url="_at", spread_by=keep)
-        joined = lookup_join(checked, log, ["_at"], keep, salts=salts)
+            checked = apply_rules(checked, rules, url="_at")
+        joined = checked.join(log, "_at", "left")
         state = (
             F.when(F.col("reject_reason").isNotNull(), _outcome("error", "unsafe_url", F.col("reject_reason")))
             .when(F.col("error_code").isNotNull(), _outcome("error", F.col("error_code"), F.col("error_detail")))
@@ -116,7 +121,7 @@ def resolve_redirects(
             )
             .when(
                 (found["outcome"] == "redirect") & url_parts("_location").isNull(),
-                _outcome("error", "unsafe_url", "redirect target is not a URL"),
+                _outcome("error", "unsafe_url", NO_TARGET),
             )
             .otherwise(found)
         )
@@ -231,6 +236,29 @@ def path_allowed(path: Column | str, rules: Column | str) -> Column:
     return F.coalesce(F.array_max(F.transform(hits, lambda r: F.struct(r["length"], r["allow"])))["allow"], F.lit(True))
 
 
+def robots_responses(hosts: DataFrame, fetch_log: DataFrame, max_redirects: int = MAX_REDIRECTS, **policy) -> DataFrame:
+    """(host, status, body): the answer of each distinct host for its robots.txt, redirects followed through the fetch log.
+
+    Every hop is validated before it is read. A redirect to an unsafe address counts as a refusal (403), whatever the
+    setting for unreachable hosts; a chain that breaks or is too long has no status, like a failed connection.
+    """
+    sites = hosts.select(F.col("host").alias("_site")).filter("_site IS NOT NULL").distinct()
+    asked = sites.withColumn("url", F.concat(F.lit("https://"), F.col("_site"), F.lit("/robots.txt")))
+    chains = resolve_redirects(asked, fetch_log, max_redirects, **policy)
+    captured = F.col("fetched_at") if "fetched_at" in fetch_log.columns else F.lit(None).cast("timestamp")
+    answers = fetch_log.filter(F.col("url").endswith("/robots.txt") | F.col("status").isNotNull()).select(
+        F.col("url").alias("final_url"), "status", "body", captured.alias("_captured")
+    )
+    # only the answers at the ends of chains are read on, before the latest of each is chosen
+    answers = answers.join(chains.select("final_url").distinct(), "final_url", "left_semi")
+    answers = first_per_key(answers, ["final_url"], [F.col("_captured").desc_nulls_last(), F.col("status"), F.col("body")])
+    unsafe = (F.col("error_code") == "unsafe_url") & (F.col("error_detail") != NO_TARGET)
+    status = F.when(F.coalesce(unsafe, F.lit(False)), 403).when(~is_redirect("status"), F.col("status"))
+    joined = chains.join(answers, "final_url", "left").withColumn("_status", status)
+    body = F.when(F.col("_status").between(200, 299), F.col("body"))
+    return joined.select(F.col("_site").alias("host"), F.col("_status").alias("status"), body.alias("body"))
+
+
 def host_rules(robots: DataFrame, agent: str, respect: bool = True, fail_closed: bool = True) -> DataFrame:
     """robots.txt responses (host, status, body; one row per host) → one row per host with its verdict and its rules."""
     verdict = robots_status("status", F.octet_length("body"), respect, fail_closed)
@@ -245,15 +273,13 @@ def apply_rules(
     respect: bool = True,
     fail_closed: bool = True,
     url: str = "url",
-    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``robots_status``, ``crawl_delay`` and, where denied, ``error_code``/``error_detail`` to URLs with a ``host``.
 
-    Hot hosts are spread, since each URL only needs its host's row. A host without a response counts as one that could
-    not be reached. ``spread_by`` names columns that tell rows of one host apart, when the URL does not.
+    A host without a response counts as one that could not be reached.
     """
     missing = robots_status(F.lit(None).cast("int"), F.lit(None).cast("int"), respect, fail_closed)
-    joined = lookup_join(urls, rules, ["host"], spread_by or [url]).withColumn("_verdict", F.coalesce("_verdict", missing))
+    joined = urls.join(rules, "host", "left").withColumn("_verdict", F.coalesce("_verdict", missing))
     path = url_parts(url)["path"]
     # an empty rule list, or a host without rules, allows everything
     blocked = (F.col("_verdict.robots_status") == "allowed") & ~F.coalesce(path_allowed(path, "rules"), F.lit(True))
@@ -282,7 +308,6 @@ def schedule_requests(
     tie: Sequence[str],
     delay: Column | str,
     limits: DataFrame | None = None,
-    group_rows: int = GROUP_ROWS,
     chunks: int | None = None,
 ) -> DataFrame:
     """Politeness schedule: a request starts when it arrives or when its domain is free again, whichever is later.
@@ -292,46 +317,33 @@ def schedule_requests(
     ``start_at`` and ``next_allowed``.
 
     With ``busy`` the delays of the requests before, ``start = busy + max(next_allowed, max(arrival - busy))`` over the
-    requests so far, so no loop is needed. Domains of up to ``group_rows`` requests are one window; when a larger one
-    exists the same values are carried from range to range.
+    requests so far, so no loop is needed. The table is cut into ranges of equal size, and both running values are carried from range
+    to range: a domain of any size is worked on by many tasks. Ranges follow the domains, so a border cuts one domain at most and there are
+    fewer carries than ``chunks``, which bounds the broadcast.
     """
     work = df.withColumn("_delay", col(delay)).withColumn("_arrival", F.col(arrival))
     order = [arrival, *tie]
-
-    def local(window: Window) -> dict[str, Column]:
-        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-        return {"_busy": F.coalesce(F.sum("_delay").over(earlier), F.lit(0))}
-
-    whole = Window.partitionBy(domain).orderBy(*order)
-    if has_hot_group(work, [domain], group_rows):
-        busy = carried_scan(
-            work,
-            [domain],
-            order,
-            local,
-            {"_sum": F.sum("_delay")},
-            lambda w: {"_base": F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1))},
-            chunks,
-        )
-        busy = busy.withColumn("_busy", F.col("_busy") + F.coalesce("_base", F.lit(0))).drop("_base")
-        busy = busy.withColumn("_slack", F.col("_arrival") - F.col("_busy"))
-        slack = carried_scan(
-            busy,
-            [domain],
-            order,
-            lambda w: {"_peak": F.max("_slack").over(w.rowsBetween(Window.unboundedPreceding, 0))},
-            {"_top": F.max("_slack")},
-            lambda w: {"_base": F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, -1))},
-            chunks,
-        )
-        slack = slack.withColumn("_peak", F.greatest("_peak", "_base")).drop("_base")
-    else:
-        slack = work.select("*", *[c.alias(n) for n, c in local(whole).items()])
-        slack = slack.withColumn("_slack", F.col("_arrival") - F.col("_busy"))
-        slack = slack.withColumn("_peak", F.max("_slack").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(domain, "_chunk").orderBy(*order)
+    rows = (
+        ordered_chunks(work, [domain], order, chunks)
+        .withColumn("_busy", F.coalesce(F.sum("_delay").over(inside.rowsBetween(*before)), F.lit(0)))
+        .withColumn("_peak", F.max(F.col("_arrival") - F.col("_busy")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    ranges = rows.groupBy(domain, "_chunk").agg(F.sum("_delay").alias("_sum"), F.max("_peak").alias("_top"))
+    along = Window.partitionBy(domain).orderBy("_chunk")
+    carries = (
+        ranges.withColumn("_base", F.sum("_sum").over(along.rowsBetween(*before)))
+        .withColumn("_reach", F.max(F.col("_top") - F.coalesce("_base", F.lit(0))).over(along.rowsBetween(*before)))
+        .filter("_base IS NOT NULL")
+        .select(domain, "_chunk", "_base", "_reach")
+    )
+    slack = rows.join(F.broadcast(carries), [domain, "_chunk"], "left")
+    base = F.coalesce("_base", F.lit(0))
+    slack = slack.withColumn("_peak", F.greatest(F.col("_peak") - base, "_reach")).withColumn("_busy", F.col("_busy") + base)
     if limits is not None:
         free = limits.select(F.col(domain), F.col("next_allowed").alias("_free"))
-        slack = lookup_join(slack, free, [domain], order).withColumn("_peak", F.greatest("_peak", "_free")).drop("_free")
+        slack = slack.join(free, domain, "left").withColumn("_peak", F.greatest("_peak", "_free")).drop("_free")
     start = F.col("_busy") + F.col("_peak")
     return slack.withColumn("start_at", start).withColumn("next_allowed", start + F.col("_delay")).select(
         *df.columns, "start_at", "next_allowed"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import classify_date, includes_future, month_windows, report_date
 from ..functions.text import col
-from .skew import lookup_join, ranked
+from .skew import ranked
 
 # Limits and messages of the job tables.
 MAX_ATTEMPTS = 3
@@ -123,7 +123,7 @@ def classify_items(items: DataFrame, jobs: DataFrame) -> DataFrame:
     failed item of a dated job is unknown and not included.
     """
     filters = jobs.select("job_id", "start_date", "end_date", "timezone")
-    joined = lookup_join(items, filters, ["job_id"], _row_columns(items))
+    joined = items.join(filters, "job_id", "left")
     none = F.lit(None)
     ok = F.col("status") == "success"
     verdict = classify_date(
@@ -145,14 +145,6 @@ def visible_items(items: DataFrame, include_excluded: bool = False) -> DataFrame
     return items.filter(~F.col("has_filter") | F.coalesce("included", F.lit(False)))
 
 
-_SMALL = ("integer", "long", "string", "timestamp", "date")  # types that are cheap to hash
-
-
-def _row_columns(items: DataFrame) -> list[str]:
-    """Small columns that tell the items of one job apart."""
-    return [f.name for f in items.schema if f.name != "job_id" and f.dataType.typeName() in _SMALL]
-
-
 def _bucket() -> Column:
     return (
         F.when(F.col("status").isin("queued", "running"), "pending")
@@ -173,7 +165,7 @@ def _dated(items: DataFrame, jobs: DataFrame) -> DataFrame:
     """
     filters = jobs.filter("start_date IS NOT NULL AND end_date IS NOT NULL")
     filters = filters.select("job_id", "start_date", "end_date", "timezone")
-    joined = lookup_join(items, filters, ["job_id"], _row_columns(items), "inner")
+    joined = items.join(filters, "job_id")
     instant = (F.col("date_basis") == "report_timezone") & F.col("published_utc").isNotNull()
     day = F.when(instant, report_date("published_utc", "timezone")).otherwise(F.col("published_date"))
     return joined.withColumn("_bucket", _bucket()).withColumn("month", F.date_format(day, "yyyy-MM"))

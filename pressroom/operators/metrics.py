@@ -1,4 +1,4 @@
-"""Operational metrics: each table is aggregated in one scan, with conditional counts."""
+"""Operational metrics as conditional counts. Together they read each table once (:func:`metrics_long`)."""
 
 from __future__ import annotations
 
@@ -60,52 +60,73 @@ def search_totals(commands: DataFrame) -> DataFrame:
     )
 
 
+def _item_groups(items: DataFrame, now: Column | str) -> DataFrame:
+    """All item counters per (error_code, domain), in one scan; combined before the shuffle."""
+    done = F.col("domain").isNotNull() & F.col("finished_at").isNotNull()
+    micros = F.when(done, F.unix_micros("finished_at") - F.unix_micros("started_at"))
+    return items.groupBy("error_code", "domain").agg(
+        F.count_if(F.col("status") == "success").alias("succeeded"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(lease_expired(now)).alias("expired"),
+        F.count("*").alias("total"),
+        F.count_if(done).alias("ended"),
+        F.sum(micros).alias("micros"),
+        F.count(micros).alias("timed"),
+    )
+
+
 def metrics_long(commands: DataFrame, heartbeats: DataFrame, items: DataFrame, now: Column | str) -> DataFrame:
     """All metrics in one long table: ordinal, name, labels (map), value.
 
-    Each table gives its own rows and equal metrics add up, which is how expired leases of commands and items meet.
+    Each table is read once and gives its own rows, and equal metrics add up, which is how expired leases of commands and
+    items meet. A mean is a sum of whole microseconds and the number of items ``over`` which it is taken.
     """
 
-    def row(ordinal: int, name: str, value: str, key: str = "", label: Column | str = "") -> Column:
+    def row(ordinal: int, name: str, value: str, key: str = "", label: Column | str = "", over: str | None = None) -> Column:
         return F.struct(
             F.lit(ordinal).alias("ordinal"),
             F.lit(name).alias("name"),
             F.lit(key).alias("key"),
             (F.lit(label) if isinstance(label, str) else label).alias("label"),
             F.col(value).cast("double").alias("value"),
+            (F.lit(None) if over is None else F.col(over)).cast("bigint").alias("over"),
         )
 
     parts = [
         (
-            queue_summary(commands, now),
+            queue_summary(commands, now).withColumn("none", F.lit(0)),
             [
                 row(0, "command_queue_depth", "queue_depth"),
                 row(1, "oldest_command_seconds", "oldest_seconds"),
                 row(3, "expired_leases", "expired"),
                 row(6, "search_requests_total", "search_requests"),
                 row(7, "search_failures_total", "search_failures"),
+                # an empty item table still counts zero
+                row(4, "items_total", "none", "status", "success"),
+                row(5, "items_total", "none", "status", "failed"),
             ],
         ),
         (active_workers(heartbeats, now), [row(2, "active_workers", "active")]),
         (
-            item_totals(items, now),
+            _item_groups(items, now),
             [
                 row(3, "expired_leases", "expired"),
                 row(4, "items_total", "succeeded", "status", "success"),
                 row(5, "items_total", "failed", "status", "failed"),
+                F.when(F.col("error_code").isNotNull(), row(8, "errors_total", "total", "code", F.col("error_code"))),
+                F.when(F.col("ended") > 0, row(9, "domain_latency_seconds", "micros", "domain", F.col("domain"), "timed")),
             ],
         ),
-        (errors_by_code(items), [row(8, "errors_total", "total", "code", F.col("error_code"))]),
-        (domain_latency(items), [row(9, "domain_latency_seconds", "seconds", "domain", F.col("domain"))]),
     ]
-    rows = [df.select(F.inline(F.array(*columns))) for df, columns in parts]
+    rows = [df.select(F.inline(F.filter(F.array(*columns), lambda r: r.isNotNull()))) for df, columns in parts]
     union = rows[0]
     for other in rows[1:]:
         union = union.unionByName(other)
     none = F.create_map().cast("map<string,string>")
     return (
         union.groupBy("ordinal", "name", "key", "label")
-        .agg(F.sum("value").alias("value"))
+        .agg(F.sum("value").alias("value"), F.sum("over").alias("over"))
+        .withColumn("value", F.when(F.col("over").isNull(), F.col("value")).otherwise(F.try_divide("value", "over") / 1_000_000.0))
         .select("ordinal", "name", F.when(F.col("key") != "", F.create_map("key", "label")).otherwise(none).alias("labels"), "value")
     )
 

@@ -1,24 +1,19 @@
 """Skew-safe building blocks.
 
 One key may hold a third of all rows. An aggregate is safe as it is, since Spark combines before the shuffle, and so is
-``row_number() <= n``, since Spark keeps only ``n`` rows per key and task before the shuffle. What is left needs care: a
-join of a hot key against its one lookup row, and a running value over a hot key's ordered rows.
+``row_number() <= n``, since Spark keeps only ``n`` rows per key and task before the shuffle. A join of a hot key against its
+one lookup row is split by adaptive execution, which measures the partitions. What is left needs care: a running value
+over a hot key's ordered rows.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
-# largest group that one task orders by itself; larger ones are cut into ranges
-GROUP_ROWS = 1_000_000
-# Spark's default size of one input split
-SPLIT_BYTES = 128 * 1024 * 1024
-
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names; one of our own only where it names none, in a local session."""
@@ -39,44 +34,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small table over the cores before a costly stage; a table of normal size is left as it is.
-
-    A small Parquet file is one row group and so one task, however many cores there are. The size is Spark's own estimate
-    for the plan; nothing runs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
-def lookup_join(
-    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left", salts: int = SALTS
-) -> DataFrame:
-    """Join facts to a lookup that has one row per key, with every hot key spread over ``salts`` tasks.
-
-    ``spread_by`` names fact columns that differ inside a key. The salt is a hash and not a random number, so a task that
-    runs again sends its rows to the same place. A lookup below Spark's broadcast threshold is still broadcast, by its
-    own size check.
-    """
-    if salts == 1:
-        return facts.join(lookup, list(keys), how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the order. Spark limits each key to one row per task before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
-    """Whether some group is too large for one task: one aggregate, combined before the shuffle, one boolean back."""
-    return not df.groupBy(*keys).count().filter(F.col("count") > rows).limit(1).isEmpty()
-
-
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None = None) -> DataFrame:
     """Cut the table, ordered by (keys, order), into ranges of about equal size and number them in ``_chunk``.
 
@@ -88,36 +51,6 @@ def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chu
     return durable(ranged.withColumn("_chunk", F.spark_partition_id()))
 
 
-def carried_scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    local: Callable[[Window], dict[str, Column]],
-    totals: dict[str, Column],
-    carry: Callable[[Window], dict[str, Column]],
-    chunks: int | None = None,
-) -> DataFrame:
-    """A running value over ordered groups of any size, in two levels.
-
-    ``local`` gives the running columns inside one chunk, ``totals`` what one chunk passes on, and ``carry`` the value
-    that reaches a chunk, over the chunks before it. Ranges follow the keys, so each range border cuts at most one key:
-    at most ``chunks - 1`` carries exist, which bounds the broadcast.
-    """
-    cut = ordered_chunks(df, keys, order, chunks)
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    rows = cut.select("*", *[c.alias(name) for name, c in local(inner).items()])
-    per_chunk = cut.groupBy(*keys, "_chunk").agg(*[c.alias(name) for name, c in totals.items()])
-    # only keys that cross a border take part in the second level
-    crossing = Window.partitionBy(*keys).orderBy("_chunk")
-    carries = (
-        per_chunk.withColumn("_first", F.row_number().over(crossing) == 1)
-        .select("*", *[c.alias(name) for name, c in carry(crossing).items()])
-        .filter(~F.col("_first"))
-        .drop("_first", *totals)
-    )
-    return rows.join(F.broadcast(carries), [*keys, "_chunk"], "left").drop("_chunk")
-
-
 def ranked(df: DataFrame, order: Sequence[str], name: str = "rank", chunks: int | None = None) -> DataFrame:
     """Position of every row in one total order over the whole table, from 1, without a single-task window."""
     cut = ordered_chunks(df, [], order, chunks)

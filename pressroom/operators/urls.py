@@ -19,7 +19,7 @@ from ..functions.urls import (
     parts_of,
     split_url,
 )
-from .skew import first_per_key, lookup_join
+from .skew import first_per_key
 
 MAX_URL_BYTES = 2048
 
@@ -38,18 +38,18 @@ def domain_allowed(host: Column, domains: Sequence[str]) -> Column:
     return F.arrays_overlap(host_suffixes(host), F.array(*[F.lit(d) for d in domains]))
 
 
-def allow_domains(df: DataFrame, host: str, domains: DataFrame, how: str = "left_semi", key: Sequence[str] = ()) -> DataFrame:
+def allow_domains(df: DataFrame, host: str, domains: DataFrame, how: str = "left_semi") -> DataFrame:
     """Rows whose host is on the allow-list table (column ``domain``).
 
     The list may have any length: host suffixes are matched by equality on the distinct hosts, then the rows follow by
-    host. Spark broadcasts whichever side its own size check allows. ``key`` names columns that differ inside a host.
+    host. Spark broadcasts whichever side its own size check allows.
     """
     entries = domains.select(F.regexp_replace(F.lower(F.trim("domain")), r"\.\z", "").alias("_suffix"))
     entries = entries.filter("_suffix != ''").distinct()
     hosts = df.select(host).distinct()
     suffixes = hosts.select(host, F.explode(host_suffixes(host)).alias("_suffix"))
     allowed = suffixes.join(entries, "_suffix", "left_semi").select(host).distinct()
-    return lookup_join(df, allowed, [host], key or [c for c in df.columns if c != host] or [host], how)
+    return df.join(allowed, host, how)
 
 
 def host_verdicts(dns: DataFrame) -> DataFrame:
@@ -64,15 +64,13 @@ def validate_urls(
     allowed_domains: Sequence[str] | DataFrame = (),
     dns: DataFrame | None = None,
     idna: bool = True,
-    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``host``, ``normalized_url`` and ``reject_reason`` (NULL when the URL is accepted).
 
     The reasons are tested in a fixed order and the first that holds wins. Length and control characters are tested on
     the text as given, the rest after trimming. With a DNS snapshot, hosts without an address or with any address that
     is not public are rejected too; an IPv4 literal stands for itself. ``idna=False`` leaves out the Python stage for
-    host names in other scripts, for tables known to have none. ``spread_by`` names columns that tell rows of one host
-    apart, when the URL does not.
+    host names in other scripts, for tables known to have none.
     """
     raw = F.col(url)
     # one column per step: Spark does not merge steps whose result is used more than once
@@ -88,14 +86,14 @@ def validate_urls(
 
     if isinstance(allowed_domains, DataFrame):
         listed = allow_domains(df.select("_host").distinct(), "_host", allowed_domains).withColumn("_listed", F.lit(True))
-        df = lookup_join(df, listed, ["_host"], spread_by or [url])
+        df = df.join(listed, "_host", "left")
         allowed = F.coalesce(F.col("_listed"), F.lit(False))
     else:
         allowed = F.coalesce(domain_allowed(host, allowed_domains), F.lit(False))
 
     if dns is not None:
         verdicts = host_verdicts(dns).withColumnRenamed("host", "_host")
-        df = lookup_join(df, verdicts, ["_host"], spread_by or [url])
+        df = df.join(verdicts, "_host", "left")
         public = F.coalesce(ipv4_is_public(host), F.col("all_public"))
     else:
         public = F.coalesce(ipv4_is_public(host), F.lit(True))

@@ -11,6 +11,7 @@ from ..operators.fetch import (
     parse_robots,
     resolve_redirects,
     robots_gate,
+    robots_responses,
     robots_rules,
     robots_status,
     schedule_requests,
@@ -168,6 +169,37 @@ def redirect_chains(spark, folder):
     return chains.select("p_partkey", "final_url", "hops", "outcome", "error_code")
 
 
+@query(
+    """
+    WITH RECURSIVE log AS (SELECT s_suppkey AS k, s_nationkey % 3 AS kind, CASE WHEN s_nationkey % 3 = 0 THEN s_suppkey + 1 END AS next FROM supplier),
+    walk AS (SELECT k AS start, k AS here, 0 AS hops FROM log
+      UNION ALL SELECT start, next, hops + 1 FROM walk JOIN log ON (k = here) WHERE next IS NOT NULL AND hops < 3),
+    ends AS (SELECT start, here, hops FROM walk QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops DESC) = 1)
+    SELECT 's' || start || '.example' AS host, (CASE WHEN kind = 1 THEN 200 WHEN kind = 2 AND k % 2 = 0 THEN 404 WHEN kind = 2 AND hops < 3 THEN 403 END)::INTEGER AS status,
+      CASE WHEN kind = 1 THEN 'Disallow: /' || here END AS body FROM ends LEFT JOIN log ON (k = here)"""
+)
+def robots_redirects(spark, folder):
+    """robots.txt of suppliers as hosts: a third redirects to the next supplier, a sixth to an unsafe address, the rest answers; each was
+    captured twice, and the older answer does not count."""
+    key, kind = F.col("s_suppkey"), F.col("s_nationkey") % 3
+    place = F.concat(F.lit("https://s"), key, F.lit(".example/robots.txt"))
+    target = F.when(kind == 0, F.concat(F.lit("https://s"), key + 1, F.lit(".example/robots.txt")))
+    target = target.when((kind == 2) & (key % 2 == 1), "https://127.0.0.1/robots.txt")
+    suppliers = table(spark, folder, "supplier").withColumn("age", F.explode(F.array(F.lit(0), F.lit(1))))
+    old = F.col("age") == 1
+    log = suppliers.select(
+        place.alias("url"),
+        F.when(old, 500).when(target.isNotNull(), 301).when(kind == 1, 200).otherwise(404).alias("status"),
+        F.when(~old, target).alias("location"),
+        F.lit("text/plain").alias("content_type"),
+        F.lit(None).cast("bigint").alias("content_length"),
+        F.concat(F.lit("Disallow: /"), key).alias("body"),
+        F.date_sub(F.lit("2024-05-02").cast("date"), F.col("age")).cast("timestamp").alias("fetched_at"),
+    )
+    hosts = suppliers.select(F.concat(F.lit("s"), key, F.lit(".example")).alias("host"))
+    return robots_responses(hosts, log, idna=False)
+
+
 def _requests(spark, folder):
     """Events as requests: the user is the domain, and every fifth user's domain is slow."""
     delay = F.when(F.col("user_id") % 5 == 0, 10_800_000_000).otherwise(3_600_000_000)
@@ -194,8 +226,8 @@ def politeness(spark, folder):
 
 @query(_schedule_sql(_REQUESTS, "arrival, event_id") + " SELECT event_id, (busy + m)::BIGINT AS start_at, (busy + m + delay)::BIGINT AS next_allowed FROM m")
 def politeness_in_ranges(spark, folder):
-    """The same schedule carried over ranges, as for a domain that is too large for one task."""
-    planned = schedule_requests(_requests(spark, folder), "user_id", "arrival", ["event_id"], "delay", group_rows=16)
+    """The same schedule over more and smaller ranges than tasks."""
+    planned = schedule_requests(_requests(spark, folder), "user_id", "arrival", ["event_id"], "delay", chunks=40)
     return planned.select("event_id", "start_at", "next_allowed")
 
 

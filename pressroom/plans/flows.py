@@ -10,7 +10,7 @@ from ..operators.articles import extract_articles, item_outcome
 from ..operators.fetch import classify_fetch, host_rules, resolve_redirects
 from ..operators.jobs import classify_items, transition_items
 from ..operators.search import advance, emitted_jobs, next_runs, usable_hits
-from ..operators.skew import lookup_join
+from ..operators.skew import first_per_key
 from ..sources.intake import explode_batches, read_result_pages
 
 
@@ -32,15 +32,18 @@ def scrape_batches(
     submitted, rejects = explode_batches(batches, "job_id", "urls")
     chains = resolve_redirects(submitted, fetch_log, rules=host_rules(robots, agent), **policy)
     response = classify_fetch("status", "location", "content_type", "content_length", F.octet_length("body"))
-    read = fetch_log.filter(response["outcome"] == "page").select(F.col("url").alias("final_url"), F.col("body").alias("html"))
+    captured = F.col("fetched_at") if "fetched_at" in fetch_log.columns else F.lit(None).cast("timestamp")
+    read = fetch_log.filter(response["outcome"] == "page").select(
+        F.col("url").alias("final_url"), F.col("body").alias("html"), captured.alias("_captured")
+    )
     articles = extract_articles(read, "html", "final_url", min_words=min_words).select(
         "final_url", "canonical_url", "domain", "title", "word_count", "content_hash", "publication_time",
-        item_outcome("reject_reason").alias("_gate"),
+        item_outcome("reject_reason").alias("_gate"), "_captured",
     )
+    latest = [F.col("_captured").desc_nulls_last(), F.col("content_hash")]
+    articles = first_per_key(articles, ["final_url"], latest).drop("_captured")
     ended = F.when(F.col("outcome") == "page", F.col("final_url"))
-    joined = lookup_join(
-        chains.withColumn("_page", ended), articles.withColumnRenamed("final_url", "_page"), ["_page"], ["job_id", "position"]
-    )
+    joined = chains.withColumn("_page", ended).join(articles.withColumnRenamed("final_url", "_page"), "_page", "left")
     items = joined.withColumns(
         {
             "error_code": F.coalesce("error_code", "_gate.error_code"),

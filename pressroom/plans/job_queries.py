@@ -394,6 +394,11 @@ def search_failures(spark, folder):
     return runs.select("search_id", "status")
 
 
+def _settled(events: DataFrame) -> DataFrame:
+    """All events, those of a value up to 60 as commands that are completed and so hold nothing up."""
+    return events.withColumn("event_type", F.when(F.col("value") > 60, F.col("event_type")).otherwise("signup"))
+
+
 _ACTIVE = "(SELECT user_id FROM events WHERE event_id % 2 = 1 AND event_type IN ('click', 'view') AND value > 60)"
 
 
@@ -404,7 +409,7 @@ _ACTIVE = "(SELECT user_id FROM events WHERE event_id % 2 = 1 AND event_type IN
     FROM customer"""
 )
 def continuation_decisions(spark, folder):
-    commands = _commands(table(spark, folder, "events").filter("value > 60"))
+    commands = _commands(_settled(table(spark, folder, "events")))
     return continuation_decision(_searches(spark, folder), commands, _now()).select("search_id", "decision")
 
 
@@ -416,7 +421,7 @@ def single_continuations(spark, folder):
     """Every event asks for a continuation of its user's search; one per search is let through."""
     events = table(spark, folder, "events")
     requests = events.select(F.concat(F.lit("u"), F.col("user_id")).alias("search_id"), F.col("event_id").alias("id"))
-    return single_active(requests, _commands(events.filter("value > 60")), ["id"]).select("search_id", "id")
+    return single_active(requests, _commands(_settled(events)), ["id"]).select("search_id", "id")
 
 
 _FOUND = "found AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(x) > 30) AS urls FROM documents)"

@@ -66,8 +66,10 @@ def first_elements(spark, folder):
         found = first_element(elements, "page_id", tag)
         return found.select("page_id", F.element_at("attrs", key).alias(name))
 
-    charsets = first("meta", "charset", "charset").withColumn("charset", F.lower("charset"))
-    return charsets.join(first("html", "lang", "lang"), "page_id").join(first("a", "href", "first_link"), "page_id")
+    rows = table(spark, folder, "pages").select("page_id")
+    for part in (first("meta", "charset", "charset"), first("html", "lang", "lang"), first("a", "href", "first_link")):
+        rows = rows.join(part, "page_id", "left")
+    return rows.fillna("", ["charset", "lang", "first_link"]).withColumn("charset", F.lower("charset"))
 
 
 @query()

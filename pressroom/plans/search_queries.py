@@ -191,6 +191,24 @@ def discover_counts(spark, folder):
     return discover_once(*_event_pages(spark, folder), max_articles=12, max_pages=20)[1]
 
 
+@query(
+    f"""
+    WITH {_DISCOVER}, bad AS (SELECT DISTINCT search_id FROM b WHERE before < 12 AND page % 7 = 3 AND search_id % 4 = 0)
+    SELECT b.search_id, CASE WHEN bad.search_id IS NULL THEN least(count(*) FILTER (WHERE fresh), 12) ELSE 0 END AS total,
+      CASE WHEN bad.search_id IS NOT NULL THEN 'fetch_failed' END AS error_code
+    FROM b LEFT JOIN bad ON b.search_id = bad.search_id WHERE before < 12 GROUP BY b.search_id, bad.search_id"""
+)
+def discover_failures(spark, folder):
+    """Undated search where some pages failed: one that is reached fails its search."""
+    pages, hits = _event_pages(spark, folder)
+    bad = (F.col("page") % 7 == 3) & (F.col("search_id") % 4 == 0)
+    urls, totals = discover_once(pages.withColumn("error_code", F.when(bad, "fetch_failed")), hits, max_articles=12, max_pages=20)
+    # a failed search has no URLs, so the totals that are returned are those of the URLs
+    counted = urls.groupBy("search_id").agg(F.count("*").alias("found"))
+    joined = totals.join(counted, "search_id", "left").fillna(0, ["found"])
+    return joined.select("search_id", F.col("found").alias("total"), "error_code")
+
+
 @query(
     """
     WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) <= 4 AS taken FROM orders)

@@ -106,7 +106,7 @@ def allowlist_semi(spark, folder):
     domains = pages.filter(F.col("url").startswith("https:")).select(
         F.regexp_replace("host", r"^[^.]*\.", "").alias("domain")
     )
-    return allow_domains(pages.drop("url"), "host", domains, key=["page_id"])
+    return allow_domains(pages.drop("url"), "host", domains)
 
 
 @query(f"SELECT {_HOST} AS host, count(*) AS pages, min(page_id) AS first_page FROM pages GROUP BY 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +35,21 @@ def write_results(items: DataFrame, path: str, partition: str = "month") -> None
     several tasks and a small one gives one file.
     """
     spark = items.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    try:
+        old = spark.read.schema(items.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = None
     latest = [F.col("finished_at").desc_nulls_last()]
     keys = ["job_id", "position"]
-    if exists:
-        old = spark.read.schema(items.schema).parquet(path)
-        touched = items.select(partition).distinct()
-        merged = upsert_latest(old.join(touched, partition, "left_semi"), items, keys, ["finished_at"])
+    if old is not None:
+        # the partitions of one batch are few; as literals they reach the scan as partition filters
+        touched = [row[0] for row in items.select(partition).distinct().collect()]
+        hit = F.col(partition).isin([name for name in touched if name is not None])
+        if None in touched:
+            hit = hit | F.col(partition).isNull()
+        merged = upsert_latest(old.filter(hit), items, keys, ["finished_at"])
         merged = durable(merged)  # the partitions it reads are the ones it replaces
     else:
         merged = first_per_key(items, keys, latest)
@@ -51,4 +59,4 @@ def write_results(items: DataFrame, path: str, partition: str = "month") -> None
 
 def write_metrics(lines: DataFrame, path: str) -> None:
     """Metric lines (line_no, line) as one text file; their number does not grow with the tables but for domains."""
-    lines.orderBy("line_no").select("line").write.mode("overwrite").text(path)
+    lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pressroom.operators.fetch import host_rules, next_allowed, path_allowed, resolve_redirects, robots_gate, schedule_requests
+from pressroom.operators.fetch import host_rules, next_allowed, path_allowed, resolve_redirects, robots_gate, robots_responses, schedule_requests
 from pressroom.schemas import FETCH_LOG, ROBOTS
 
 
@@ -97,6 +97,39 @@ def test_robots_are_asked_at_every_hop(spark):
     assert (row.hops, row.error_code, row.final_url) == (1, "robots_denied", "https://a.example/blocked/x")
 
 
+def test_the_latest_capture_counts(spark):
+    rows = [("https://m.example/", 0, 500, None, None, None, None, "2024-01-01"), ("https://m.example/", 0, 302, "/new", None, None, None, "2024-01-02"),
+            ("https://m.example/new", 0, 200, None, HTML, None, "x", "2024-01-01"), ("https://m.example/new", 0, 200, None, HTML, None, "y", None)]
+    kept = spark.createDataFrame(rows, FETCH_LOG.replace("timestamp", "string")).withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+    got = resolve_redirects(spark.createDataFrame([("https://m.example/",)], "url string"), kept).collect()
+    assert [(r.final_url, r.hops, r.outcome) for r in got] == [("https://m.example/new", 1, "page")]
+
+
+def test_redirects_of_robots(spark):
+    def at(host):
+        return f"https://{host}/robots.txt"
+
+    fetched = [
+        (at("moved.example"), 301, "https://www.moved.example/robots.txt", None, None, None),
+        (at("www.moved.example"), 200, None, "text/plain", None, "User-agent: *\nDisallow: /private"),
+        (at("inner.example"), 302, "https://10.1.2.3/robots.txt", None, None, None),
+        (at("round.example"), 302, "/robots.txt", None, None, None),
+        (at("odd.example"), 302, "https://[", None, None, None),
+        (at("none.example"), 404, None, None, None, None),
+    ]
+    names = ("moved", "inner", "round", "odd", "none", "silent")
+    hosts = spark.createDataFrame([(f"{n}.example",) for n in names] * 2 + [(None,)], "host string")
+    answers = robots_responses(hosts, log(spark, fetched))
+    assert {r.host.split(".")[0]: r.status for r in answers.collect()} == {
+        "moved": 200, "inner": 403, "round": None, "odd": None, "none": 404, "silent": None,
+    }
+    urls = spark.createDataFrame([(f"https://{n}.example/private/x", f"{n}.example") for n in names], "url string, host string")
+    open_ = robots_gate(urls, answers, "newsbot", fail_closed=False).collect()
+    assert {r.host.split(".")[0]: r.robots_status for r in open_} == {
+        "moved": None, "inner": None, "round": "unavailable", "odd": "unavailable", "none": "not_found", "silent": "unavailable",
+    }
+
+
 def model(rows, free):
     free, out = dict(free), {}
     for i, domain, arrival, delay in sorted(rows, key=lambda r: (r[2], r[0])):
@@ -114,7 +147,7 @@ def test_schedule_against_a_loop(spark):
     for limits in ({}, {"hot": 1500, "d3": 10**6}):
         expected, free = model(rows, limits)
         table = spark.createDataFrame(list(limits.items()), "domain string, next_allowed long") if limits else None
-        for group_rows in (10**6, 100):
-            plan = schedule_requests(df, "domain", "arrival", ["i"], "delay", limits=table, group_rows=group_rows, chunks=6)
+        for chunks in (1, 6, 40):
+            plan = schedule_requests(df, "domain", "arrival", ["i"], "delay", limits=table, chunks=chunks)
             assert {r.i: (r.start_at, r.next_allowed) for r in plan.collect()} == expected
         assert {r.domain: r.next_allowed for r in next_allowed(plan, "domain").collect()} == {k: v for k, v in free.items() if k in {r[1] for r in rows}}

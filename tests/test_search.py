@@ -1,6 +1,7 @@
 """Provider pages, page cutoffs, budgets and the resumable advance against plain-Python models."""
 
 import hashlib
+import itertools
 import json
 import random
 
@@ -28,19 +29,28 @@ def captured(spark, bodies):
     return spark.createDataFrame([(str(i), 0, 0, status, body) for i, (status, body) in enumerate(bodies)], RESULT_PAGES)
 
 
-def test_result_page(spark):
-    links = ["https://news.example/story#fragment", "https://news.example/story", "https://news.example/tag/all", "https://outside.example/story"]
-    body = json.dumps({"organic_results": [{"link": link} for link in links]})
-    pages = read_result_pages(captured(spark, [(200, body)]))
-    hits = usable_hits(pages, allowed_domains=["news.example"])
-    assert [r.url for r in hits.orderBy("rank").collect()] == ["https://news.example/story"] * 2 + [None, None]
-    once = discover_once(
-        pages.select("search_id", F.lit(0).alias("page"), "has_next"),
-        hits.select("search_id", F.lit(0).alias("page"), "rank", "url"),
-        max_articles=10, max_pages=1,
-    )
-    assert [(r.position, r.url) for r in once[0].collect()] == [(0, "https://news.example/story")]
-    assert tuple(once[1].first()) == ("0", 1, 1, 3)
+def test_hits_of_captured_pages(spark):
+    first = {"organic_results": [{"link": "https://daily.site/a?x=1#top"}, {"link": "http://daily.site/b"}, {"title": "no link"}], "serpapi_pagination": {"next": "2"}}
+    second = {"organic_results": [{"link": "https://daily.site/"}, {"link": "https://eve.daily.site/c"}, {"link": "https://daily.site/a?x=1"}]}
+    pages = read_result_pages(spark.createDataFrame([("s", 0, 0, 200, json.dumps(first)), ("s", 0, 10, 200, json.dumps(second))], RESULT_PAGES))
+    hits = usable_hits(pages, allowed_domains=["daily.site"]).withColumn("page", (F.col("offset") / 10).cast("int"))
+    assert [r.url for r in hits.orderBy("page", "rank").collect()] == [
+        "https://daily.site/a?x=1", None, None, None, "https://eve.daily.site/c", "https://daily.site/a?x=1",
+    ]
+    urls, totals = discover_once(pages.select("search_id", (F.col("offset") / 10).cast("int").alias("page"), "has_next"), hits.select("search_id", "page", "rank", "url"))
+    assert [(r.position, r.url) for r in urls.orderBy("position").collect()] == [(0, "https://daily.site/a?x=1"), (1, "https://eve.daily.site/c")]
+    assert tuple(totals.first()) == ("s", 2, 2, 4)
+
+
+def test_a_failed_page_fails_an_undated_search_that_reaches_it(spark):
+    pages = [("a", 0, True, None), ("a", 1, False, "fetch_failed"), ("b", 0, False, None), ("b", 1, False, "fetch_failed"), ("c", 0, True, None), ("c", 1, True, "rate_limited")]
+    hits = [(s, 0, r, f"u{r}") for s in "abc" for r in range(3 if s != "c" else 60)]
+    urls, totals = discover_once(
+        spark.createDataFrame(pages, "search_id string, page int, has_next boolean, error_code string"),
+        spark.createDataFrame(hits, "search_id string, page int, rank int, url string"),
+    )
+    assert {r.search_id: (r.total, r.error_code) for r in totals.collect()} == {"a": (0, "fetch_failed"), "b": (3, None), "c": (50, None)}
+    assert {r.search_id for r in urls.collect()} == {"b", "c"}
 
 
 def test_provider_errors(spark):
@@ -107,39 +117,41 @@ def test_batches(spark):
     assert {r.batch_id: r.reject_reason for r in rejects.collect()} == {"b": "too_many", "c": "all_blank", "d": "empty", "f": "empty"}
 
 
-class Model:
-    """One search, one call after the other, over the same pages."""
+def story(months, pages):
+    """Every page of a search in the order in which it would be read without limits: (its new URLs, results skipped)."""
+    met = set()
+    for month in range(months):
+        shown = set()
+        for offset in itertools.count(0, 10):
+            urls, more = pages[month, offset]
+            new = tuple(u for u in dict.fromkeys(urls) if u is not None and u not in met)
+            met.update(new)
+            again = new in shown
+            shown.add(new)
+            yield () if again else new, len(urls) - len(new)
+            if again or not more:
+                break
+
+
+class Reader:
+    """Limits on a story: each call reads on until its batch is full, its pages are used up or the story ends."""
 
-    def __init__(self, months, max_articles, max_pages, pages):
-        self.months, self.limit, self.max_pages, self.pages = months, max_articles, max_pages, pages
-        self.month = self.offset = self.skipped = self.fetched = 0
-        self.pending, self.prints, self.seen = [], [], set()
+    def __init__(self, told, limit, max_pages):
+        self.told, self.limit, self.max_pages = told, limit, max_pages
+        self.read, self.waiting = 0, []
 
     def call(self):
-        batch, self.pending = self.pending[: self.limit], self.pending[self.limit :]
-        pages = 0
-        while len(batch) < self.limit and self.month < self.months and pages < self.max_pages:
-            urls, more = self.pages[(self.month, self.offset)]
-            pages += 1
-            new = []
-            for url in urls:
-                if url is None or url in self.seen:
-                    self.skipped += 1
-                else:
-                    self.seen.add(url)
-                    new.append(url)
-            key = tuple(new)
-            again = key in self.prints
-            if not again:
-                cut = self.limit - len(batch)
-                batch, self.pending = batch + new[:cut], self.pending + new[cut:]
-            if again or not more:
-                self.month, self.offset, self.prints = self.month + 1, 0, []
-            else:
-                self.offset, self.prints = self.offset + 10, [*self.prints, key]
-        self.fetched += pages
+        stop = min(self.read + self.max_pages, len(self.told))
+        while self.read < stop and len(self.waiting) < self.limit:
+            self.waiting += self.told[self.read][0]
+            self.read += 1
+        batch, self.waiting = self.waiting[: self.limit], self.waiting[self.limit :]
         return batch
 
+    @property
+    def over(self):
+        return self.read == len(self.told) and not self.waiting
+
 
 def test_advance_against_a_model(spark):
     rng = random.Random(9)
@@ -152,7 +164,7 @@ def test_advance_against_a_model(spark):
                 urls = [None if rng.random() < 0.15 else f"https://n.example/{rng.randint(0, 25)}" for _ in range(rng.choice([0, 1, 4, 8]))]
                 pages[(month, step * 10)] = (urls, step < depth)
         limits = rng.randint(1, 8), rng.randint(1, 4)
-        models[key] = Model(3, *limits, pages)
+        models[key] = Reader(list(story(3, pages)), *limits)
         run_rows.append((key, "q", "ready", "2024-01-20", "2024-03-03", "UTC", *limits))
         for (month, offset), (urls, more) in pages.items():
             page_rows.append((key, month, offset, more, None, None))
@@ -174,18 +186,15 @@ def test_advance_against_a_model(spark):
         moved = advance(runs.withColumn("command_id", F.concat(F.lit(f"{call}-"), "search_id")), pages, hits, seen).cache()
         rows = {r.search_id: r for r in moved.collect()}
         for key, model in models.items():
-            done = model.month >= 3 and not model.pending
-            batch = [] if done else model.call()
-            assert list(rows[key].urls) == batch, (call, key)
-            assert (rows[key].month, rows[key].offset, list(rows[key].pending)) == (model.month, model.offset, model.pending)
-            assert (rows[key].pages, rows[key].skipped) == (model.fetched, model.skipped)
-            complete = model.month >= 3 and not model.pending
-            assert rows[key].status == ("discovery_complete" if complete else "ready")
+            assert list(rows[key].urls) == ([] if model.over else model.call()), (call, key)
+            assert list(rows[key].pending) == model.waiting
+            assert (rows[key].pages, rows[key].skipped) == (model.read, sum(skipped for _, skipped in model.told[: model.read]))
+            assert rows[key].status == ("discovery_complete" if model.over else "ready")
             seen_rows += [(key, url) for url in rows[key].new_seen]
-        assert {(k, u) for k, m in models.items() for u in m.seen} == set(seen_rows)
+        assert {(k, u) for k, m in models.items() for new, _ in m.told[: m.read] for u in new} == set(seen_rows)
         state = next_runs(runs, moved).collect()
         runs = spark.createDataFrame(state, runs.schema)
-    assert any(m.month >= 3 and not m.pending for m in models.values())
+    assert any(m.over for m in models.values())
 
 
 def one_run(spark, **changes):
