@@ -266,9 +266,9 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def component_of_prints(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(print, component_id) for each distinct fingerprint of (doc_id, print) rows."""
-    smallest = durable(rows.groupBy("print").agg(F.min("doc_id").alias("first")))
+def component_of_prints(rows: DataFrame, threshold: int = THRESHOLD, first: str = "doc_id") -> DataFrame:
+    """(print, component_id) for each distinct fingerprint of ``rows``: the least value of the column ``first`` in its component."""
+    smallest = durable(rows.groupBy("print").agg(F.min(first).alias("first")))
     found = components(near_links(smallest.select("print"), threshold))
     rooted = smallest.join(found, smallest["print"] == found["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
@@ -276,12 +276,16 @@ def component_of_prints(rows: DataFrame, threshold: int = THRESHOLD) -> DataFram
 
 
 def keep_first_of_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all its columns; of rows that repeat a doc_id and fingerprint, one."""
-    name, = fresh(docs, "print")
-    printed = with_fingerprint(docs, name)
-    rows = durable(printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("print")))
-    classes = durable(component_of_prints(rows, threshold))
-    own = printed["doc_id"].cast("long").eqNullSafe(classes["component_id"])
-    # null-safe, or Spark would test the fingerprints for nulls before the join and so work them out twice
-    first = printed.hint("merge").join(classes, printed[name].eqNullSafe(classes["print"]) & own, "left_semi")
-    return first.dropDuplicates(["doc_id", name]).drop(name)
+    """One document of each group, the one with the smallest doc_id, with all its columns.
+
+    Rows without doc_id come last in their group. Of rows of one doc_id the one with the least digest stays; of rows that repeat doc_id and text,
+    one. Fingerprints are worked out once: rows are found again by a digest of doc_id and text, which Spark has an expression for.
+    """
+    key, = fresh(docs, "key")
+    doc_id = F.col("doc_id").cast("long")
+    # never null, or Spark would test it for nulls before the join and so work it out twice
+    keyed = docs.withColumn(key, F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text_of())))
+    place = F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), F.col(key).alias("key"))
+    rows = durable(with_fingerprint(keyed.select(place.alias("place"), "text"), "print").select("place", "print"))
+    first = component_of_prints(rows, threshold, "place").select(F.col("component_id.key").alias(key)).distinct()
+    return keyed.hint("merge").join(first, key, "left_semi").dropDuplicates([key]).drop(key)

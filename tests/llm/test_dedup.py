@@ -149,6 +149,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert found == {i: 0 for i in range(1, 41)} | {1000 + i: 100 for i in range(50)}
 
 
+def test_one_row_of_each_group_stays_however_rows_repeat(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(5, a, 1), (5, a, 1), (None, a, 2), (5, a.upper(), 3), (None, b, 4), (None, b, 4), (7, None, 5), (8, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int").withColumn("print", F.lit("p")).withColumn("place", F.lit(0))
+    kept = simhash.keep_first_of_groups(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect())
+    assert got == [(0, b), (5, a), (7, "")]
+
+
 def test_near_groups_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_first_of_groups(empty).count() == 0
