@@ -3,6 +3,9 @@
 A line's hash is the first 32 bits of its MD5. After a line ends a chunk when the rolling hash over it and the line before,
 ``(h[i] + 31 h[i-1]) mod 3``, is 0, so an inserted or removed line moves no boundary beyond the next one that agrees. Chunks of two
 lines or more that occur more than once in the corpus stay only at their first place.
+
+A passage whose ends are not chunk ends is not found that way. ``drop_repeated_passages`` starts a window at every line instead and
+finds them all.
 """
 
 from __future__ import annotations
@@ -89,3 +92,53 @@ def drop_repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES, divisor: i
         (n_lines - kept_lines).cast("long").alias("removed_lines"),
         F.array_join(F.col("left.text"), "\n").alias("text"),
     )
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """Adds ``lines`` and ``windows``: array of (pos, last, text) from each line that is not blank to the next one that is not."""
+    df = rows.withColumn("lines", F.split("text", "\n", -1))
+    full = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(F.get(F.col("lines"), i)) != "")
+    df = df.withColumn("full", full)
+    window = lambda i, j: F.struct(
+        i.alias("pos"), j.alias("last"), F.array_join(F.slice(F.col("lines"), i + 1, j - i + 1), "\n").alias("text")
+    )
+    firsts = F.slice("full", F.lit(1), F.greatest(F.size("full") - 1, F.lit(0)))
+    return df.withColumn("windows", F.zip_with(firsts, F.slice("full", 2, F.size("full")), window)).filter(F.size("full") > 1).drop("full")
+
+
+def drop_repeated_passages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, removed_lines, text: every document without the runs of two lines or more that occur earlier in the corpus.
+
+    Input, order of places, null texts and repeated rows as in ``drop_repeated_chunks``. A window is a line that is not blank, the
+    next one that is not, and the blank ones between. A line goes if a window that holds it occurs at an earlier place, so a
+    repeated run goes whole, whatever stands before and behind it, and each line that goes still stands at an earlier place.
+
+    As with chunks, keys of all windows are counted first, and only windows whose key repeats send their bytes and are
+    grouped by them.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = rows.withColumn("text_key", F.md5(F.col("text").cast("binary")))
+    cut = _windows(rows).select("doc_id", "text_key", F.explode_outer("windows").alias("w"))
+    found = cut.select("doc_id", "text_key", "w.pos", "w.last", F.md5(F.col("w.text").cast("binary")).alias("window_key"), F.col("w.text").alias("window"))
+    repeated = durable(found.groupBy("window_key").count().filter("count > 1").select("window_key"))
+    suspects = found.join(repeated, "window_key")
+    place = F.struct("doc_id", "text_key", "pos")
+    owners = durable(
+        suspects.groupBy("window_key", "window").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+    )
+    removed = (
+        suspects.join(owners, ["window_key", "window"])
+        .filter(~F.col("owner").eqNullSafe(place))
+        .groupBy(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"))
+        .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", "last")))).alias("gone"))
+    )
+    joined = rows.join(removed, rows["doc_id"].eqNullSafe(removed["r_id"]) & (rows["text_key"] == removed["r_key"]), "left")
+    split = joined.withColumn("lines", F.split("text", "\n", -1))
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    split = split.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone))
+    return split.select(
+        "doc_id",
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("removed_lines"),
+        F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n").alias("text"),
+    )

@@ -106,3 +106,41 @@ def test_line_chunks_equal_brute_force(spark, seed):
 
 def test_no_documents(spark):
     assert line_chunks.drop_repeated_chunks(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_passages(docs):
+    """Removals of repeated runs by comparing every pair of neighbouring lines, in plain Python."""
+    places, cut = {}, []
+    for doc_id, text in docs:
+        lines = (text or "").split("\n")
+        key = (doc_id is not None, doc_id or 0, hashlib.md5((text or "").encode()).hexdigest())
+        full = [i for i, line in enumerate(lines) if line.strip(" ")]
+        windows = [(i, j, "\n".join(lines[i : j + 1])) for i, j in zip(full, full[1:])]
+        cut.append((key, lines, windows))
+        for i, _, w in windows:
+            places.setdefault(w, set()).add((*key, i))
+    out = []
+    for (doc_id, _), (key, lines, windows) in zip(docs, cut, strict=True):
+        gone = {n for i, j, w in windows if min(places[w]) != (*key, i) for n in range(i, j + 1)}
+        out.append((doc_id, len(lines), len(gone), "\n".join(line for n, line in enumerate(lines) if n not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_repeated_passages_go_whatever_surrounds_them(spark):
+    draw = random.Random(5)
+    passages = [[f"line {p} {i}" if i != 2 else " " for i in range(draw.randrange(2, 6))] for p in range(6)]
+    docs = []
+    for d in range(80):
+        lines = [f"own {zlib.crc32(f'{d} {i}'.encode())}" for i in range(draw.randrange(1, 9))]
+        for p in draw.sample(passages, draw.randrange(0, 3)):
+            at = draw.randrange(len(lines) + 1)
+            lines[at:at] = p
+        docs.append((d, "\n".join(lines)))
+    docs += [(None, docs[3][1]), (3, docs[3][1]), (3, docs[3][1]), (900, None), (901, ""), (902, "\n\n\n"), (903, "x\n" * 2_000)]
+    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, pos int")
+    got = sorted((tuple(r) for r in line_chunks.drop_repeated_passages(df).collect()), key=repr)
+    assert got == plain_passages(docs)
+    short = spark.createDataFrame([(d, f"before {d}\nshared a\nshared b\nafter {d}") for d in range(30)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in line_chunks.drop_repeated_passages(short).collect()}
+    assert left == {d: f"before {d}\nafter {d}" if d else "before 0\nshared a\nshared b\nafter 0" for d in range(30)}
+    assert line_chunks.drop_repeated_passages(df.limit(0)).count() == 0
