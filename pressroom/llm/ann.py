@@ -50,14 +50,16 @@ class Tree:
             todo.extend((child, rows[nearest == k]) for k, child in enumerate(self.children[node]) if (nearest == k).any())
         return out
 
-    def best_bins(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best inner product with a node's centre first."""
+    def best_bins(self, query: np.ndarray, visits: int, counts: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves, best inner product with a node's centre first, and more until they hold ``least`` rows by ``counts``."""
         out: list[int] = []
         queue = [(-np.inf, 0)]
-        while queue and len(out) < visits:
+        held = 0
+        while queue and (len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                held += 0 if counts is None else int(counts[self.leaf[node]])
             else:
                 for product, child in zip(self.centres[node] @ query, self.children[node], strict=True):
                     heapq.heappush(queue, (-float(product), child))
@@ -229,7 +231,8 @@ def nearest_neighbours(
 
     Input: vec_id, embedding; other columns are ignored. Rows without vec_id, and vectors that are null, empty, zero or hold a null or
     a number that is not finite, take no part; nor do vectors of another length than most. Of rows that share a vec_id the largest
-    vector counts. Ties go to the smaller vec_id. A query never finds itself; with fewer than ``k`` other rows it finds all it visits. An
+    vector counts. Ties go to the smaller vec_id. A query never finds itself; a query visits the calibrated
+    number of leaves and goes on until they hold ``k`` other rows, so it finds fewer only where there are fewer. An
     empty table gives an empty result.
 
     Bounded, whatever the input: the sample of ``sample_rows`` vectors that the tree is fitted on and the ``CALIBRATION`` queries come to the driver; the tree
@@ -252,13 +255,14 @@ def nearest_neighbours(
     visits = _calibrate(index, tree, sample, k, recall)
 
     # one number per leaf, of which there are at most the sample's rows
-    counts = dict(index.groupBy("leaf").count().collect())
-    block_of = blocks_of_leaves([counts.get(leaf, 0) for leaf in range(tree.leaves)], block_rows)
+    found = dict(index.groupBy("leaf").count().collect())
+    counts = np.array([found.get(leaf, 0) for leaf in range(tree.leaves)])
+    block_of = blocks_of_leaves(counts.tolist(), block_rows)
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _unpacked(batch.column(2))
-            opened = [np.unique(block_of[tree.best_bins(v, visits)]) for v in q]
+            opened = [np.unique(block_of[tree.best_bins(v, visits, counts, k + 1)]) for v in q]
             at = np.repeat(np.arange(len(opened)), [len(b) for b in opened])
             blocks = np.concatenate([np.empty(0, np.int32), *opened]).astype(np.int32)
             for part in np.array_split(np.arange(len(at)), max(1, len(at) // 20_000)):

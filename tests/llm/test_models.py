@@ -143,3 +143,15 @@ def test_fewer_candidates_than_asked_for(spark):
     assert got == {0: [(2, 3.0), (1, 1.0)]}
     assert ann.nearest_neighbours(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest_neighbours(spark.createDataFrame([(1, [1.0])], schema), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_small_leaves_are_not_the_end(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    monkeypatch.setattr(ann, "fit_tree", lambda x, fit=ann.fit_tree: fit(x, leaf_rows=10))
+    monkeypatch.setattr(ann, "_calibrate", lambda *_: 1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=20, block_rows=10))
+    assert len(got) == 20 and all(len(v) == 20 for v in got.values())
+    few = by_query(ann.nearest_neighbours(df.filter("vec_id < 15"), F.col("vec_id") % 20 == 0, k=20, block_rows=10))
+    assert {q: len(v) for q, v in few.items()} == {0: 14}
