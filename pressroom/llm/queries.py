@@ -34,12 +34,14 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted anew with the addresses taken out. The second batch is delivered twice."""
     docs = read_table(spark, folder, "documents")
     counter = token_counts.BytePairCounter.public("byte_bpe_50k")
-    counts = durable(token_counts.count_tokens(docs, counter))
+    # marked by row, since a doc_id may be null or repeat with another text
+    mail = F.coalesce(F.col("text").rlike(E_MAIL), F.lit(False))
+    counts = [token_counts.count_tokens(docs.filter(mail == m), counter).withColumn("mail", F.lit(m)) for m in (False, True)]
+    counts = durable(counts[0].unionByName(counts[1]))
     low = read_table(spark, folder, "labels").filter("quality = 0").select("doc_id").distinct()
     gone = counts.join(low, "doc_id", "left_semi")
-    cleaned = docs.filter(F.col("text").rlike(E_MAIL)).join(low, "doc_id", "left_anti")
-    masked = cleaned.withColumn("text", F.regexp_replace("text", E_MAIL, ""))
-    old = counts.join(cleaned.select("doc_id"), "doc_id", "left_semi")
+    masked = docs.filter(mail).join(low, "doc_id", "left_anti").withColumn("text", F.regexp_replace("text", E_MAIL, ""))
+    old = counts.filter("mail").join(low, "doc_id", "left_anti")
     totals = token_counts.TokenTotals(spark, work_path(spark, "token-totals"))
     totals.commit(1, token_counts.signed(counts, 1))
     totals.commit(2, token_counts.signed(gone, -1))

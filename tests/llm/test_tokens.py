@@ -7,7 +7,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
-from pressroom.llm import packing, token_counts, unigram
+from pressroom.llm import packing, queries, token_counts, unigram
 from pressroom.llm.shared import work_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -172,3 +172,13 @@ def test_checksum_of_ids(spark):
     row = packed(spark.createDataFrame([(1, "a")], "doc_id long, text string")).orderBy("start").first()
     ids = Tokenizer.from_file(WORDS).encode("a", add_special_tokens=False).ids + [2]
     assert row.ids_crc32 == zlib.crc32(np.array(ids[: row.length], "<u4").tobytes())
+
+
+def test_addresses_are_counted_anew_by_row(spark, tmp_path):
+    rows = [(1, "write to a@b.co please"), (1, "another text of the same id"), (None, "c@d.co is nobody's"), (None, "plain"), (2, "low e@f.co"), (2, "low"), (3, None)]
+    spark.createDataFrame([(d, t, "s", "en") for d, t in rows], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counter = token_counts.BytePairCounter.public("byte_bpe_50k")
+    left = ["write to  please", rows[1][1], " is nobody's", "plain", ""]
+    got = [tuple(r) for r in queries.op1_token_counts(spark, str(tmp_path)).select("docs", "tokens").collect()]
+    assert got == [(5, sum(counter.count(t) for t in left))]
