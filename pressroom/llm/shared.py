@@ -48,8 +48,8 @@ def labelled_sample(
 ) -> DataFrame:
     """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fold.
 
-    Labels other than 0 and 1 and null identifiers count as none; a document that is labelled twice counts as 1 if any of
-    its labels is 1. The choice is by hash of ``doc_id`` and so the same in every run. The chosen labels are broadcast: they
+    Labels other than 0 and 1, null identifiers and labels of no row of ``docs`` count as none; a document that is labelled
+    twice counts as 1 if any of its labels is 1. The choice is by hash of ``doc_id`` and so the same in every run. The chosen labels are broadcast: they
     are ``rows`` pairs of numbers at most, whatever the size of the table.
     """
     modulus, out = holdout
@@ -59,6 +59,7 @@ def labelled_sample(
         .filter(remainder(F.col("doc_id"), modulus) != out)
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
+        .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressroom.llm import ann, quality, toxicity
+from pressroom.llm.shared import labelled_sample, remainder
 
 MIDDLE = "/root/testdata/sf0.1"
 ODD = [(9001, None), (9002, ""), (9003, " \n"), (9004, "word " * 60_000), (9005, "\U0001f600漢"), (None, "no id"), (9002, ""), (9002, "")]
@@ -155,3 +156,11 @@ def test_small_leaves_are_not_the_end(spark, monkeypatch):
     assert len(got) == 20 and all(len(v) == 20 for v in got.values())
     few = by_query(ann.nearest_neighbours(df.filter("vec_id < 15"), F.col("vec_id") % 20 == 0, k=20, block_rows=10))
     assert {q: len(v) for q, v in few.items()} == {0: 14}
+
+
+def test_the_sample_is_full_where_labels_cover_other_rows(spark):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = spark.range(0, 5000, 25).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    sample = labelled_sample(docs, labels, "toxic", (5, 0), 100)
+    assert sample.select("doc_id").distinct().count() == 100
+    assert labelled_sample(docs, labels, "toxic", (5, 0), 10_000).count() == docs.filter(remainder(F.col("doc_id"), 5) != 0).count()
