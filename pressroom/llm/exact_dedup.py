@@ -175,19 +175,20 @@ def text_owners(docs: DataFrame, keep: str = "max", budget: int = BUDGET) -> Dat
     return met.mapInArrow(_owner_tries(keep), "length long, sha string, keep_id long, group_size long")
 
 
-def exact_groups(docs: DataFrame, keep: str = "max", budget: int = BUDGET) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "max", budget: int = BUDGET, every_row: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per document, dropped ones too.
 
     Input: doc_id, text; other columns are ignored. A null text is empty. ``keep`` says whether the largest or the smallest doc_id
-    of equal texts stays; a null doc_id stays only where all are null. Rows that repeat a doc_id with an equal text are one
-    document and come out once, but count each in ``group_size``. An empty table gives an empty result.
+    of equal texts stays; a null doc_id stays only where all are null. Rows that repeat a doc_id with an equal text count each
+    in ``group_size``; they are one document and come out once, or each with ``every_row``. An empty table gives an empty result.
 
     Texts travel once per task and distinct text. A text that a third of all documents share is one owner row, which the
     documents' rows, without their texts, meet in a join that Spark can split.
     """
     owners = text_owners(docs, keep, budget)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key(text_of()).alias("k"))
-    rows = rows.select("doc_id", F.col("k.length").alias("length"), F.col("k.sha").alias("sha")).distinct()
+    rows = rows.select("doc_id", F.col("k.length").alias("length"), F.col("k.sha").alias("sha"))
+    rows = rows if every_row else rows.distinct()
     # null-safe, or Spark would test the keys for nulls before the join and so work them out twice
     same = rows["length"].eqNullSafe(owners["length"]) & rows["sha"].eqNullSafe(owners["sha"])
     joined = rows.hint("merge").join(owners, same)

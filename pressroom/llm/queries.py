@@ -124,7 +124,7 @@ def op4_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """
 )
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.exact_groups(read_table(spark, folder, "documents"), keep="max")
+    return exact_dedup.exact_groups(read_table(spark, folder, "documents"), keep="max", every_row=True)
 
 
 def packed(docs: DataFrame) -> DataFrame:

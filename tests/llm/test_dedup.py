@@ -2,12 +2,14 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pressroom.llm import exact_dedup, simhash
+from oracle import compare
+from pressroom.llm import exact_dedup, queries, simhash
 from pressroom.llm.exact_dedup import PatriciaTrie
 
 
@@ -163,3 +165,13 @@ def test_near_groups_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_first_of_groups(empty).count() == 0
     assert simhash.near_groups(empty.select(F.col("text"), "doc_id")).columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def test_exact_dedup_query_returns_repeated_rows_each(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "A"), (2, "a"), (3, None), (3, ""), (4, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.op5_exact_dedup(spark, str(tmp_path))
+    assert df.count() == len(rows)
+    assert compare(df, db, queries.SQL["op5_exact_dedup"]) is None
