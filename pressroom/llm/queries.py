@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import durable
-from . import ann, chat, exact_dedup, line_chunks, packing, quality, simhash, token_counts, toxicity, unigram
+from . import ann, chat, divergence, exact_dedup, language, line_chunks, packing, quality, simhash, token_counts, toxicity, unigram, whitening
 from .shared import read_table, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,44 @@ def op9_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(read_table(spark, folder, "documents"), threshold=3)
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+    ), w AS (SELECT lang, source, i, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    l AS (SELECT lang, sum(n) AS n, count(*) AS v FROM k GROUP BY ALL),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    s AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (
+        SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (s.n + l.v)::HUGEINT AS p,
+            1 + 1000000000 * (k.n + 1)::HUGEINT // (l.n + l.v)::HUGEINT AS q
+        FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+    ), f AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+    ), r AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+    )
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r
+    QUALIFY part = 'pair' OR rank <= 200
+    """
+)
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read_table(spark, folder, "documents"))
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predict(read_table(spark, folder, "documents"))
