@@ -103,9 +103,10 @@ def build_url(scheme: Column, host: Column, path: Column, query: Column, fragmen
 
 def ascii_host(host: Column) -> Column:
     """Lower-case ASCII host without its closing dot; NULL when a label breaks the host-name rules."""
-    # letters, digits and inner hyphens per label; two hyphens in third place only after "xn"
-    name = r"(?:(?!(?!xn--)[a-z0-9-]{2}--)(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)?(?:\.(?!\z)|\z))+"
-    return F.nullif(F.regexp_extract(F.lower(F.regexp_replace(host, r"\.\z", "")), rf"^({name})\z", 1), F.lit(""))
+    # another character, a hyphen at either end of a label, two hyphens in third place other than after "xn", a second closing dot. Each is found by
+    # one pass: a pattern with a group per label would recurse once per label, and strangers submit these names.
+    bad = r"[^a-z0-9.-]|(?:^|\.)-|-(?:\.|\z)|(?:^|\.)(?!xn--)[a-z0-9-]{2}--|\.\z"
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_replace(host, r"\.\z", "")), rf"(?s)^(?=.*?(?:{bad})).*\z", ""), F.lit(""))
 
 
 @F.pandas_udf(StringType())

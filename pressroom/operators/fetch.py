@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import col, let
 from ..functions.urls import resolve_url, url_parts
 from .skew import durable, first_per_key, ordered_chunks
 from .urls import validate_urls
@@ -211,12 +211,10 @@ def robots_rules(rules: DataFrame, agent: str, host: str = "host") -> DataFrame:
     scored = rules.withColumn("_score", best).filter("_score >= 0")
     top = scored.groupBy(host).agg(F.max("_score").alias("_score"))
     chosen = scored.join(top, [host, "_score"], "left_semi")
-    pattern = F.concat(F.lit("^"), F.regexp_replace(_quote(F.col("value")), r"\\\*", ".*"))
-    pattern = F.regexp_replace(pattern, r"\\\$\z", r"\\z")
     rule = F.when(
         F.col("field").isin("allow", "disallow") & (F.col("value") != ""),
         F.struct(
-            F.length("value").alias("length"), (F.col("field") == "allow").alias("allow"), pattern.alias("pattern")
+            F.length("value").alias("length"), (F.col("field") == "allow").alias("allow"), *rule_pieces(F.col("value"))
         ),
     )
     delay = F.when(F.col("field") == "crawl-delay", F.col("value").try_cast("double"))
@@ -225,14 +223,42 @@ def robots_rules(rules: DataFrame, agent: str, host: str = "host") -> DataFrame:
     )
 
 
-def _quote(text: Column) -> Column:
-    return F.regexp_replace(text, r"([^A-Za-z0-9/_%-])", r"\\$1")
+def rule_pieces(value: Column) -> tuple[Column, Column, Column, Column]:
+    """A rule as its text before the first ``*`` (``head``), the texts between (``middle``), the one after the last (``tail``; NULL without a ``*``), and
+    whether a ``$`` ends it (``anchored``)."""
+    anchored = value.endswith("$")
+    pieces = F.split(F.when(anchored, F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value), r"\*")
+    n = F.size(pieces)
+    return (
+        F.get(pieces, F.lit(0)).alias("head"),
+        F.when(n > 2, F.filter(F.slice(pieces, 2, F.greatest(n - 2, F.lit(0))), lambda p: p != "")).alias("middle"),
+        F.when(n > 1, F.get(pieces, n - 1)).alias("tail"),
+        anchored.alias("anchored"),
+    )
+
+
+def rule_matches(path: Column, rule: Column) -> Column:
+    """Does the rule hold for the path? Each text between wildcards is taken at its first place after the one before, which leaves the most to the
+    next: one walk along the path, whatever the wildcards."""
+    head, tail, anchored = rule["head"], rule["tail"], rule["anchored"]
+
+    def after(at: Column, piece: Column) -> Column:
+        found = F.call_function("locate", piece, path, at)
+        return F.when((at > 0) & (found > 0), found + F.length(piece)).otherwise(F.lit(0))
+
+    def ends(at: Column) -> Column:
+        last = F.endswith(path, tail) & (F.length(path) - F.length(tail) + 1 >= at)
+        return (at > 0) & F.when(anchored, last).otherwise((tail == "") | (F.call_function("locate", tail, path, at) > 0))
+
+    middle = F.coalesce(rule["middle"], F.array().cast("array<string>"))
+    wild = let(F.aggregate(middle, F.length(head) + 1, after), ends)
+    return F.startswith(path, head) & F.when(tail.isNull(), ~anchored | (path == head)).otherwise(wild)
 
 
 def path_allowed(path: Column | str, rules: Column | str) -> Column:
     """The longest matching rule decides, an allow rule wins a tie, no match allows. The query is not looked at."""
     path = col(path)
-    hits = F.filter(col(rules), lambda r: F.regexp_like(path, r["pattern"]))
+    hits = F.filter(col(rules), lambda r: rule_matches(path, r))
     return F.coalesce(F.array_max(F.transform(hits, lambda r: F.struct(r["length"], r["allow"])))["allow"], F.lit(True))
 
 

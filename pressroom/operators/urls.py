@@ -73,8 +73,10 @@ def validate_urls(
     host names in other scripts, for tables known to have none.
     """
     raw = F.col(url)
+    # a longer text is refused as it is, so it is never cut up
+    short = F.when(F.octet_length(raw) <= MAX_URL_BYTES, raw)
     # one column per step: Spark does not merge steps whose result is used more than once
-    df = df.withColumn("_pieces", split_url(raw)).withColumn("_parts", parts_of(F.col("_pieces"))).drop("_pieces")
+    df = df.withColumn("_pieces", split_url(short)).withColumn("_parts", parts_of(F.col("_pieces"))).drop("_pieces")
     parts = F.col("_parts")
     if idna:
         df = df.withColumn("_idna", idna_ascii(F.when(~is_ascii(parts["host"]), parts["host"])))

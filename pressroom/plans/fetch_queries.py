@@ -74,7 +74,7 @@ def _robots(spark, folder):
         "# nothing for us\nUser-agent: otherbot\nDisallow: /\n",
         "User-Agent: newsbot\nUser-agent: thirdbot\nDisallow: /*.html$\nCrawl-delay: 0.5\n\nUser-agent: *\nDisallow: /\n",
         "user-agent: news\r\ndisallow: /fr\r\nuser-agent: *\r\ndisallow:\r\n",
-        "",
+        "User-agent: *\nDisallow: /*n/*7*\nAllow: /*n/*7*1*\nDisallow: /*/*3*$\nDisallow: /*e*/*4*.*h*t*m*l$\nDisallow: /*a*b*c*d*e*f*g*h*i*j*k$\n",
     ]
     n = F.length("host") % 6
     body = case_of(F.length("host") % 6, [F.lit(b) for b in [*bodies, "no"]])
@@ -84,14 +84,35 @@ def _robots(spark, folder):
 _PATH = "regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
 
 
+# the lines of the bodies above, by the number of the body
+_ROBOTS_LINES = """
+    l(k, line, "group", agents, field, value) AS (VALUES
+      (0, 1, 1, '*', 'disallow', '/en/'), (0, 2, 1, '*', 'allow', '/en/1'), (0, 3, 1, '*', 'crawl-delay', '2'),
+      (1, 2, 1, 'otherbot', 'disallow', '/'),
+      (2, 2, 1, 'newsbot,thirdbot', 'disallow', '/*.html$'), (2, 3, 1, 'newsbot,thirdbot', 'crawl-delay', '0.5'), (2, 6, 2, '*', 'disallow', '/'),
+      (3, 1, 1, 'news', 'disallow', '/fr'), (3, 3, 2, '*', 'disallow', ''),
+      (4, 1, 1, '*', 'disallow', '/*n/*7*'), (4, 2, 1, '*', 'allow', '/*n/*7*1*'), (4, 3, 1, '*', 'disallow', '/*/*3*$'),
+      (4, 4, 1, '*', 'disallow', '/*e*/*4*.*h*t*m*l$'), (4, 5, 1, '*', 'disallow', '/*a*b*c*d*e*f*g*h*i*j*k$'))"""
+
+# the group with the longest agent name that ours starts with, '*' last
+_ROBOTS_OURS = f"""{_ROBOTS_LINES},
+    s AS (SELECT *, list_max(list_transform(string_split(agents, ','),
+      lambda a: CASE WHEN a = '*' THEN 0 WHEN a <> '' AND starts_with('newsbot/1.0', a) THEN length(a) ELSE -1 END)) AS score FROM l),
+    ours AS (SELECT * FROM s WHERE score >= 0 QUALIFY score = max(score) OVER (PARTITION BY k)),
+    delays AS (SELECT k, arg_min(value::DOUBLE, line) AS crawl_delay FROM ours WHERE field = 'crawl-delay' GROUP BY 1)"""
+
+
 @query(
     f"""
-    WITH p AS (SELECT page_id, {_PATH} AS path, length(regexp_extract(url, '://([^/?#]*)', 1)) % 6 AS k FROM pages),
-    d AS (SELECT *, CASE k WHEN 0 THEN starts_with(path, '/en/') AND NOT starts_with(path, '/en/1') WHEN 2 THEN ends_with(path, '.html')
-      WHEN 3 THEN starts_with(path, '/fr') WHEN 5 THEN TRUE ELSE FALSE END AS denied FROM p)
+    WITH {_ROBOTS_OURS},
+    p AS (SELECT page_id, {_PATH} AS path, length(regexp_extract(url, '://([^/?#]*)', 1)) % 6 AS k FROM pages),
+    rules AS (SELECT k, field = 'allow' AS allow, length(value) AS size, '^' || replace(regexp_escape(regexp_replace(value, '\\$$', '')), '\\*', '.*')
+      || CASE WHEN value LIKE '%$' THEN '$' ELSE '' END AS pattern FROM ours WHERE field IN ('allow', 'disallow') AND value <> ''),
+    hits AS (SELECT page_id, arg_max(allow, 2 * size + allow::INTEGER) AS allow FROM p JOIN rules USING (k) WHERE regexp_matches(path, pattern) GROUP BY 1),
+    d AS (SELECT page_id, k, k = 5 OR NOT coalesce(allow, TRUE) AS denied FROM p LEFT JOIN hits USING (page_id))
     SELECT page_id, CASE WHEN NOT denied THEN 'allowed' END AS robots_status, CASE WHEN denied THEN 'robots_denied' END AS error_code,
-      CASE k WHEN 0 THEN 2.0 WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS crawl_delay
-    FROM d"""
+      coalesce(crawl_delay, 0) AS crawl_delay
+    FROM d LEFT JOIN delays USING (k)"""
 )
 def robots_gates(spark, folder):
     """Every page URL against its host's rules."""
@@ -100,30 +121,20 @@ def robots_gates(spark, folder):
     return gated.select("page_id", "robots_status", "error_code", "crawl_delay")
 
 
-@query(
-    """
-    WITH h AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages),
-    k AS (SELECT host, length(host) % 6 AS k FROM h)
-    SELECT host, 1::BIGINT AS "group", '*' AS agents, 'disallow' AS field, '/en/' AS value FROM k WHERE k = 0
-    UNION ALL SELECT host, 1, '*', 'allow', '/en/1' FROM k WHERE k = 0
-    UNION ALL SELECT host, 1, '*', 'crawl-delay', '2' FROM k WHERE k = 0
-    UNION ALL SELECT host, 1, 'otherbot', 'disallow', '/' FROM k WHERE k = 1
-    UNION ALL SELECT host, 1, 'newsbot,thirdbot', 'disallow', '/*.html$' FROM k WHERE k = 2
-    UNION ALL SELECT host, 1, 'newsbot,thirdbot', 'crawl-delay', '0.5' FROM k WHERE k = 2
-    UNION ALL SELECT host, 2, '*', 'disallow', '/' FROM k WHERE k = 2
-    UNION ALL SELECT host, 1, 'news', 'disallow', '/fr' FROM k WHERE k = 3
-    UNION ALL SELECT host, 2, '*', 'disallow', '' FROM k WHERE k = 3"""
-)
+_HOST_KINDS = "h AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host, length(host) % 6 AS k FROM pages)"
+
+
+@query(f'WITH {_ROBOTS_LINES}, {_HOST_KINDS} SELECT host, "group"::BIGINT AS "group", agents, field, value FROM h JOIN l USING (k)')
 def robots_rule_rows(spark, folder):
     rules = parse_robots(_robots(spark, folder))
     return rules.select("host", "group", F.array_join("agents", ",").alias("agents"), "field", "value")
 
 
 @query(
-    """
-    WITH h AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)
-    SELECT host, CASE length(host) % 6 WHEN 0 THEN 2 ELSE 1 END AS rules, CASE length(host) % 6 WHEN 0 THEN 2.0 WHEN 2 THEN 0.5 ELSE 0.0 END::DOUBLE AS crawl_delay
-    FROM h WHERE length(host) % 6 IN (0, 2, 3)"""
+    f"""
+    WITH {_ROBOTS_OURS}, {_HOST_KINDS}
+    SELECT host, count(*) FILTER (WHERE field IN ('allow', 'disallow') AND value <> '')::INTEGER AS rules, coalesce(any_value(crawl_delay), 0) AS crawl_delay
+    FROM h JOIN ours USING (k) LEFT JOIN delays USING (k) GROUP BY 1"""
 )
 def robots_agent_rules(spark, folder):
     """The rules that hold for one agent."""

@@ -114,13 +114,15 @@ _LISTING_PAGE = (
     f"""
     WITH {_ARTICLE_TEXT},
     counted AS (SELECT page_id, len(regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}_]+')) AS words FROM cleaned),
-    judged AS (SELECT *, url LIKE 'https:%' AND {_LISTING_PAGE} AS listing, url LIKE 'https:%' AND NOT {_LISTING_PAGE} AS article FROM pages)
+    judged AS (SELECT *, url LIKE 'https:%' AND {_LISTING_PAGE} AS listing, url LIKE 'https:%' AND NOT {_LISTING_PAGE} AS article,
+      trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), chr(9) || chr(10) || chr(13) || ' ') <> '' AS titled FROM pages)
     SELECT regexp_extract(url, '([^./]+\\.[^./]+)(/|$|\\?|#)', 1) AS domain, count(*) AS pages,
-           count(*) FILTER (WHERE article AND words >= 80) AS accepted,
+           count(*) FILTER (WHERE article AND words >= 80 AND titled) AS accepted,
            count(*) FILTER (WHERE article AND words < 80) AS too_short,
+           count(*) FILTER (WHERE article AND words >= 80 AND NOT titled) AS no_title,
            count(*) FILTER (WHERE listing) AS listing,
            count(*) FILTER (WHERE url LIKE 'http:%') AS rejected_urls,
-           coalesce(sum(words) FILTER (WHERE article AND words >= 80), 0)::BIGINT AS words
+           coalesce(sum(words) FILTER (WHERE article AND words >= 80 AND titled), 0)::BIGINT AS words
     FROM judged JOIN counted USING (page_id) GROUP BY 1"""
 )
 def corpus_summary(spark, folder):
@@ -153,6 +155,7 @@ def corpus_summary(spark, folder):
         F.count("*").alias("pages"),
         F.count_if(good).alias("accepted"),
         F.count_if(article & (verdict == "too_short")).alias("too_short"),
+        F.count_if(article & (verdict == "no_title")).alias("no_title"),
         F.count_if("listing").alias("listing"),
         F.count_if("rejected").alias("rejected_urls"),
         F.coalesce(F.sum(F.when(good, F.col("words"))), F.lit(0)).cast("bigint").alias("words"),

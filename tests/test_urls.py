@@ -2,11 +2,12 @@
 
 import ipaddress
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from pressroom.functions.net import SPECIAL_NETWORKS, ip_is_public, ipv6_hex
-from pressroom.functions.urls import host_suffixes, is_listing, normalize_url, resolve_url, url_parts
+from pressroom.functions.urls import ascii_host, host_suffixes, is_listing, normalize_url, resolve_url, url_parts
 from pressroom.operators.skew import ranked
 from pressroom.operators.urls import allow_domains, dedupe_first, unseen, valid_scrape_request, validate_urls
 
@@ -176,3 +177,20 @@ def test_native_functions_have_no_python_stage(spark):
     ):
         plan = plan_of._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "Cartesian" not in plan
+
+
+def test_hostile_urls_are_refused_in_no_time(spark):
+    """Many labels, no limit on length, long runs: nothing here may recurse per label or look back over what it has read."""
+    urls = [
+        "https://" + "a." * 900 + "com/", "https://" + "a." * 200_000 + "com/", "https://" + "a-" * 900 + "/", "https://" + "a" * 1900 + "/",
+        "https://x.example/" + "%2" * 900, "https://x.example/" + "é" * 800, "h" * 500_000, "https://" + "@" * 1900, "https://x.example/?" + "a" * 1900,
+    ]
+    df = column(spark, urls)
+    validate_urls(column(spark, ["https://warm.example/"])).collect()
+    start = time.perf_counter()
+    got = results(validate_urls(df, allowed_domains=["example"]), "reject_reason")
+    assert time.perf_counter() - start < 5
+    assert got == ["domain_not_allowed", "empty_or_too_long", "bad_hostname", "domain_not_allowed", "unparsable", None, "empty_or_too_long", "unparsable", None]
+    hosts = ["a..b", "a.b.", "a.b..", "-a.b", "a-.b", "ab--c.d", "xn--c.d", "A_b.c", "", ".", "a", "é.f"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, host string")
+    assert results(df.withColumn("h", ascii_host(F.col("host"))), "h") == ["a..b", "a.b", None, None, None, None, "xn--c.d", None, None, None, "a", None]
