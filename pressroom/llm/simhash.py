@@ -36,7 +36,7 @@ _PLACE = (np.arange(8) * 256).astype(np.int64)
 def with_hashes(df: DataFrame, words: str, hashes: str) -> DataFrame:
     """Adds the words of ``text``, A to Z in lower case, and XXH64 (seed 42) of each run of ``SHINGLE``; of all words where they are fewer."""
     plain = F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    trimmed = F.regexp_replace(plain, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.trim(plain, F.lit(" \t\n\x0b\x0c\r"))
     # a column of its own, so that the lambda below reads it and doesn't split again for each word
     df = df.withColumn(words, F.split(trimmed, r"[\x20\x09-\x0D]+", -1))
     w = F.col(words)

@@ -49,8 +49,8 @@ class BytePairCounter:
             return cls(name, f.read(), public_tokenizers.PATTERN)
 
 
-def count_tokens(docs: DataFrame, counter: BytePairCounter) -> DataFrame:
-    """One row per document: doc_id, source, lang, tokenizer, n_tokens.
+def count_tokens(docs: DataFrame, counter: BytePairCounter, flag: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, lang, tokenizer, n_tokens, and the boolean column ``flag`` of ``docs`` where one is named.
 
     A null text has no tokens; a null source, language or identifier stays null and is a group of its own. Repeated rows count
     each. Other columns are ignored.
@@ -58,17 +58,18 @@ def count_tokens(docs: DataFrame, counter: BytePairCounter) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sources, langs, texts = batch.columns
+            ids, sources, langs, texts, *flags = batch.columns
             numbers = [counter.count(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [ids, sources, langs, pa.array([counter.name] * len(numbers), pa.string()), pa.array(numbers, pa.int64())],
-                ["doc_id", "source", "lang", "tokenizer", "n_tokens"],
+                [ids, sources, langs, pa.array([counter.name] * len(numbers), pa.string()), pa.array(numbers, pa.int64()), *flags],
+                ["doc_id", "source", "lang", "tokenizer", "n_tokens", *([flag] if flag else [])],
             )
 
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_of().alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_of().alias("text"),
+        *([flag] if flag else []),
     )
-    return rows.mapInArrow(run, COUNTS)
+    return rows.mapInArrow(run, f"{COUNTS}, {flag} boolean" if flag else COUNTS)
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:

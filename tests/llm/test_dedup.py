@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -175,3 +176,13 @@ def test_exact_dedup_query_returns_repeated_rows_each(spark, tmp_path):
     df = queries.op5_exact_dedup(spark, str(tmp_path))
     assert df.count() == len(rows)
     assert compare(df, db, queries.SQL["op5_exact_dedup"]) is None
+
+
+def test_long_white_space_takes_no_time(spark):
+    texts = ["a" + " " * 300_000 + "b c", " \t" * 150_000, "\n" * 200_000 + "x y z w" + "\x0b\x0c" * 100_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    simhash.with_hashes(df.withColumn("text", F.lit("a b c")), "w", "h").collect()
+    start = time.perf_counter()
+    got = [r.w for r in simhash.with_hashes(df, "w", "h").select("w").collect()]
+    assert sorted(got) == sorted([["a", "b", "c"], [""], ["x", "y", "z", "w"]])
+    assert time.perf_counter() - start < 5

@@ -1,9 +1,12 @@
 import random
+import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
@@ -182,3 +185,23 @@ def test_addresses_are_counted_anew_by_row(spark, tmp_path):
     left = ["write to  please", rows[1][1], " is nobody's", "plain", ""]
     got = [tuple(r) for r in queries.op1_token_counts(spark, str(tmp_path)).select("docs", "tokens").collect()]
     assert got == [(5, sum(counter.count(t) for t in left))]
+
+
+def test_addresses_in_hostile_texts_are_found_in_one_pass(spark):
+    texts = ["a@b" + ".c" * 20_000, "w" * 400_000, "a." * 200_000, ("x@" * 100_000), "mail a@b.c+d@e.f, z@y", "@a.b q.r+s@t-u.v.", "x" * 80 + "@h.io"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    df.select(F.regexp_replace(F.lit("a@b.c"), queries.E_MAIL, "")).collect()
+    start = time.perf_counter()
+    got = [r.t for r in df.orderBy("i").select(F.regexp_replace("text", queries.E_MAIL, "").alias("t")).collect()]
+    assert time.perf_counter() - start < 5
+    plain = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.ASCII)
+    assert got[0] == "" and got[1:4] == texts[1:4] and got[4:] == [plain.sub("", t) for t in texts[4:]]
+
+
+def test_addresses_as_the_plain_pattern_finds_them(spark):
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("ab.+-@@ ,") for _ in range(draw.randrange(30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(1)
+    plain = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+    new, old = F.regexp_replace("text", queries.E_MAIL, "~"), F.regexp_replace("text", plain, "~")
+    assert df.filter(new != old).collect() == []
