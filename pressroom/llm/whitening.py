@@ -8,13 +8,14 @@ whitening matrix are the projected rows, and their own transpose times them says
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import Matrices, Matrix
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +46,20 @@ def whole_numbers(vectors: DataFrame) -> DataFrame:
 
 
 def distributed(rows: DataFrame, n: int, width: int) -> BlockMatrix:
-    """``n`` rows (position from 0, centred) as blocks."""
-    indexed = MLUtils.convertVectorColumnsFromML(rows.select(F.col("position").alias("index"), array_to_vector("centred").alias("vector")), "vector")
-    tall = max(BLOCK_ROWS, math.ceil(n / MOST_BLOCKS))
-    return IndexedRowMatrix(indexed, n, width).toBlockMatrix(tall, min(width, BLOCK_COLUMNS))
+    """``n`` rows (position from 0, centred) as blocks, kept while they are multiplied.
+
+    A block is put together by one shuffle of its rows as they are; ``IndexedRowMatrix.toBlockMatrix`` shuffles a pair of objects per entry.
+    """
+    tall, panel = max(BLOCK_ROWS, math.ceil(n / MOST_BLOCKS)), min(width, BLOCK_COLUMNS)
+
+    def put_together(row) -> Iterator[tuple[tuple[int, int], Matrix]]:
+        block = np.array([r["centred"] for r in sorted(row["rows"], key=lambda r: r["position"])])
+        for at in range(0, width, panel):
+            part = block[:, at : at + panel]
+            yield (row["block"], at // panel), Matrices.dense(*part.shape, part.ravel(order="F"))
+
+    gathered = rows.groupBy(F.floor(F.col("position") / tall).cast("int").alias("block")).agg(F.collect_list(F.struct("position", "centred")).alias("rows"))
+    return BlockMatrix(gathered.rdd.flatMap(put_together), tall, panel, n, width).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def own_product(blocks: BlockMatrix) -> np.ndarray:
@@ -121,7 +132,8 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     error = float(np.abs(own_product(projected) / n - np.eye(len(values))).max())
 
     found = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
-    white = found.select(F.col("index").alias("position"), vector_to_array("vector").alias("white"))
+    white = written(found.select(F.col("index").alias("position"), vector_to_array("vector").alias("white")), "white")
+    blocks._java_matrix_wrapper._java_model.blocks().unpersist(False)
     by_vector = fit.select("position", "x", "deviation").join(white, "position").select("x", "deviation", "white")
     share = F.array(*[F.lit(float(e)) for e in values / np.trace(covariance)])
     return (
