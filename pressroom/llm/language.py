@@ -22,6 +22,7 @@ from .shared import remainder, text_of
 SAMPLE_PER_LANGUAGE = 1000
 SAMPLE_ROWS = 40_000
 SAMPLE_BYTES = 65_536
+SHARES = 64
 ORDER = 4
 LEAST_SEEN = 12
 MAX_CONTEXTS = 16_000
@@ -160,8 +161,11 @@ def train(
     known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != out))
     known = known.filter(F.octet_length("text").between(1, max_bytes)).withColumn("digest", F.xxhash64("text"))
     # chosen by key, so no text is shuffled; sample_rows triples at most are broadcast, taken in turn from all languages
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
-    chosen = known.select("lang", "doc_id", "digest").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_language)
+    chosen = known.select("lang", "doc_id", "digest", F.pmod(F.hash("doc_id"), F.lit(SHARES)).alias("share"))
+    # a language is thinned in shares first, so that what meets in one task does not grow with the tasks
+    for keys in (["lang", "share"], ["lang"]):
+        place = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id", "digest")
+        chosen = chosen.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_language)
     chosen = chosen.orderBy("place", "lang").limit(sample_rows).select("lang", "doc_id", "digest").distinct()
     sample = known.join(F.broadcast(chosen), ["lang", "doc_id", "digest"], "left_semi").select("lang", "text")
     counted = sample.mapInArrow(_grams, "lang string, ord int, context long, byte int, n long")
