@@ -6,15 +6,13 @@ from pyspark.sql import functions as F
 
 from ..streaming.batches import advance_stream, schedule_stream
 from ..streaming.common import read_stream, run_available, with_rocksdb, work_folder
-from ..streaming.counters import fenced_completions, item_outcomes, unique_urls, upsert_stream, worker_beats
+from ..streaming.counters import fenced_completions, item_outcomes, running_windows, unique_urls, upsert_stream, worker_beats
 from ..streaming.state import completed_jobs, expired_on_stream
 from .catalog import query, table
 from .fetch_queries import _REQUESTS, _schedule_sql
 from .job_queries import _status
 from .search_queries import ADVANCE_SQL, search_tables
 
-_CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
-
 
 def _events(spark, folder):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -22,41 +20,41 @@ def _events(spark, folder):
 
 
 @query(
-    f"""
+    """
     WITH w AS (SELECT user_id AS worker_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, max(ts) AS beat FROM events GROUP BY 1, 2)
-    SELECT worker_id, epoch_us(start) AS window_start, epoch_us(beat) AS last_beat FROM w WHERE start + INTERVAL 1 HOUR <= {_CLOSED}"""
+    SELECT worker_id, epoch_us(start) AS window_start, epoch_us(beat) AS last_beat FROM w"""
 )
 def stream_worker_beats(spark, folder):
-    """Workers alive per hour, for every window that the watermark has closed."""
+    """Workers alive per hour, the hours that are still open too."""
     beats = _events(spark, folder).select(F.col("user_id").alias("worker_id"), F.col("ts").alias("heartbeat_at"))
-    out = run_available(spark, worker_beats(beats, ttl_seconds=3600), "beats")
+    out = running_windows(spark, worker_beats(beats, ttl_seconds=3600), work_folder(spark, "beats"), ["window", "worker_id"], buckets=8)
     return out.select("worker_id", F.unix_micros("window.start").alias("window_start"), F.unix_micros("last_beat").alias("last_beat"))
 
 
 @query(
     """
-    WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS status, CASE WHEN event_type = 'error' THEN 'e' || event_id % 2 END AS error_code,
-      count(*) AS items, sum(round(value * 100)::BIGINT)::BIGINT AS latency_micros FROM events GROUP BY 1, 2, 3)
-    SELECT epoch_us(start) AS window_start, status, error_code, items, latency_micros FROM w
-    WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+    SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, event_type AS status, CASE WHEN event_type = 'error' THEN 'e' || event_id % 2 END AS error_code,
+      'd' || user_id % 30 || '.example' AS domain, count(*) AS items, sum(round(value * 100)::BIGINT)::BIGINT AS latency_micros
+    FROM events GROUP BY ALL"""
 )
 def stream_item_outcomes(spark, folder):
     events = _events(spark, folder)
     items = events.select(
         F.col("event_type").alias("status"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("event_id") % 2)).alias("error_code"),
-        F.lit(None).cast("string").alias("domain"),
+        F.concat(F.lit("d"), F.col("user_id") % 30, F.lit(".example")).alias("domain"),
         F.timestamp_micros(F.unix_micros("ts") - F.round(F.col("value") * 100).cast("bigint")).alias("started_at"),
         F.col("ts").alias("finished_at"),
     )
-    out = run_available(spark, item_outcomes(items), "outcomes")
-    return out.select(F.unix_micros("window.start").alias("window_start"), "status", "error_code", "items", "latency_micros")
+    out = running_windows(spark, item_outcomes(items), work_folder(spark, "outcomes"), ["window", "status", "error_code", "domain"], buckets=8)
+    return out.select(F.unix_micros("window.start").alias("window_start"), "status", "error_code", "domain", "items", "latency_micros")
 
 
 @query("SELECT DISTINCT floor(value)::BIGINT AS url FROM events")
 def stream_unique_urls(spark, folder):
-    urls = _events(spark, folder).select(F.floor("value").cast("bigint").alias("url"))
-    return run_available(spark, unique_urls(urls), "unique")
+    """First sights; a URL is forgotten when it was not seen for longer than the table's month, so the state is bounded."""
+    urls = _events(spark, folder).select(F.floor("value").cast("bigint").alias("url"), "ts")
+    return run_available(spark, unique_urls(urls, time="ts", within="31 days"), "unique").select("url")
 
 
 @query(
@@ -74,8 +72,10 @@ def stream_completed_jobs(spark, folder):
         # line numbers repeat within an order here, whole lines don't
         F.xxhash64("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("position"),
         _status("l_returnflag", "l_linestatus").alias("status"),
+        F.col("l_shipdate").cast("timestamp").alias("ended_at"),
     )
-    return run_available(spark, completed_jobs(lines.join(totals, "job_id")), "completed")
+    # the lines of an order are shipped within four months
+    return run_available(spark, completed_jobs(lines.join(totals, "job_id"), time="ended_at", keep_seconds=150 * 24 * 3600), "completed")
 
 
 @query(
@@ -140,5 +140,5 @@ def stream_discovery(spark, folder):
 def stream_upsert(spark, folder):
     updates = _events(spark, folder).select("user_id", "event_id", "event_type", "ts")
     schema = "user_id bigint, event_id bigint, event_type string, ts timestamp"
-    out = upsert_stream(spark, updates, work_folder(spark, "upsert"), ["user_id"], ["ts", "event_id"], schema)
+    out = upsert_stream(spark, updates, work_folder(spark, "upsert"), ["user_id"], ["ts", "event_id"], schema, buckets=8)
     return out.select("user_id", "event_id", "event_type")

@@ -1,80 +1,42 @@
-"""Streams that run a batch operator per micro-batch and carry its state in a versioned table.
-
-The version is named by the batch id: a batch that runs again reads the same earlier version and overwrites its own.
-"""
+"""Streams that are run over all input there is, with their results as tables. What they carry lives in the state store of their checkpoint."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.fetch import next_allowed, schedule_requests
-from ..operators.search import advance, emitted_jobs, next_runs
+from ..operators.search import search_books
 from ..operators.skew import durable
-from ..operators.urls import merge_seen
-from ..sources.sinks import upsert_latest
-from .common import batch_table, each_batch
+from .common import with_rocksdb, write_available
+from .state import discovered_on_stream, scheduled_on_stream
 
 
 def schedule_stream(
     spark: SparkSession, requests: DataFrame, folder: str, domain: str, arrival: str, tie: Sequence[str], delay: str
 ) -> DataFrame:
-    """Politeness on a live URL stream: each micro-batch continues the schedule where the last one left each domain.
-
-    A micro-batch is scheduled by the batch operator, so a domain that floods the stream is split as it is there.
-    Returns the scheduled requests.
-    """
-    domain_type = dict(requests.dtypes)[domain]
-    limits_schema = f"{domain} {domain_type}, next_allowed bigint"
-    limits_folder, out = f"{folder}/limits", f"{folder}/schedule"
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        limits = batch_table(spark, limits_folder, batch_id, limits_schema)
-        planned = durable(schedule_requests(batch, domain, arrival, tie, delay, limits=limits))
-        planned.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        newer = upsert_latest(limits, next_allowed(planned, domain), [domain], ["next_allowed"])
-        newer.write.mode("overwrite").parquet(f"{limits_folder}/{batch_id}")
-
-    each_batch(requests, step, f"{folder}/checkpoint")
-    return spark.read.parquet(out).drop("batch")
+    """Politeness on a live URL stream, see :func:`pressroom.streaming.state.scheduled_on_stream`. Returns the scheduled requests."""
+    with_rocksdb(spark)
+    planned = scheduled_on_stream(requests, domain, arrival, tie, delay)
+    write_available(planned, f"{folder}/schedule", f"{folder}/checkpoint")
+    return spark.read.schema(planned.schema).parquet(f"{folder}/schedule")
 
 
 def advance_stream(
     spark: SparkSession, commands: DataFrame, runs: DataFrame, pages: DataFrame, hits: DataFrame, seen: DataFrame, folder: str
 ) -> DataFrame:
-    """Resumable discovery: commands (search_id, command_id) arrive as a stream, any number per search and micro-batch.
+    """Resumable discovery, see :func:`pressroom.streaming.state.discovered_on_stream`. Returns the emitted jobs with their URLs.
 
-    The commands of one search in one micro-batch are carried out one after the other in order of command_id, each from the
-    state that the one before left; commands of different searches go together. Search runs and seen URLs are carried in
-    versioned tables. A command that is delivered again, in the same batch after a failure or in a later one, gives its
-    stored result and no new job. Returns the emitted jobs with their URLs.
+    The captured pages are put together once per start of the stream, not once per micro-batch.
     """
-    runs_schema = runs.drop("command_id").schema
-    seen_schema = "search_id string, url string"
-    start_runs, start_seen = runs.drop("command_id"), seen.select("search_id", "url")
+    with_rocksdb(spark)
+    items = discovered_on_stream(commands, runs, durable(search_books(pages, hits)), seen)
+    write_available(items, f"{folder}/items", f"{folder}/checkpoint")
+    return spark.read.schema(items.schema).parquet(f"{folder}/items")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        state = batch_table(spark, f"{folder}/runs", batch_id, runs_schema) if batch_id else start_runs
-        known = batch_table(spark, f"{folder}/seen", batch_id, seen_schema) if batch_id else start_seen
-        in_turn = Window.partitionBy("search_id").orderBy("command_id")
-        commands_ = durable(batch.select("search_id", "command_id").distinct().withColumn("nth", F.row_number().over(in_turn)))
-        out = f"{folder}/items/batch={batch_id}"
-        turns = commands_.agg(F.max("nth")).first()[0] or 0
-        for nth in range(1, max(1, turns) + 1):
-            wanted = commands_.filter(F.col("nth") == nth).drop("nth")
-            moved = durable(advance(state.join(wanted, "search_id"), pages, hits, known))
-            jobs, items = emitted_jobs(moved)
-            emitted = jobs.join(items, "job_id").select("search_id", "command_id", "job_id", "position", "url")
-            # the first turn clears what a failed attempt of this batch has left
-            emitted.write.mode("overwrite" if nth == 1 else "append").parquet(out)
-            new = moved.filter("error_code IS NULL AND NOT replayed").select("search_id", F.explode("new_seen").alias("url"))
-            state, known = next_runs(state, moved), merge_seen(known, new, ["search_id", "url"])
-            if nth < turns:
-                state, known = durable(state), durable(known)
-        state.write.mode("overwrite").parquet(f"{folder}/runs/{batch_id}")
-        known.write.mode("overwrite").parquet(f"{folder}/seen/{batch_id}")
 
-    each_batch(commands, step, f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/items").drop("batch")
+def discovery_state(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """What :func:`advance_stream` carries, read from its state store: ``run``, ``pending``, ``seen``, ``fingerprints``, ``job_ids`` or ``warnings``, by search_id."""
+    store = spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/checkpoint")
+    found = {"seen": ["user_map_key.url"], "run": ["value.*"]}.get(name, ["list_element.value"])
+    return store.selectExpr("key.search_id AS search_id", *found)

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.jobs import current_owner
 from ..operators.metrics import WORKER_TTL_SECONDS
+from ..operators.skew import first_per_key
 from ..sources.sinks import upsert_latest
-from .common import batch_table, each_batch
+from .common import KeyedTable, each_batch
 
 
 def worker_beats(
@@ -41,21 +43,35 @@ def unique_urls(urls: DataFrame, key: str = "url", time: str | None = None, with
 
 
 def upsert_stream(
-    spark: SparkSession, updates: DataFrame, folder: str, keys: Sequence[str], order: Sequence[str], schema: str
+    spark: SparkSession, updates: DataFrame, folder: str, keys: Sequence[str], order: Sequence[str], schema: str, buckets: int = 64
 ) -> DataFrame:
-    """Keep the latest row per key of a stream in a table.
+    """Keep the latest row per key of a stream in a table of ``buckets`` folders. Returns the table."""
+    kept = KeyedTable(spark, f"{folder}/latest", keys, schema, buckets)
 
-    Each micro-batch writes a new version named by its batch id, from the version before: running a batch again
-    overwrites its own version with the same rows. Returns the last version.
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*kept.schema.names)
+        # of a hot key one row goes on from each task
+        newest = first_per_key(rows, keys, [F.col(c).desc_nulls_last() for c in order])
+        kept.merge(batch_id, newest, lambda base, new: upsert_latest(base, new, keys, order))
+
+    each_batch(updates, merge, f"{folder}/checkpoint")
+    return kept.read()
+
+
+def running_windows(spark: SparkSession, windows: DataFrame, folder: str, keys: Sequence[str], buckets: int = 64) -> DataFrame:
+    """A windowed aggregate of a stream as a table that also has the windows that are still open.
+
+    Each micro-batch brings the groups that it changed, which replace what the table has of them. The watermark still bounds the state:
+    a window that it has closed changes no more. Returns the table.
     """
+    schema = StructType([*windows.schema.fields, StructField("_batch", LongType())])
+    kept = KeyedTable(spark, f"{folder}/windows", keys, schema, buckets)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        base = batch_table(spark, f"{folder}/versions", batch_id, schema)
-        latest = upsert_latest(base, batch.select(*base.columns), keys, order)
-        latest.write.mode("overwrite").parquet(f"{folder}/versions/{batch_id}")
+        kept.merge(batch_id, batch.withColumn("_batch", F.lit(batch_id).cast("long")), lambda base, new: upsert_latest(base, new, keys, ["_batch"]))
 
-    query = each_batch(updates, merge, f"{folder}/checkpoint")
-    return batch_table(spark, f"{folder}/versions", query.lastProgress["batchId"] + 1, schema)
+    each_batch(windows, merge, f"{folder}/checkpoint", mode="update")
+    return kept.read().drop("_batch")
 
 
 def fenced_completions(completions: DataFrame, leases: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -1,20 +1,27 @@
-"""Keyed state on streams: job completion and lease expiry.
+"""Keyed state on streams: job completion, lease expiry, politeness and discovery.
 
-Each processor keeps a few numbers per key and reads its rows one after the other, so a busy key costs time on one task
-but never its memory.
+Each processor keeps a few numbers per key, or what one search has found, and reads its rows one after the other or, for politeness, as arrays.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators.jobs import MAX_ATTEMPTS
+from ..operators.search import PAGE_SIZE, REPEATED_PAGE, search_limits
+
+
+# a job whose items have been quiet for a week is forgotten
+JOB_SECONDS = 7 * 24 * 3600
 
 
 def _struct(**fields) -> StructType:
@@ -25,42 +32,61 @@ COMPLETED = _struct(job_id=LongType(), completed=LongType(), succeeded=LongType(
 
 
 class _JobCompletion(StatefulProcessor):
-    """State: the counts of a job, and the positions that have ended until all have."""
+    """State: the counts of a job, and the positions that have ended until all have. A timer ends both when the job was quiet for long enough."""
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", _struct(succeeded=LongType(), failed=LongType(), done=LongType()))
+        self.handle = handle
+        self.counts = handle.getValueState("counts", _struct(succeeded=LongType(), failed=LongType(), done=LongType(), ends_ms=LongType()))
         self.ended = handle.getMapState("ended", _struct(position=LongType()), _struct(one=LongType()))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        succeeded, failed, done = self.counts.get() if self.counts.exists() else (0, 0, 0)
-        total = None
+        succeeded, failed, done, ends = self.counts.get() if self.counts.exists() else (0, 0, 0, 0)
+        before, total = ends, None
         for row in rows:
             total = row.total
+            if self.keep:
+                ends = max(ends, int(row.at.timestamp() * 1000) + self.keep)
             if done or self.ended.containsKey((row.position,)):
                 continue  # delivered before
             self.ended.updateValue((row.position,), (1,))
             succeeded += row.status == "success"
             failed += row.status == "failed"
         finished = not done and total is not None and succeeded + failed >= total
-        self.counts.update((succeeded, failed, int(bool(done) or finished)))
+        self.counts.update((succeeded, failed, int(bool(done) or finished), ends))
+        if ends != before:
+            if before:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ends)
         if finished:
             self.ended.clear()
             yield Row(job_id=key[0], completed=succeeded + failed, succeeded=succeeded, failed=failed)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.counts.clear()
+        self.ended.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def completed_jobs(outcomes: DataFrame) -> DataFrame:
+def completed_jobs(outcomes: DataFrame, time: str | None = None, keep_seconds: int = JOB_SECONDS, late: str = "10 minutes") -> DataFrame:
     """Emit a job once, when as many of its items have ended as it has (columns job_id, position, status, total).
 
     Items that are queued again or still running do not count. An item that is delivered again does not count again; its
-    first outcome stays. A job's positions are kept only until it completes.
+    first outcome stays. A job's positions are kept only until it completes. With the event time of an outcome in the column ``time``, what is known of a job is
+    forgotten once the watermark (``late`` behind) is ``keep_seconds`` past its last outcome: the state holds the jobs of that time and not all there
+    ever were, and the result is exact as long as outcomes of a job, redelivered ones too, follow each other within it. Without ``time`` everything is kept.
     """
-    ended = outcomes.filter("status IN ('success', 'failed')").select(
-        "job_id", F.col("position").cast("long").alias("position"), "status", "total"
-    )
-    return ended.groupBy("job_id").transformWithState(_JobCompletion(), COMPLETED, "Append", "None")
+    ended = outcomes.filter("status IN ('success', 'failed')")
+    kept = ["job_id", F.col("position").cast("long").alias("position"), "status", "total"]
+    if time is None:
+        return ended.select(*kept).groupBy("job_id").transformWithState(_JobCompletion(None), COMPLETED, "Append", "None")
+    marked = ended.select(*kept, F.col(time).alias("at")).withWatermark("at", late)
+    return marked.groupBy("job_id").transformWithState(_JobCompletion(keep_seconds * 1000), COMPLETED, "Append", "EventTime")
 
 
 LEASE_EVENT = _struct(id=LongType(), attempts=IntegerType(), status=StringType(), expired_at=TimestampType())
@@ -117,3 +143,141 @@ def expired_on_stream(events: DataFrame, late: str = "1 minute", max_attempts: i
     """
     marked = events.withWatermark("event_time", late)
     return marked.groupBy("id").transformWithState(_LeaseExpiry(max_attempts), LEASE_EVENT, "Append", "EventTime")
+
+
+class _Politeness(StatefulProcessor):
+    """State: when the domain is free again."""
+
+    def __init__(self, arrival: str, tie: Sequence[str], delay: str, columns: Sequence[str]) -> None:
+        self.order, self.arrival, self.delay, self.columns = [arrival, *tie], arrival, delay, list(columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.free = handle.getValueState("free", _struct(next_allowed=LongType()))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        arrival, delay = (batch[c].to_numpy(np.int64) for c in (self.arrival, self.delay))
+        busy = np.cumsum(delay) - delay
+        start = np.maximum.accumulate(arrival - busy)
+        if self.free.exists():
+            start = np.maximum(start, self.free.get()[0])
+        start = start + busy
+        # a request starts no earlier than the one before ends, so the last one ends last
+        self.free.update((int(start[-1] + delay[-1]),))
+        yield batch[self.columns].assign(start_at=start, next_allowed=start + delay)
+
+    def close(self) -> None:
+        pass
+
+
+def scheduled_on_stream(requests: DataFrame, domain: str, arrival: str, tie: Sequence[str], delay: str) -> DataFrame:
+    """Politeness on a live URL stream: adds ``start_at`` and ``next_allowed``, microseconds as in the batch twin.
+
+    The rows of a micro-batch are taken in order of (arrival, tie), and each continues where its domain's last one ended. The state is one number per domain. A domain's rows of one
+    micro-batch meet in one task, as one running sum and maximum; ``maxFilesPerTrigger`` bounds them.
+    """
+    added = [StructField(c, LongType()) for c in ("start_at", "next_allowed")]
+    schema = StructType([*requests.schema.fields, *added])
+    return requests.groupBy(domain).transformWithStateInPandas(_Politeness(arrival, tie, delay, requests.columns), schema, "Append", "None")
+
+
+ITEMS = "search_id string, command_id string, job_id string, position int, url string"
+RUN_STATE = "month int, offset int, pages int, skipped int, requests_attempted int, status string, last_command_id string, answered boolean"
+
+
+class _Discovery(StatefulProcessor):
+    """State of one search: its place and counters, the URLs that wait, the URLs it has seen, the prints of the month's pages, its jobs and warnings."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", RUN_STATE)
+        self.limits = handle.getValueState("limits", "windows array<string>, max_articles int, max_pages int")
+        self.pending, self.prints, self.jobs, self.warnings = (
+            handle.getListState(name, "value string") for name in ("pending", "fingerprints", "job_ids", "warnings")
+        )
+        self.seen = handle.getMapState("seen", "url string", "one int")
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        row = initialState
+        if row.seen_url is not None:
+            self.seen.updateValue((row.seen_url,), (1,))
+        if row.status is not None:
+            self.run.update((row.month, row.offset, row.pages, row.skipped, row.requests_attempted, row.status, row.last_command_id, bool(row.answered)))
+            self.limits.update((list(row.windows), row.max_articles, row.max_pages))
+            for state, values in ((self.pending, row.pending), (self.prints, row.fingerprints), (self.jobs, row.job_ids), (self.warnings, row.warnings)):
+                if values:
+                    state.put([(v,) for v in values])
+
+    @staticmethod
+    def _all(state) -> list[str]:
+        return [r[0] for r in state.get()] if state.exists() else []
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        commands = {row.command_id: row.book for row in rows}
+        if self.run.exists():
+            for command in sorted(commands):
+                yield from self._carry_out(key[0], command, {(p["month"], p["offset"]): p for p in commands[command] or ()})
+
+    def _carry_out(self, search: str, command: str, book: dict) -> Iterator[Row]:
+        month, offset, pages, skipped, asked, status, last, answered = self.run.get()
+        windows, max_articles, max_pages = self.limits.get()
+        if status in ("discovery_complete", "failed") or (answered and last == command):
+            return
+        waiting, prints = self._all(self.pending), self._all(self.prints)
+        kept: dict[str, None] = {}
+        unused: dict[str, None] = {}
+        repeats, read, hits = [], 0, 0
+        while month < len(windows) and read < max_pages and len(waiting) + len(kept) < max_articles:
+            page = book.get((month, offset))
+            if page is None or page["error_code"] is not None:
+                return  # not captured, or failed: the search stays where it was
+            found = dict.fromkeys(u for u in page["urls"] if u not in kept and u not in unused and not self.seen.containsKey((u,)))
+            mark = hashlib.sha256("\n".join(found).encode()).hexdigest()
+            again = mark in prints
+            (unused if again else kept).update(found)
+            if again:
+                repeats.append(f"{windows[month]}: {REPEATED_PAGE}")
+            read, hits = read + 1, hits + page["hits"]
+            if again or not page["has_next"]:
+                month, offset, prints = month + 1, 0, []
+            else:
+                offset, prints = offset + PAGE_SIZE, [*prints, mark]
+        urls = [*waiting, *kept]
+        batch, rest = urls[:max_articles], urls[max_articles:]
+        complete = month >= len(windows) and not rest
+        self.run.update((
+            month, offset, pages + read, skipped + hits - len(kept) - len(unused), asked + read,
+            "discovery_complete" if complete else "ready", command, True,
+        ))
+        for url in (*kept, *unused):
+            self.seen.updateValue((url,), (1,))
+        for state, values in ((self.pending, rest), (self.prints, prints)):
+            state.clear()
+            if values:
+                state.put([(v,) for v in values])
+        if repeats:
+            self.warnings.appendList([(r,) for r in repeats])
+        if batch:
+            job = hashlib.md5(f"{search}|{command}".encode()).hexdigest()
+            self.jobs.appendValue((job,))
+            for position, url in enumerate(batch):
+                yield Row(search_id=search, command_id=command, job_id=job, position=position, url=url)
+
+    def close(self) -> None:
+        pass
+
+
+def discovered_on_stream(commands: DataFrame, runs: DataFrame, books: DataFrame, seen: DataFrame) -> DataFrame:
+    """Resumable discovery on a stream of commands (search_id, command_id): the URLs of each job that a command emits.
+
+    ``runs`` and ``seen`` are the state to start from; afterwards the state lives in the stream's state store, one search per key, and no
+    table is rewritten. ``books`` (see :func:`pressroom.operators.search.search_books`) holds the captured pages per search. Commands of one search in one micro-batch are carried out in order of
+    command_id. A command that comes again right after it was answered, or after its search has ended, emits nothing.
+    """
+    known = seen.select("search_id", F.col("url").alias("seen_url")).filter("seen_url IS NOT NULL")
+    start = search_limits(runs).withColumn("answered", F.col("last_result").isNotNull()).select(
+        "search_id", F.lit(None).cast("string").alias("seen_url"), "month", "offset", "pages", "skipped", "requests_attempted", "status", "last_command_id",
+        "answered", "windows", "max_articles", "max_pages", "pending", "fingerprints", "job_ids", "warnings",
+    )
+    initial = start.unionByName(known, allowMissingColumns=True).groupBy("search_id")
+    asked = commands.select("search_id", "command_id").join(books, "search_id", "left")
+    return asked.groupBy("search_id").transformWithState(_Discovery(), StructType.fromDDL(ITEMS), "Append", "None", initial)

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pressroom.operators.fetch import schedule_requests
-from pressroom.streaming.batches import advance_stream, schedule_stream
-from pressroom.streaming.common import read_stream, run_available, with_rocksdb, write_available
-from pressroom.streaming.counters import fenced_completions, item_outcomes, unique_urls, upsert_stream, worker_beats
+from pressroom.operators.search import advance, next_runs
+from pressroom.operators.skew import durable
+from pressroom.streaming.batches import advance_stream, discovery_state, schedule_stream
+from pressroom.streaming.common import KeyedTable, read_stream, run_available, with_rocksdb, write_available
+from pressroom.streaming.counters import fenced_completions, item_outcomes, running_windows, unique_urls, upsert_stream, worker_beats
 from pressroom.streaming.state import completed_jobs, expired_on_stream
 from test_search import HITS, PAGES, one_run
 
@@ -122,6 +124,102 @@ def test_schedule_continues_over_batches(spark, files, tmp_path):
     assert {tuple(r) for r in out.select(twin.columns).collect()} == {tuple(r) for r in twin.collect()}
 
 
+def test_schedule_goes_on_after_a_restart(spark, files, tmp_path):
+    add, stream = files
+    schema = "id bigint, domain string, arrival bigint, delay bigint"
+    work = str(tmp_path / "work")
+    rows = [(i, "a" if i % 3 else "b", 10 * (i // 4), 25) for i in range(40)]
+    add(rows[:20], schema)
+    schedule_stream(spark, stream(), work, "domain", "arrival", ["id"], "delay")
+    add(rows[20:], schema)
+    out = schedule_stream(spark, stream(), work, "domain", "arrival", ["id"], "delay")
+    twin = schedule_requests(spark.createDataFrame(rows, schema), "domain", "arrival", ["id"], "delay")
+    assert {tuple(r) for r in out.select(twin.columns).collect()} == {tuple(r) for r in twin.collect()}
+    # one number per domain is all that is carried
+    state = spark.read.format("statestore").option("stateVarName", "free").load(f"{work}/checkpoint")
+    limits = twin.groupBy("domain").agg(F.max("next_allowed").alias("n"))
+    assert {tuple(r) for r in state.selectExpr("key.domain", "value.next_allowed").collect()} == {tuple(r) for r in limits.collect()}
+
+
+def state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def run_batches(stream, tmp_path, name):
+    """The state's rows after each micro-batch."""
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-c"))
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return state_rows(query)
+
+
+def test_completed_jobs_are_forgotten(spark, files, tmp_path):
+    """The state shrinks once jobs have been quiet for long enough; within that time the result is exact."""
+    with_rocksdb(spark)
+    add, stream = files
+    schema = "job_id bigint, position int, status string, total bigint, at timestamp"
+    add([(j, p, "success", 2, at(p)) for j in range(30) for p in range(2)] + [(50, 0, "success", 2, at(0))], schema)
+    add([(j, 0, "success", 2, at(30)) for j in range(30)] + [(50, 1, "failed", 2, at(40))], schema)  # delivered again; a job goes on
+    add([(100, 0, "failed", 1, at(90_000))], schema)
+    rows = run_batches(completed_jobs(stream(), time="at", keep_seconds=60, late="1 second"), tmp_path, "jobs")
+    assert max(rows) >= 31 and rows[-1] < 10
+    got = spark.read.parquet(str(tmp_path / "jobs")).collect()
+    assert sorted(tuple(r) for r in got) == [(j, 2, 2, 0) for j in range(30)] + [(50, 2, 1, 1), (100, 1, 0, 1)]
+
+
+def test_unique_urls_are_forgotten(spark, files, tmp_path):
+    add, stream = files
+    schema = "url string, seen timestamp"
+    add([(f"u{i}", at(0)) for i in range(50)], schema)
+    add([("late", at(1000))], schema)
+    add([("late", at(1002))], schema)
+    add([("u1", at(1003))], schema)
+    rows = run_batches(unique_urls(stream(), time="seen", within="1 minute"), tmp_path, "urls")
+    assert max(rows) >= 50 and rows[-1] <= 3
+    got = sorted(r.url for r in spark.read.parquet(str(tmp_path / "urls")).collect())
+    assert got == sorted([f"u{i}" for i in range(50)] + ["late", "u1"])  # u1 was forgotten and is new again
+
+
+def test_open_windows_are_there_too(spark, files, tmp_path):
+    add, stream = files
+    schema = "worker_id string, heartbeat_at timestamp"
+    add([("w1", at(0)), ("w2", at(40))], schema)
+    add([("w1", at(20)), ("w1", at(70))], schema)
+    work = str(tmp_path / "work")
+    running_windows(spark, worker_beats(stream(), late="1 minute"), work, ["window", "worker_id"])
+    add([("w1", at(80))], schema)
+    rows = running_windows(spark, worker_beats(stream(), late="1 minute"), work, ["window", "worker_id"]).collect()
+    assert sorted((r.worker_id, r.last_beat) for r in rows) == [("w1", at(20)), ("w1", at(80)), ("w2", at(40))]
+
+
+def test_an_upsert_reads_only_the_buckets_it_touches(spark, tmp_path):
+    schema = "k bigint, v bigint"
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], schema, buckets=16)
+    read = []
+
+    def files_read(df):
+        execution = df._jdf.queryExecution()
+        execution.toRdd().count()
+        scans = execution.executedPlan().collectLeaves()
+        metrics = [scans.apply(i).metrics() for i in range(scans.size())]
+        return sum(m.apply("numFiles").value() for m in metrics if m.contains("numFiles"))
+
+    def fold(base, new):
+        read.append(files_read(base))
+        return new.unionByName(base.join(new, "k", "left_anti"))
+
+    def rows(pairs):
+        return spark.createDataFrame(pairs, schema)
+
+    table.merge(0, rows([(k, 0) for k in range(200)]), fold)
+    files = files_read(table.read())
+    table.merge(1, rows([(7, 1)]), fold)
+    table.merge(1, rows([(7, 1)]), fold)  # again after its mark: put in place again, nothing merged
+    table.merge(2, rows([(7, 2), (900, 2)]), fold)
+    assert files == 16 and read == [0, 1, read[2]] and 1 <= read[2] <= 2
+    assert {r.k: r.v for r in table.read().collect()} == {k: 0 for k in range(200)} | {7: 2, 900: 2}
+
+
 def test_upsert_keeps_the_latest(spark, files, tmp_path):
     add, stream = files
     schema = "worker_id string, heartbeat_at timestamp"
@@ -148,6 +246,20 @@ def test_discovery_resumes_and_answers_twice_alike(spark, files, tmp_path):
     rows = sorted((r.command_id, r.position, r.url) for r in out.collect())
     assert rows == [("c1", 0, "u0"), ("c1", 1, "u1"), ("c2", 0, "u2"), ("c2", 1, "u9"), ("c3", 0, "u10")]
     assert out.select("job_id").distinct().count() == 3
+    # the state that the stream carries is that of the batch operator, command by command
+    state, known = runs, seen
+    for command in ("c1", "c2", "c3", "c4"):
+        moved = durable(advance(state.withColumn("command_id", F.lit(command)), pages, hits, known))
+        new = moved.filter("error_code IS NULL AND NOT replayed").select("search_id", F.explode("new_seen").alias("url"))
+        state, known = durable(next_runs(state, moved)), durable(known.unionByName(new))
+    work = str(tmp_path / "work")
+    twin = state.first()
+    run = discovery_state(spark, work, "run").first()
+    for name in ("month", "offset", "pages", "skipped", "requests_attempted", "status"):
+        assert run[name] == twin[name], name
+    assert sorted(r.url for r in discovery_state(spark, work, "seen").collect()) == sorted(r.url for r in known.collect())
+    for name in ("job_ids", "warnings", "pending", "fingerprints"):
+        assert [r.value for r in discovery_state(spark, work, name).collect()] == twin[name], name
 
 
 def test_every_command_of_a_micro_batch_is_carried_out(spark, small, tmp_path):
