@@ -75,19 +75,11 @@ def classify_fetch(
     )
 
 
-def resolve_redirects(
-    requests: DataFrame,
-    fetch_log: DataFrame,
-    max_redirects: int = MAX_REDIRECTS,
-    rules: DataFrame | None = None,
-    **policy,
-) -> DataFrame:
-    """Follow every request (column ``url``) through the fetch log; of repeated captures of a ``url`` the latest counts.
+def _nodes(requests: DataFrame, fetch_log: DataFrame, rules: DataFrame | None, policy: dict) -> DataFrame:
+    """What happens at each distinct URL that is asked for or that some response of the log leads to, materialised once.
 
-    One join per hop, ``max_redirects`` + 1 in all. Each hop is validated, and tested against robots ``rules`` (see
-    :func:`host_rules`) when they are given, before its response is looked at: an unsafe or denied target ends the chain
-    unread. Only URLs travel through the joins and the bodies stay in the log. Each hop is materialised, since its rows are both a result and the start of the next
-    hop; the loop ends with the last chain. Adds ``final_url``, ``hops``, ``robots_status`` and the outcome columns.
+    (_current, _at, host, robots_status, crawl_delay, _asked, _state, _next): ``_state`` is the outcome there, ``_next`` where a redirect goes on, ``_asked`` whether a request
+    is made at all. Nothing here depends on how a chain came to the URL.
     """
     captured = F.col("fetched_at") if "fetched_at" in fetch_log.columns else F.lit(None).cast("timestamp")
     log = fetch_log.select(
@@ -97,50 +89,93 @@ def resolve_redirects(
         classify_fetch("status", "location", "content_type", "content_length", F.octet_length("body")).alias("_response"),
     )
     latest = [F.col("_captured").desc_nulls_last(), F.struct("_location", "_response")]
-    log = first_per_key(log, ["_at"], latest).drop("_captured")
-    live = requests.select("*", F.col("url").alias("_current"))
-    done = []
-    following = resolve_url("_at", "_location")
-    keep = requests.columns
+    redirect = F.col("_response.outcome") == "redirect"
+    log = first_per_key(log, ["_at"], latest).select(
+        "_at", "_response", F.when(redirect & url_parts("_location").isNotNull(), resolve_url("_at", "_location")).alias("_next")
+    )
+    starts = requests.select(F.col("url").alias("_current"))
+    urls = starts.unionByName(log.filter("_next IS NOT NULL").select(F.col("_next").alias("_current"))).distinct()
+    checked = validate_urls(urls, "_current", **policy).withColumnRenamed("normalized_url", "_at")
+    if rules is None:
+        no_rule = {"robots_status": F.lit("unknown"), "crawl_delay": F.lit(0.0)}
+        no_rule |= {name: F.lit(None).cast("string") for name in ("error_code", "error_detail")}
+        checked = checked.withColumns(no_rule)
+    else:
+        checked = apply_rules(checked, rules, url="_at")
     found = F.col("_response")
-    for hop in range(max_redirects + 1):
-        checked = validate_urls(live, "_current", **policy).withColumnRenamed("normalized_url", "_at")
-        if rules is None:
-            no_rule = {"robots_status": "unknown", "error_code": None, "error_detail": None}
-            checked = checked.withColumns({name: F.lit(value).cast("string") for name, value in no_rule.items()})
-        else:
-            checked = apply_rules(checked, rules, url="_at")
-        joined = checked.join(log, "_at", "left")
-        state = (
-            F.when(F.col("reject_reason").isNotNull(), _outcome("error", "unsafe_url", F.col("reject_reason")))
-            .when(F.col("error_code").isNotNull(), _outcome("error", F.col("error_code"), F.col("error_detail")))
-            .when(found.isNull(), _outcome("error", "fetch_failed", "page could not be fetched", True))
-            .when(
-                (found["outcome"] == "redirect") & F.lit(hop == max_redirects),
-                _outcome("error", "fetch_failed", "too many redirects"),
-            )
-            .when(
-                (found["outcome"] == "redirect") & url_parts("_location").isNull(),
-                _outcome("error", "unsafe_url", NO_TARGET),
-            )
-            .otherwise(found)
-        )
-        joined = durable(joined.select(*keep, "_current", "_at", "_location", "robots_status", state.alias("_state")))
-        going = F.col("_state.outcome") == "redirect"
-        done.append(
-            joined.filter(~going).select(
-                *keep, F.coalesce("_at", "_current").alias("final_url"), F.lit(hop).alias("hops"), "robots_status", "_state.*"
-            )
-        )
-        live = joined.filter(going).select(*keep, following.alias("_current"))
-        if joined.filter(going).isEmpty():
-            break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    state = (
+        F.when(F.col("reject_reason").isNotNull(), _outcome("error", "unsafe_url", F.col("reject_reason")))
+        .when(F.col("error_code").isNotNull(), _outcome("error", F.col("error_code"), F.col("error_detail")))
+        .when(found.isNull(), _outcome("error", "fetch_failed", "page could not be fetched", True))
+        .otherwise(found)
+    )
+    asked = F.col("reject_reason").isNull() & F.col("error_code").isNull()
+    joined = checked.join(log, "_at", "left")
+    return durable(joined.select("_current", "_at", "host", "robots_status", "crawl_delay", asked.alias("_asked"), state.alias("_state"), "_next"))
+
+
+def _walks(requests: DataFrame, nodes: DataFrame, max_redirects: int) -> list[DataFrame]:
+    """Per hop the nodes that chains from the distinct requested URLs (``_start``) are at. A hop starts from the redirects of the one before only."""
+    at = nodes.join(requests.select(F.col("url").alias("_start")).distinct(), F.col("_current").eqNullSafe(F.col("_start")))
+    out = [at]
+    for _ in range(max_redirects):
+        going = at.filter("_state.outcome = 'redirect' AND _next IS NOT NULL").select("_start", F.col("_next").alias("_current"))
+        at = going.join(nodes, "_current").select(*nodes.columns, "_start")
+        out.append(at)
     return out
 
 
+def resolve_redirects(
+    requests: DataFrame,
+    fetch_log: DataFrame,
+    max_redirects: int = MAX_REDIRECTS,
+    rules: DataFrame | None = None,
+    **policy,
+) -> DataFrame:
+    """Follow every request (column ``url``) through the fetch log; of repeated captures of a ``url`` the latest counts.
+
+    Each distinct URL is validated, and tested against robots ``rules`` (see :func:`host_rules`) when they are given, before its response is
+    looked at: an unsafe or denied target ends the chain unread. That is done once per URL, whatever the number of chains through it, and materialised; then the distinct
+    chains walk from redirect to redirect, one join per hop over those still going, and the requests get their chain's end by one join. Bodies stay in
+    the log. Adds ``final_url``, ``hops``, ``robots_status`` and the outcome columns.
+    """
+    nodes = _nodes(requests, fetch_log, rules, policy)
+    redirect = F.col("_state.outcome") == "redirect"
+    ends = None
+    for hop, at in enumerate(_walks(requests, nodes, max_redirects)):
+        last = hop == max_redirects
+        state = F.when(
+            redirect, _outcome("error", "fetch_failed", "too many redirects") if last else _outcome("error", "unsafe_url", NO_TARGET)
+        ).otherwise(F.col("_state"))
+        here = at.filter(F.lit(last) | ~redirect | F.col("_next").isNull()).select(
+            "_start", F.coalesce("_at", "_current").alias("final_url"), F.lit(hop).alias("hops"), "robots_status", state.alias("_end")
+        )
+        ends = here if ends is None else ends.unionByName(here)
+    joined = requests.join(ends, requests["url"].eqNullSafe(ends["_start"]))
+    return joined.select(*[requests[c] for c in requests.columns], "final_url", "hops", "robots_status", "_end.*")
+
+
+def requested_hops(
+    requests: DataFrame,
+    fetch_log: DataFrame,
+    max_redirects: int = MAX_REDIRECTS,
+    rules: DataFrame | None = None,
+    **policy,
+) -> DataFrame:
+    """A row per URL that is asked for on the way of each request: its columns, ``hop`` from 0, ``hop_url``, ``domain`` and ``crawl_delay``.
+
+    Unsafe and denied targets are not asked for. This is what a politeness schedule has to make room for: a redirect's target is a request to its
+    own domain, see :func:`with_robots_requests`.
+    """
+    nodes = _nodes(requests, fetch_log, rules, policy)
+    hops = None
+    for hop, at in enumerate(_walks(requests, nodes, max_redirects)):
+        here = at.filter("_asked").select("_start", F.lit(hop).alias("hop"), F.col("_at").alias("hop_url"), F.col("host").alias("domain"), "crawl_delay")
+        hops = here if hops is None else hops.unionByName(here)
+    joined = requests.join(hops, requests["url"].eqNullSafe(hops["_start"]))
+    return joined.select(*[requests[c] for c in requests.columns], "hop", "hop_url", "domain", "crawl_delay")
+
+
 def robots_status(
     status: Column | str, body_bytes: Column | str, respect: bool = True, fail_closed: bool = True
 ) -> Column:

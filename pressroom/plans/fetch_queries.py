@@ -9,6 +9,7 @@ from ..operators.fetch import (
     classify_fetch,
     next_allowed,
     parse_robots,
+    requested_hops,
     resolve_redirects,
     robots_gate,
     robots_responses,
@@ -268,3 +269,32 @@ def politeness_with_robots(spark, folder):
     both = with_robots_requests(events, F.lit(1_000_000).cast("bigint"))
     planned = schedule_requests(both, "user_id", "arrival", ["event_id", "step"], "delay")
     return planned.select("event_id", "step", "start_at")
+
+
+_HOPS = """WITH RECURSIVE log AS (SELECT p_partkey AS k, p_size % 4 = 0 AS goes FROM part),
+    walk AS (SELECT k AS start, k AS here, 0 AS hop FROM log UNION ALL SELECT start, here + 1, hop + 1 FROM walk JOIN log ON (k = here) WHERE goes AND hop < 3)
+    SELECT start AS p_partkey, hop, step, 'd' || here % 7 || '.example' AS user_id, start % 100 * 1000000 AS arrival, 1000000 AS delay
+    FROM walk, (SELECT unnest([0, 1]) AS step)"""
+
+
+@query(_schedule_sql(_HOPS, "arrival, p_partkey, hop, step") + " SELECT p_partkey, hop, step, user_id AS domain, (busy + m)::BIGINT AS start_at FROM m")
+def politeness_of_hops(spark, folder):
+    """Every hop of a redirect chain asks its own domain, for robots.txt and for the page: parts as URLs on seven domains, a quarter of which
+    redirect to the next part, and size 1 to an unsafe address, which is never asked."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    parts = table(spark, folder, "part").select("p_partkey", "p_size")
+    place = lambda k: F.concat(F.lit("https://d"), k % 7, F.lit(".example/"), k)
+    location = F.when(size % 4 == 0, place(key + 1)).when(size == 1, F.concat(F.lit("https://127.0.0.1/"), key))
+    log = parts.select(
+        place(key).alias("url"),
+        F.when(location.isNotNull(), 302).otherwise(200).alias("status"),
+        location.alias("location"),
+        F.lit("text/html").alias("content_type"),
+        F.lit(None).cast("bigint").alias("content_length"),
+        F.lit("<p>x</p>").alias("body"),
+    )
+    requests = parts.select("p_partkey", place(key).alias("url"), (key % 100 * 1_000_000).alias("arrival"))
+    hops = requested_hops(requests, log, idna=False)
+    both = with_robots_requests(hops, F.lit(1_000_000).cast("bigint"))
+    planned = schedule_requests(both, "domain", "arrival", ["p_partkey", "hop", "step"], "delay")
+    return planned.select("p_partkey", "hop", "step", "domain", "start_at")

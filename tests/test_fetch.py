@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from pressroom.operators.fetch import host_rules, next_allowed, path_allowed, resolve_redirects, robots_gate, robots_responses, rule_matches, rule_pieces, schedule_requests
+from pressroom.operators.fetch import host_rules, next_allowed, path_allowed, requested_hops, resolve_redirects, robots_gate, robots_responses, rule_matches, rule_pieces, schedule_requests
 from pressroom.schemas import FETCH_LOG, ROBOTS
 
 
@@ -182,3 +182,22 @@ def test_schedule_against_a_loop(spark):
             plan = schedule_requests(df, "domain", "arrival", ["i"], "delay", limits=table, chunks=chunks)
             assert {r.i: (r.start_at, r.next_allowed) for r in plan.collect()} == expected
         assert {r.domain: r.next_allowed for r in next_allowed(plan, "domain").collect()} == {k: v for k, v in free.items() if k in {r[1] for r in rows}}
+
+
+def test_hops_ask_their_own_domains(spark):
+    fetched = [
+        ("https://a.example/1", 302, "https://b.example/2", None, None, None), ("https://b.example/2", 301, "https://127.0.0.1/", None, None, None),
+        ("https://c.example/1", 302, "https://a.example/blocked/x", None, None, None), ("https://a.example/r", 302, "/r", None, None, None),
+    ]
+    rules = host_rules(spark.createDataFrame(ROBOTS_ROWS, ROBOTS), "newsbot")
+    urls = [(i, u) for i, u in enumerate(["https://a.example/1", "https://c.example/1", "https://c.example/1", "http://a.example/", None, "https://a.example/r"])]
+    requests = spark.createDataFrame(urls, "i int, url string")
+    hops = requested_hops(requests, log(spark, fetched)).collect()
+    assert sorted((r.i, r.hop, r.domain) for r in hops) == [
+        (0, 0, "a.example"), (0, 1, "b.example"), (1, 0, "c.example"), (1, 1, "a.example"), (2, 0, "c.example"), (2, 1, "a.example"),
+        *[(5, n, "a.example") for n in range(4)],
+    ]
+    ruled_hops = requested_hops(requests, log(spark, fetched), rules=rules).collect()
+    assert {(r.i, r.hop) for r in ruled_hops if r.i in (1, 2)} == {(1, 0), (2, 0)}  # the target is denied, so it is not asked
+    ends = resolve_redirects(requests, log(spark, fetched)).orderBy("i").collect()
+    assert [(r.i, r.hops, r.error_code) for r in ends] == [(0, 2, "unsafe_url"), (1, 1, "fetch_failed"), (2, 1, "fetch_failed"), (3, 0, "unsafe_url"), (4, 0, "unsafe_url"), (5, 3, "fetch_failed")]
