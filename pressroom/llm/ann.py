@@ -2,8 +2,8 @@
 
 The tree is fitted on a bounded sample; every row goes down to its leaf. A query opens nodes from a priority queue, best centre first,
 until it has visited a number of leaves, which is widened until queries of a calibration sample find the asked share of their
-true neighbours. Small leaves side by side share a block, which a query that visits one of them sees whole; a leaf that holds a
-third of all rows is cut into many. So a block has a bounded size, and a query sends on ``k`` rows per block and not per leaf.
+true neighbours. A query is compared with the rows of the leaves that it opened and no others. Small leaves side by side travel in one block, a leaf that holds a
+third of all rows is cut into many, so a block has a bounded size, and a query sends on ``k`` rows per block and not per leaf.
 """
 
 from __future__ import annotations
@@ -142,6 +142,26 @@ def top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.nd
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def opened_only(
+    query_ids: np.ndarray, queries: np.ndarray, opened: np.ndarray, n_opened: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`top` over the leaves that each query has opened, and no others: a leaf's rows meet the queries that opened it."""
+    query = np.repeat(np.arange(len(queries)), n_opened)
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    by_leaf, by_opened = np.argsort(leaf, kind="stable"), np.argsort(opened, kind="stable")
+    for number in np.unique(leaf):
+        r = by_leaf[np.searchsorted(leaf[by_leaf], number) : np.searchsorted(leaf[by_leaf], number, side="right")]
+        q = query[by_opened[np.searchsorted(opened[by_opened], number) : np.searchsorted(opened[by_opened], number, side="right")]]
+        if len(q):
+            a, b, score = top(query_ids[q], queries[q], ids[r], rows[r], k)
+            found.append((q[a], r[b], score))
+    a, b, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((ids[b], -score, a))
+    a, b, score = a[order], b[order], score[order]
+    near = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
+    return a[near], b[near], score[near]
+
+
 # ---- the operator
 
 
@@ -262,14 +282,22 @@ def nearest_neighbours(
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _unpacked(batch.column(2))
-            opened = [np.unique(block_of[tree.best_bins(v, visits, counts, k + 1)]) for v in q]
-            at = np.repeat(np.arange(len(opened)), [len(b) for b in opened])
-            blocks = np.concatenate([np.empty(0, np.int32), *opened]).astype(np.int32)
+            at, blocks, opened = [], [], []
+            for i, v in enumerate(q):
+                leaves = np.sort(np.array(tree.best_bins(v, visits, counts, k + 1), np.int32))
+                # leaves side by side share a block, so the blocks rise with the leaves
+                first = np.flatnonzero(np.diff(block_of[leaves], prepend=-1))
+                at += [i] * len(first)
+                blocks += block_of[leaves[first]].tolist()
+                opened += np.split(leaves, first[1:])
             for part in np.array_split(np.arange(len(at)), max(1, len(at) // 20_000)):
-                take = pa.array(at[part])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(blocks[part]), batch.column(2).take(take)], ["query_id", "block", "q"])
+                take = pa.array([at[p] for p in part], pa.int64())
+                lists = pa.array([opened[p] for p in part], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), pa.array([blocks[p] for p in part], pa.int32()), lists, batch.column(2).take(take)], ["query_id", "block", "opened", "q"]
+                )
 
-    visiting = asked.mapInArrow(traverse, "query_id long, block int, q binary")
+    visiting = asked.mapInArrow(traverse, "query_id long, block int, opened array<int>, q binary")
     leaves = spark.createDataFrame([(leaf, int(b)) for leaf, b in enumerate(block_of)], "leaf int, block int")
     rows = index.join(F.broadcast(leaves), "leaf")
     n_rows = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("row_blocks"))
@@ -277,10 +305,10 @@ def nearest_neighbours(
     blocks = F.broadcast(durable(n_rows.join(n_asked, "block")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(blocks, "block").select(
-        "block", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int").alias("rb"), every("query_blocks").alias("qb"), "vec_id", "v"
+        "block", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int").alias("rb"), every("query_blocks").alias("qb"), "vec_id", "v", "leaf"
     )
     right = visiting.join(blocks, "block").select(
-        "block", every("row_blocks").alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"), "query_id", "q"
+        "block", every("row_blocks").alias("rb"), F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"), "query_id", "q", "opened"
     )
 
     def compare(candidates: pa.Table, searching: pa.Table) -> pa.Table:
@@ -288,7 +316,11 @@ def nearest_neighbours(
         if not len(ids) or not len(q_ids):
             a, b, score = np.empty(0, int), np.empty(0, int), np.empty(0)
         else:
-            a, b, score = top(q_ids.to_numpy(), _unpacked(searching.column(4)), ids.to_numpy(), _unpacked(candidates.column(4)), k)
+            opened = searching.column(5).combine_chunks()
+            a, b, score = opened_only(
+                q_ids.to_numpy(), _unpacked(searching.column(4)), opened.flatten().to_numpy(), opened.value_lengths().to_numpy(),
+                ids.to_numpy(), _unpacked(candidates.column(4)), candidates.column(5).to_numpy(), k,
+            )
         return pa.table({"query_id": q_ids.take(pa.array(a)), "vec_id": ids.take(pa.array(b)), "score": pa.array(score, pa.float64())})
 
     key = ["block", "rb", "qb"]

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,35 @@ def test_odd_vectors_ties_and_a_hot_leaf(spark):
     assert [i for i, _ in got[1000]] == [i for i, _ in truth[1000]]
 
 
+def test_only_opened_leaves_are_compared():
+    draw = np.random.default_rng(3)
+    rows, ids, leaf = draw.normal(size=(400, 5)), draw.permutation(400), draw.integers(0, 9, 400)
+    queries, query_ids = rows[:30], ids[:30]
+    opened = [np.sort(draw.choice(12, draw.integers(0, 7), replace=False)) for _ in range(30)]
+    a, b, score = ann.opened_only(query_ids, queries, np.concatenate(opened), np.array([len(o) for o in opened]), ids, rows, leaf, 7)
+    for i in range(30):
+        use = np.flatnonzero(np.isin(leaf, opened[i]) & (ids != query_ids[i]))
+        exact = (rows[use] * queries[i]).sum(1)
+        want = use[np.lexsort((ids[use], -exact))][:7]
+        assert b[a == i].tolist() == want.tolist()
+
+
+def test_recall_where_few_leaves_are_opened(spark, monkeypatch):
+    """50,000 rows around 400 centres: recall holds while a query is compared with under a fifth of the rows."""
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(400, 16))
+    x = (centres[np.arange(50_000) % 400] + 0.15 * draw.normal(size=(50_000, 16))).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(x)}))
+    visits = []
+    monkeypatch.setattr(ann, "_calibrate", lambda *args, real=ann._calibrate: visits.append((args[1].leaves, real(*args))) or visits[-1][1])
+    got = by_query(ann.nearest_neighbours(df, F.col("vec_id") % 500 == 0, k=20))
+    leaves, opened = visits[0]
+    assert opened < leaves / 5
+    truth = brute_force(list(enumerate(x)), got, 20)
+    assert len(got) == 100
+    assert np.mean([len({i for i, _ in truth[q]} & {i for i, _ in got[q]}) / 20 for q in truth]) >= 0.9
+
+
 def test_fewer_candidates_than_asked_for(spark):
     schema = "vec_id long, embedding array<float>"
     got = by_query(ann.nearest_neighbours(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0])], schema), F.col("vec_id") % 20 == 0))
