@@ -74,6 +74,36 @@ def _expand(ip: Column) -> Column:
     return F.when(well_formed & (F.length(text) == 32), text)
 
 
+def address_hex(ip: Column | str) -> Column:
+    """Any address as the 32 hex digits of its IPv6 form, IPv4 as an IPv4-mapped one; NULL for text that is no address."""
+    v4 = F.lower(F.lpad(F.hex(ipv4_number(ip)), 8, "0"))
+    return F.coalesce(F.concat(F.lit(_MAPPED), v4), ipv6_hex(ip))
+
+
+def network_prefixes(network: Column | str) -> Column:
+    """The prefixes of 32 hex digits that make up a network in CIDR form: one, or up to 8 where its length is no multiple of four bits.
+
+    Bits beyond the length are ignored; an address alone is a network of one. NULL when malformed.
+    """
+    text = F.split(col(network), "/")
+    ip, given = F.get(text, F.lit(0)), F.get(text, F.lit(1))
+    digits = address_hex(ip)
+    v4 = is_ipv4(ip)
+    length = F.when(F.size(text) == 1, 128).otherwise(given.try_cast("int") + F.when(v4, 96).otherwise(0))
+    good = digits.isNotNull() & (F.size(text) <= 2) & length.between(F.when(v4, 96).otherwise(0), 128)
+
+    def expand(n: Column) -> Column:
+        known, rest = F.floor(n["length"] / 4).cast("int"), n["length"] % 4
+        size = F.element_at(F.array(*[F.lit(16 >> r) for r in range(4)]), rest + 1)
+        digit = F.conv(F.substring(n["digits"], known + 1, F.lit(1)), 16, 10).cast("int")
+        low = digit - digit % size
+        head = F.substring(n["digits"], F.lit(1), known)
+        ends = F.transform(F.sequence(low, low + size - 1), lambda d: F.concat(head, F.lower(F.hex(d))))
+        return F.when(rest == 0, F.array(head)).otherwise(ends)
+
+    return F.when(good, let(F.struct(digits.alias("digits"), length.cast("int").alias("length")), expand))
+
+
 def _special(version: int) -> str:
     """SQL test of ``n`` (a number for IPv4, 32 hex digits for IPv6) against the special networks."""
     tests = []

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_is_public, ipv4_is_public
+from ..functions.net import address_hex, ip_is_public, ipv4_is_public, network_prefixes
 from ..functions.text import trim_space
 from ..functions.urls import (
     ascii_host,
@@ -57,6 +57,30 @@ def host_verdicts(dns: DataFrame) -> DataFrame:
     return dns.groupBy("host").agg(F.min(ip_is_public("ip")).alias("all_public"))
 
 
+def in_networks(addresses: DataFrame, networks: DataFrame, ip: str = "ip", network: str = "network") -> DataFrame:
+    """Distinct (ip, network): the networks of a table, CIDR text of either version, that each address lies in.
+
+    Every network is a few prefixes of hex digits, so that lying in it is an equality of prefixes: an address is looked up once per prefix length that
+    occurs, 33 at most, and no range is compared with every address. Malformed text on either side matches nothing.
+    """
+    ranges = networks.select(F.col(network).alias("network")).distinct()
+    ranges = ranges.select("network", F.explode(network_prefixes("network")).alias("_prefix"))
+    lengths = [row[0] for row in ranges.select(F.length("_prefix")).distinct().collect()]  # of 0 to 32
+    if not lengths:
+        return addresses.select(F.col(ip).alias("ip"), F.lit(None).cast("string").alias("network")).limit(0)
+    hosts = addresses.select(F.col(ip).alias("ip")).distinct().withColumn("_digits", address_hex("ip"))
+    looked_up = hosts.select("ip", F.explode(F.array(*[F.substring("_digits", 1, n) for n in lengths])).alias("_prefix"))
+    return looked_up.join(ranges, "_prefix").select("ip", "network").distinct()
+
+
+def host_verdicts_by_table(dns: DataFrame, networks: DataFrame) -> DataFrame:
+    """:func:`host_verdicts` with the networks that are not public given as a table (column ``network``): they are data and may be any number."""
+    inside = in_networks(dns, networks).select("ip").distinct().withColumn("_inside", F.lit(True))
+    joined = dns.join(inside, "ip", "left")
+    fine = address_hex("ip").isNotNull() & F.col("_inside").isNull()
+    return joined.groupBy("host").agg(F.min(fine).alias("all_public"))
+
+
 def validate_urls(
     df: DataFrame,
     url: str = "url",
@@ -139,6 +163,18 @@ def unseen(df: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(seen.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def write_seen(seen: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> None:
+    """The seen set as a table bucketed and sorted by its keys: against it, :func:`unseen_in_table` moves the new rows only."""
+    writer = seen.select(*keys).distinct().write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite")
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+
+
+def unseen_in_table(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """:func:`unseen` against a table of :func:`write_seen`. Its buckets are joined where they lie; the new rows are dealt out to them by key."""
+    seen = df.sparkSession.table(name).select(*keys)
+    return df.join(seen.hint("merge"), list(keys), "left_anti")
+
+
 def merge_seen(seen: DataFrame, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The seen set after this batch."""
     return seen.select(*keys).unionByName(df.select(*keys)).distinct()

@@ -240,7 +240,7 @@ def search_positions(spark, folder):
     )
 
 
-def _attempts(events: DataFrame) -> DataFrame:
+def _attempts(events: DataFrame, **more: Column) -> DataFrame:
     """Events as item attempts: errors fail, of which the dearer ones may be tried again."""
     failed = F.col("event_type") == "error"
     return events.select(
@@ -252,6 +252,7 @@ def _attempts(events: DataFrame) -> DataFrame:
         F.when(failed, F.col("value") > 50).alias("retryable"),
         F.concat(F.lit("w"), F.col("user_id") % 7).alias("lease_owner"),
         F.timestamp_micros(F.unix_micros("ts") + 600_000_000).alias("lease_until"),
+        *[value.alias(name) for name, value in more.items()],
     )
 
 
@@ -283,8 +284,8 @@ def error_classes(spark, folder):
 
 def _leased(events: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type").isin("click", "error"), "running").when(F.col("event_type") == "view", "queued").otherwise("success")
-    out = _attempts(events.withColumn("status", status)).drop("error_code", "retryable")
-    return out.join(events.select(F.col("event_id").alias("id"), status.alias("status")), "id").withColumns(
+    out = _attempts(events, status=status).drop("error_code", "retryable")
+    return out.withColumns(
         {
             "error_code": F.lit(None).cast("string"),
             "error_detail": F.lit(None).cast("string"),

@@ -48,7 +48,8 @@ def page_titles(spark, folder):
     SELECT lower(tag) AS tag, count(*) AS elements FROM tags GROUP BY 1"""
 )
 def element_counts(spark, folder):
-    return html_elements(table(spark, folder, "pages")).groupBy("tag").agg(F.count("*").alias("elements"))
+    outlined = table(spark, folder, "pages", spread=True).select(page_outline("html", fields_only=False)["elements"]["tag"].alias("tags"))
+    return outlined.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("elements"))
 
 
 @query(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.html import page_outline
 from ..functions.net import ip_is_public
 from ..functions.text import article_gate, clean_text, content_hash, first_nonblank, optional, word_count
 from ..functions.urls import is_listing, normalize_url, resolve_url, url_parts
-from ..operators.articles import html_elements
-from ..operators.urls import allow_domains, dedupe_first, host_verdicts, merge_seen, unseen, valid_scrape_request, validate_urls
+from ..operators.urls import allow_domains, dedupe_first, host_verdicts, host_verdicts_by_table, merge_seen, unseen, valid_scrape_request, validate_urls
 from ..sources.intake import explode_batches
 from .catalog import case_of, query, table
 
@@ -135,6 +135,25 @@ def ip_public_hosts(spark, folder):
     return host_verdicts(dns).join(sizes, "host")
 
 
+@query(
+    """
+    WITH n AS (SELECT DISTINCT (s_suppkey * 7 % 256 * 16777216 + s_nationkey * 65536 * 9 + s_suppkey * 256) // (1 << (32 - p)) * (1 << (32 - p)) AS low, p
+      FROM (SELECT s_suppkey, s_nationkey, 9 + s_suppkey % 18 AS p FROM supplier)),
+    ips AS (SELECT DISTINCT o_custkey, (o_orderkey % 256) * 16777216 + (o_orderkey // 256) % 256 * 65536 + o_custkey % 128 * 256 + 9 AS ip FROM orders),
+    hit AS (SELECT DISTINCT ip FROM (SELECT DISTINCT ip FROM ips) JOIN n ON ip BETWEEN low AND low + (1 << (32 - p)) - 1)
+    SELECT o_custkey AS host, bool_and(hit.ip IS NULL) AS all_public FROM ips LEFT JOIN hit USING (ip) GROUP BY 1"""
+)
+def networks_from_a_table(spark, folder):
+    """Addresses of customers against networks of suppliers, whose lengths go from 9 to 26 bits: the ranges are data."""
+    key, supplier = F.col("o_orderkey"), F.col("s_suppkey")
+    ip = F.concat_ws(".", key % 256, F.floor(key / 256) % 256, F.col("o_custkey") % 128, F.lit(9))
+    dns = table(spark, folder, "orders").select(F.col("o_custkey").alias("host"), ip.alias("ip")).distinct()
+    number = supplier * 7 % 256 * 16777216 + F.col("s_nationkey") * 65536 * 9 + supplier * 256
+    quad = F.concat_ws(".", *[F.floor(number / 256**i) % 256 for i in (3, 2, 1, 0)])
+    networks = table(spark, folder, "supplier").select(F.concat(quad, F.lit("/"), 9 + supplier % 18).alias("network"))
+    return host_verdicts_by_table(dns, networks)
+
+
 @query(
     """
     SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN FALSE WHEN 1 THEN FALSE WHEN 2 THEN FALSE WHEN 3 THEN FALSE
@@ -183,15 +202,12 @@ def listing_filter(spark, folder):
 )
 def resolve_links(spark, folder):
     """Every link of every page as an absolute URL."""
-    pages = table(spark, folder, "pages")
-    links = html_elements(pages).filter("tag = 'a'").select(
-        "page_id", "ordinal", F.element_at("attrs", "href").alias("href")
-    )
-    numbered = links.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "href"))).alias("links"))
-    flat = numbered.select("page_id", F.posexplode("links").alias("link_no", "l"))
-    return flat.join(pages.select("page_id", "url"), "page_id").select(
-        "page_id", F.col("link_no").cast("bigint").alias("link_no"), resolve_url("url", "l.href").alias("target")
-    )
+    pages = table(spark, folder, "pages", spread=True)
+    outlined = pages.select("page_id", "url", page_outline("html", fields_only=False)["elements"].alias("elements"))
+    # elements stand in document order, so a page's links are numbered in its row
+    links = F.filter("elements", lambda e: e["tag"] == "a")
+    flat = outlined.select("page_id", "url", F.posexplode(F.transform(links, lambda e: F.element_at(e["attrs"], "href"))).alias("link_no", "href"))
+    return flat.select("page_id", F.col("link_no").cast("bigint").alias("link_no"), resolve_url("url", "href").alias("target"))
 
 
 @query(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pressroom.functions.net import SPECIAL_NETWORKS, ip_is_public, ipv6_hex
 from pressroom.functions.urls import ascii_host, host_suffixes, is_listing, normalize_url, resolve_url, url_parts
 from pressroom.operators.skew import ranked
-from pressroom.operators.urls import allow_domains, dedupe_first, unseen, valid_scrape_request, validate_urls
+from pressroom.operators.urls import (
+    allow_domains, dedupe_first, host_verdicts_by_table, in_networks, unseen, unseen_in_table, valid_scrape_request, validate_urls, write_seen,
+)
 
 
 def column(spark, values, name="url"):
@@ -194,3 +196,47 @@ def test_hostile_urls_are_refused_in_no_time(spark):
     hosts = ["a..b", "a.b.", "a.b..", "-a.b", "a-.b", "ab--c.d", "xn--c.d", "A_b.c", "", ".", "a", "é.f"]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(hosts)], "i int, host string")
     assert results(df.withColumn("h", ascii_host(F.col("host"))), "h") == ["a..b", "a.b", None, None, None, None, "xn--c.d", None, None, None, "a", None]
+
+
+def test_networks_as_a_table(spark):
+    rng = random.Random(9)
+    networks = [f"{ipaddress.ip_address(rng.getrandbits(32))}/{rng.randint(0, 32)}" for _ in range(60)]
+    networks += [f"{ipaddress.ip_address(rng.getrandbits(128))}/{rng.randint(0, 128)}" for _ in range(60)]
+    networks = [n for n in networks if int(n.split("/")[1]) > 2] + ["10.1.2.3", "::1", "2001:db8::/33"]
+    ips = [str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(200)] + [str(ipaddress.ip_address(rng.getrandbits(128))) for _ in range(100)]
+    ips += ["10.1.2.3", "10.1.2.4", "::1", "::2", "2001:db8:7fff::1", "2001:db8:8000::1", "::ffff:10.1.2.3"]
+    for text in networks[:100]:  # both ends of a network, and their neighbours
+        net = ipaddress.ip_network(text, strict=False)
+        low, high = int(net.network_address), int(net.broadcast_address)
+        top = 2 ** (32 if net.version == 4 else 128) - 1
+        kind = ipaddress.IPv4Address if net.version == 4 else ipaddress.IPv6Address
+        ips += [str(kind(n)) for n in (low, high, max(low - 1, 0), min(high + 1, top))]
+    bad = ["10.0.0.0/33", "x/8", "10.0.0.0/8/8", "::/129", "10.0.0.0/", None]
+    table = spark.createDataFrame([(n,) for n in networks + bad], "network string")
+    got = {tuple(r) for r in in_networks(spark.createDataFrame([(i,) for i in [*ips, "no address", None]], "ip string"), table).collect()}
+
+    def wide(address):
+        return int(address) + (0xFFFF << 32) if address.version == 4 else int(address)
+
+    expected = set()
+    for text in networks:
+        net = ipaddress.ip_network(text, strict=False)
+        low, high = wide(net.network_address), wide(net.broadcast_address)
+        expected |= {(i, text) for i in ips if low <= wide(ipaddress.ip_address(i)) <= high}
+    assert got == expected
+    dns_rows = spark.createDataFrame([("a", "10.1.2.3"), ("a", "9.9.9.9"), ("b", "9.9.9.9"), ("c", "oops")], "host string, ip string")
+    few = spark.createDataFrame([("10.0.0.0/8",)], "network string")
+    assert {tuple(r) for r in host_verdicts_by_table(dns_rows, few).collect()} == {("a", False), ("b", True), ("c", False)}
+
+
+def test_the_seen_side_is_not_shuffled(spark, tmp_path):
+    seen = spark.range(5000).select(F.concat(F.lit("u"), F.col("id")).alias("url"))
+    write_seen(seen.unionByName(seen), "pressroom_seen_test", ["url"], 8, str(tmp_path / "seen"))
+    try:
+        new = spark.range(4900, 5100).select(F.concat(F.lit("u"), F.col("id")).alias("url"), "id")
+        left = unseen_in_table(new, "pressroom_seen_test", ["url"])
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert sorted(r.id for r in left.collect()) == list(range(5000, 5100))
+    finally:
+        spark.sql("DROP TABLE pressroom_seen_test")
