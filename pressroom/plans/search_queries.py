@@ -21,6 +21,7 @@ from ..operators.search import (
 )
 from ..sources.intake import read_result_pages
 from .catalog import case_of, query, table
+from .flows import run_searches
 
 DOMAINS = ["example.com", "example.net", "example.org"]
 
@@ -353,3 +354,24 @@ def advance_replay(spark, folder):
         again.select("search_id", "status", F.struct("job_id", "urls", "total").alias("b"), F.col("replayed").alias("moved")), "search_id"
     )
     return same.join(jobs.select("search_id"), "search_id", "left_anti").select("search_id", "status", "moved", F.col("a").eqNullSafe(F.col("b")).alias("unchanged_on_replay"))
+
+
+@query(
+    f"""
+    WITH {ADVANCE_SQL}, placed AS (SELECT k, unnest(urls) AS url, generate_subscripts(urls, 1) - 1 AS position FROM advanced)
+    SELECT k::VARCHAR AS search_id, md5(k || '|c1-' || k) AS job_id, position::INTEGER AS position, url, DATE '2024-01-20' AS start_date FROM placed"""
+)
+def dated_search_jobs(spark, folder):
+    """The whole flow of a dated search: provider bodies in JSON, usable results, one command per search, the jobs with their URLs and dates."""
+    runs, pages, hits, seen = search_tables(spark, folder)
+    at = ["search_id", "month", "offset"]
+    result = F.struct(F.col("url").alias("link"))
+    found = hits.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("rank", result.alias("row")))).alias("ranked"))
+    # a result without a link stands on every page, so none is empty
+    rows = F.concat(F.coalesce(F.col("ranked.row"), F.array().cast("array<struct<link:string>>")), F.array(F.struct(F.lit(None).cast("string").alias("link"))))
+    following = F.struct(F.when(F.col("has_next"), "2").alias("next"))
+    body = F.to_json(F.struct(rows.alias("organic_results"), following.alias("serpapi_pagination")))
+    captured = pages.join(found, at, "left").select(*at, F.lit(200).alias("status"), body.alias("body"))
+    now = F.lit("2024-06-01").cast("timestamp")
+    jobs, items, _ = run_searches(runs.withColumn("timezone", F.lit("UTC")), captured, seen, now, idna=False)
+    return jobs.join(items, "job_id").select("search_id", "job_id", "position", "url", "start_date")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..operators.skew import first_per_key
 from ..schemas import ARTICLE, ARTICLE_COLUMNS, DNS, FETCH_LOG, RESULT_PAGES, ROBOTS
 
 
@@ -18,6 +19,16 @@ def read_fetch_log(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return read_table(spark, path, FETCH_LOG, fmt)
 
 
+def latest_captures(log: DataFrame, within: str = "second") -> DataFrame:
+    """Of a fetch log one row per URL: its latest capture, and in it the last hop.
+
+    The hops of one capture are fetched shortly after each other: ``fetched_at`` tells captures apart down to the unit ``within``. Spark keeps one
+    row per URL and task before the shuffle.
+    """
+    order = [F.date_trunc(within, "fetched_at").desc_nulls_last(), F.col("hop").desc_nulls_last(), F.col("fetched_at").desc_nulls_last()]
+    return first_per_key(log, ["url"], [*order, F.struct("status", "location", "content_type", "content_length", "body")])
+
+
 def read_dns(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Resolved addresses: one row per host and address."""
     return read_table(spark, path, DNS, fmt)
