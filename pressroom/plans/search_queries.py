@@ -257,8 +257,8 @@ def search_tables(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     runs = customers.select(
         key.cast("string").alias("search_id"),
         F.when(key % 17 == 0, "discovery_complete").when(key % 19 == 0, "failed").otherwise("ready").alias("status"),
-        F.lit("2024-01-20").cast("date").alias("start_date"),
-        F.when(key % 5 == 0, "2024-01-31").otherwise("2024-03-03").cast("date").alias("end_date"),
+        F.lit("2024-04-11").cast("date").alias("start_date"),
+        F.when(key % 5 == 0, "2024-04-30").otherwise("2024-06-02").cast("date").alias("end_date"),
         (2 + key % 5).cast("int").alias("max_articles"),
         (1 + key % 4).cast("int").alias("max_pages"),
         F.lit(0).alias("month"),
@@ -359,7 +359,7 @@ def advance_replay(spark, folder):
 @query(
     f"""
     WITH {ADVANCE_SQL}, placed AS (SELECT k, unnest(urls) AS url, generate_subscripts(urls, 1) - 1 AS position FROM advanced)
-    SELECT k::VARCHAR AS search_id, md5(k || '|c1-' || k) AS job_id, position::INTEGER AS position, url, DATE '2024-01-20' AS start_date FROM placed"""
+    SELECT k::VARCHAR AS search_id, md5(k || '|c1-' || k) AS job_id, position::INTEGER AS position, url, DATE '2024-04-11' AS start_date FROM placed"""
 )
 def dated_search_jobs(spark, folder):
     """The whole flow of a dated search: provider bodies in JSON, usable results, one command per search, the jobs with their URLs and dates."""
@@ -372,6 +372,6 @@ def dated_search_jobs(spark, folder):
     following = F.struct(F.when(F.col("has_next"), "2").alias("next"))
     body = F.to_json(F.struct(rows.alias("organic_results"), following.alias("serpapi_pagination")))
     captured = pages.join(found, at, "left").select(*at, F.lit(200).alias("status"), body.alias("body"))
-    now = F.lit("2024-06-01").cast("timestamp")
+    now = F.lit("2024-09-01").cast("timestamp")
     jobs, items, _ = run_searches(runs.withColumn("timezone", F.lit("UTC")), captured, seen, now, idna=False)
     return jobs.join(items, "job_id").select("search_id", "job_id", "position", "url", "start_date")

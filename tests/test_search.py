@@ -76,11 +76,11 @@ def test_fingerprint_minds_the_order(spark):
 
 
 def test_plan_and_requests(spark):
-    df = spark.createDataFrame([("s", " q ", "2024-01-20", "2024-03-03")], "search_id string, query string, a string, b string")
+    df = spark.createDataFrame([("s", " q ", "2024-04-11", "2024-06-02")], "search_id string, query string, a string, b string")
     df = df.select("search_id", "query", F.col("a").cast("date").alias("start_date"), F.col("b").cast("date").alias("end_date"))
     rows = request_plan(df, ["a.example", "b.example"], pages=2).orderBy("month_index", "offset").collect()
     assert [(r.month_index, r.offset) for r in rows] == [(m, o) for m in range(3) for o in (0, 10)]
-    assert rows[0].tbs == "cdr:1,cd_min:01/19/2024,cd_max:02/01/2024" and rows[0].q.endswith(" (site:a.example OR site:b.example)")
+    assert rows[0].tbs == "cdr:1,cd_min:04/10/2024,cd_max:05/01/2024" and rows[0].q.endswith(" (site:a.example OR site:b.example)")
     assert spark.range(1).select(query_text(F.lit("x"), ["A.example."])).first()[0] == "x (site:a.example)"
     cases = [("  x ", 1, 1, None), ("xy", 51, 1, None), ("xy", None, 6, None), ("xy", None, None, "Mars"), ("é" * 300, 50, 5, "UTC"), ("x" * 301, 1, 1, None), (None, 1, 1, None)]
     checked = valid_search_requests(spark.createDataFrame(cases, "query string, max_articles int, max_pages int, timezone string"), ["a"]).collect()
@@ -165,7 +165,7 @@ def test_advance_against_a_model(spark):
                 pages[(month, step * 10)] = (urls, step < depth)
         limits = rng.randint(1, 8), rng.randint(1, 4)
         models[key] = Reader(list(story(3, pages)), *limits)
-        run_rows.append((key, "q", "ready", "2024-01-20", "2024-03-03", "UTC", *limits))
+        run_rows.append((key, "q", "ready", "2024-04-11", "2024-06-02", "UTC", *limits))
         for (month, offset), (urls, more) in pages.items():
             page_rows.append((key, month, offset, more, None, None))
             hit_rows += [(key, month, offset, rank, url) for rank, url in enumerate(urls)]
