@@ -142,7 +142,9 @@ class DoubleArray:
 class Unigram:
     """Encodes and decodes by a table of (piece, log score, type)."""
 
-    WORDS = 300_000
+    # of what is remembered: parts of this many characters at most, and about so many bytes of them in all
+    KEPT_LENGTH = 64
+    KEPT_BYTES = 96_000_000
     # cells of the tables that words of about one length share
     CELLS = 2_000_000
 
@@ -150,7 +152,7 @@ class Unigram:
         plain = [i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER) and p[0]]
         self.score = np.array([p[1] for p in pieces], float)
         numbers = {c: n for n, c in enumerate(sorted({c for i in plain for c in pieces[i][0]}), 1)}
-        self.number = np.zeros(0x110000, np.int16)
+        self.number = np.zeros(0x110000, np.int16 if len(numbers) < 1 << 15 else np.int32)
         self.number[[ord(c) for c in numbers]] = list(numbers.values())
         self.trie = DoubleArray([[numbers[c] for c in pieces[i][0]] for i in plain], plain)
         self.longest = max((len(pieces[i][0]) for i in plain), default=1)
@@ -170,6 +172,7 @@ class Unigram:
             for p, _, t in pieces
         ]
         self.coded = [i.to_bytes(4, "little") for i in range(len(pieces))]
+        self.held = 0
         self.ids_of: dict[str, bytes] = {}
         self.score_of: dict[str, float] = {}
 
@@ -258,13 +261,23 @@ class Unigram:
         """Ids and log score of each text. A marker goes before a text that is not empty, and for each blank."""
         cut = [self.part.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         ids_of, score_of = self.ids_of, self.score_of
-        if len(ids_of) > self.WORDS:
+        if self.held > self.KEPT_BYTES:
             ids_of.clear()
             score_of.clear()
+            self.held = 0
         new = list({w for c in cut for w in c if w not in ids_of})
+        long = []
         for w, (ids, score) in zip(new, self.viterbi(new), strict=True):
             ids_of[w], score_of[w] = ids, score
-        return [(b"".join([ids_of[w] for w in c]), math.fsum([score_of[w] for w in c])) for c in cut]
+            if len(w) > self.KEPT_LENGTH:
+                long.append(w)
+            else:
+                # a string, its ids, a float and two places in dictionaries
+                self.held += 4 * len(w) + len(ids) + 330
+        found = [(b"".join([ids_of[w] for w in c]), math.fsum([score_of[w] for w in c])) for c in cut]
+        for w in long:
+            del ids_of[w], score_of[w]
+        return found
 
     def decode(self, ids: bytes) -> str:
         """Byte pieces join to characters, markers become blanks, and the one that encoding put in front goes."""

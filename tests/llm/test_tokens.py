@@ -205,3 +205,24 @@ def test_addresses_as_the_plain_pattern_finds_them(spark):
     plain = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
     new, old = F.regexp_replace("text", queries.E_MAIL, "~"), F.regexp_replace("text", plain, "~")
     assert df.filter(new != old).collect() == []
+
+
+def test_what_is_remembered_is_bounded_by_bytes(monkeypatch):
+    model = unigram.Unigram.from_file(PIECES)
+    long = "漢字" * 20_000
+    first = model.encode([long, "some words here", long + "x"])
+    assert all(len(w) <= model.KEPT_LENGTH for w in model.ids_of) and model.ids_of.keys() == model.score_of.keys()
+    monkeypatch.setattr(unigram.Unigram, "KEPT_BYTES", 2000)
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(200)) for _ in range(40)]
+    whole = [unigram.Unigram.from_file(PIECES).encode([t])[0] for t in texts[:5]]
+    small = [model.encode([t])[0] for t in texts]
+    assert small[:5] == whole and len(model.ids_of) < 200 and model.held < 60_000
+    assert model.encode([long, "some words here", long + "x"]) == first
+
+
+def test_models_of_many_characters():
+    pieces = [("<unk>", 0.0, unigram.UNKNOWN)] + [(chr(0x4E00 + i), -float(i % 90) - 1, unigram.NORMAL) for i in range(20_000)] + [(chr(0x20000 + i), -5.0, unigram.NORMAL) for i in range(20_000)] + [("▁", -1.0, unigram.NORMAL)]
+    model = unigram.Unigram(pieces)
+    ids = np.frombuffer(model.encode([chr(0x4E00 + 19_999) + chr(0x20000 + 19_999)])[0][0], "<u4").tolist()
+    assert ids == [40_001, 20_000, 40_000]
