@@ -189,12 +189,19 @@ def report_by_month(items: DataFrame, jobs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     filters = jobs.filter("start_date IS NOT NULL AND end_date IS NOT NULL")
-    spine = filters.select("job_id", F.explode(month_windows("start_date", "end_date")).alias("_w")).select(
-        "job_id", F.date_format("_w.window_start", "yyyy-MM").alias("month")
-    )
-    # the spine adds zeros to the counts; summing merges both without a join
-    zeros = spine.withColumn("n", F.lit(0).cast("bigint"))
-    return zeros.unionByName(counts).groupBy("job_id", "month").agg(F.sum("n").alias("n"))
+    # a job's months become rows only here, after its counts are known: before a shuffle they would be many times the jobs in the tasks that read them
+    spans = filters.groupBy("job_id").agg(F.collect_set(F.struct("start_date", "end_date")).alias("_spans"))
+    by_job = counts.groupBy("job_id").agg(F.collect_list(F.struct("month", "n")).alias("_counts"))
+
+    def months(span: Column) -> Column:
+        names = F.transform(month_windows(span["start_date"], span["end_date"]), lambda w: F.date_format(w["window_start"], "yyyy-MM"))
+        return F.coalesce(names, F.array().cast("array<string>"))
+
+    none = F.array().cast("array<struct<month:string,n:bigint>>")
+    counted = F.coalesce("_counts", none)
+    empty = F.array_except(F.array_distinct(F.flatten(F.transform("_spans", months))), counted["month"])
+    zeros = F.transform(empty, lambda month: F.struct(month.alias("month"), F.lit(0).cast("bigint").alias("n")))
+    return spans.join(by_job, "job_id", "left").select("job_id", F.inline(F.concat(counted, zeros)))
 
 
 def with_month_map(report: DataFrame, months: DataFrame, key: str = "job_id") -> DataFrame:

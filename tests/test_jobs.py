@@ -239,3 +239,16 @@ def test_search_flow(spark):
     state = after.first()
     assert (state.status, state.skipped, state.pages, state.last_result.total) == ("discovery_complete", 5, 2, 1)
     assert run_searches(runs, captured, spark.createDataFrame([], SEEN), now())[0].count() == 0
+
+
+def test_months_of_repeated_and_empty_jobs(spark):
+    """Months become rows after a job's counts are known; ranges of a repeated job are united, its items count once per row."""
+    day = dt.date
+    rows = [(1, day(2024, 1, 5), day(2024, 2, 5), "UTC"), (1, day(2024, 2, 1), day(2024, 3, 1), "UTC"), (2, day(2024, 5, 1), day(2024, 4, 1), "UTC"), (None, day(2024, 6, 1), day(2024, 6, 2), "UTC")]
+    jobs = spark.createDataFrame(rows, "job_id int, start_date date, end_date date, timezone string")
+    schema = "job_id int, status string, date_status string, date_basis string, published_utc timestamp, published_date date"
+    items = spark.createDataFrame([(1, "success", "in_range", "source_date", None, day(2024, 2, 2)), (1, "success", "unknown", None, None, None)], schema)
+    report = report_by_month(items, jobs)
+    assert sorted((tuple(r) for r in report.collect()), key=repr) == [(1, "2024-01", 0), (1, "2024-02", 2), (1, "2024-03", 0), (None, "2024-06", 0)]
+    plan = report._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in line for line in plan[: next(i for i, line in enumerate(plan) if "Generate" in line)])
