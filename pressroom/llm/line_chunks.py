@@ -60,8 +60,8 @@ def drop_repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES, divisor: i
     text. A null text is one empty line. Rows that repeat a doc_id with the same text are one place of their chunks and
     get the same result each. A text that is nothing but repeated chunks becomes empty. An empty table gives an empty result.
 
-    Keys of all chunks are counted first, combined before the shuffle; only chunks whose key repeats send their bytes, and
-    they are grouped by those bytes, so equal keys of different chunks never remove anything. A chunk that a third of all
+    Keys of all chunks are counted first, combined before the shuffle; chunks whose key repeats are grouped by their
+    bytes, which are sent once, so equal keys of different chunks never remove anything. A chunk that a third of all
     documents hold is one row of the owners' table, which is written before the join, so that Spark can split the hot key.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -70,12 +70,19 @@ def drop_repeated_chunks(docs: DataFrame, min_lines: int = MIN_LINES, divisor: i
     repeated = durable(found.groupBy("chunk_key").count().filter("count > 1").select("chunk_key"))
     suspects = found.join(repeated, "chunk_key")
     place = F.struct("doc_id", "text_key", "pos")
-    owners = durable(
-        suspects.groupBy("chunk_key", "chunk").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    )
+    owned = F.min(place).alias("owner"), F.count(F.lit(1)).alias("copies")
+    grouped = durable(suspects.groupBy("chunk_key", "chunk").agg(*owned).drop("chunk"))
+    # a key of one chunk names its bytes, so the places need not bring theirs
+    kinds = grouped.groupBy("chunk_key").agg(F.count(F.lit(1)).alias("kinds"), F.first("owner").alias("owner"), F.first("copies").alias("copies"))
+    owners = durable(kinds.filter("kinds = 1 AND copies > 1").select("chunk_key", "owner"))
+    later = found.drop("chunk").join(owners, "chunk_key").select("doc_id", "text_key", "pos", "owner")
+    mixed = durable(kinds.filter("kinds > 1").select("chunk_key"))
+    if not mixed.isEmpty():
+        unlike = found.join(mixed, "chunk_key")
+        firsts = unlike.groupBy("chunk_key", "chunk").agg(*owned).filter("copies > 1").drop("copies")
+        later = later.unionByName(unlike.join(firsts, ["chunk_key", "chunk"]).select("doc_id", "text_key", "pos", "owner"))
     removed = (
-        suspects.join(owners, ["chunk_key", "chunk"])
-        .filter(~F.col("owner").eqNullSafe(place))
+        later.filter(~F.col("owner").eqNullSafe(place))
         .groupBy(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"))
         .agg(F.collect_set("pos").alias("gone"))
     )

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pressroom.llm import chat, line_chunks
 
@@ -144,3 +146,18 @@ def test_repeated_passages_go_whatever_surrounds_them(spark):
     left = {r.doc_id: r.text for r in line_chunks.drop_repeated_passages(short).collect()}
     assert left == {d: f"before {d}\nafter {d}" if d else "before 0\nshared a\nshared b\nafter 0" for d in range(30)}
     assert line_chunks.drop_repeated_passages(df.limit(0)).count() == 0
+
+
+def test_unlike_chunks_of_one_key_stay_apart(spark, monkeypatch):
+    """With a key that all chunks share, only equal bytes are repeats."""
+    found = line_chunks._occurrences
+    monkeypatch.setattr(line_chunks, "_occurrences", lambda *a: found(*a).withColumn("chunk_key", F.lit("same")))
+    docs = [(d, "\n".join(f"line {(d + i) % 4} {i}" for i in range(12))) for d in range(12)]
+    got = sorted((tuple(r) for r in line_chunks.drop_repeated_chunks(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_force(docs) and any(r[2] for r in got)
+
+
+def test_bytes_of_chunks_are_sent_once(spark):
+    docs = spark.createDataFrame([(d, "a\nb\nc\nd\ne\nf") for d in range(4)], "doc_id long, text string")
+    plan = line_chunks.drop_repeated_chunks(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "chunk_key" in plan and not re.search(r"chunk#\d+ = chunk#\d+", plan)
