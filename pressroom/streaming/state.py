@@ -32,7 +32,13 @@ COMPLETED = _struct(job_id=LongType(), completed=LongType(), succeeded=LongType(
 
 
 class _JobCompletion(StatefulProcessor):
-    """State: the counts of a job, and the positions that have ended until all have. A timer ends both when the job was quiet for long enough."""
+    """State: the counts of a job, and the positions that have ended until all have. A timer ends both when the job was quiet for long enough.
+
+    Every call of the state store is a round trip, so the positions of a call are held until it is over, ``HELD`` at most, and those of a job that it
+    completes are never stored.
+    """
+
+    HELD = 10_000
 
     def __init__(self, keep_ms: int | None) -> None:
         self.keep = keep_ms
@@ -43,30 +49,47 @@ class _JobCompletion(StatefulProcessor):
         self.ended = handle.getMapState("ended", _struct(position=LongType()), _struct(one=LongType()))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        succeeded, failed, done, ends = self.counts.get() if self.counts.exists() else (0, 0, 0, 0)
+        known = self.counts.get()
+        succeeded, failed, done, ends = known or (0, 0, 0, 0)
         before, total = ends, None
+        stored = succeeded + failed > 0 and not done
+        held: set[int] = set()
         for row in rows:
             total = row.total
             if self.keep:
                 ends = max(ends, int(row.at.timestamp() * 1000) + self.keep)
-            if done or self.ended.containsKey((row.position,)):
+            if done or row.position in held or (stored and self.ended.containsKey((row.position,))):
                 continue  # delivered before
-            self.ended.updateValue((row.position,), (1,))
+            held.add(row.position)
+            if len(held) >= self.HELD:
+                self._store(held)
+                stored = True
             succeeded += row.status == "success"
             failed += row.status == "failed"
         finished = not done and total is not None and succeeded + failed >= total
-        self.counts.update((succeeded, failed, int(bool(done) or finished), ends))
+        if known != (state := (succeeded, failed, int(bool(done) or finished), ends)):
+            self.counts.update(state)
+        if not finished:
+            self._store(held)
         if ends != before:
             if before:
                 self.handle.deleteTimer(before)
             self.handle.registerTimer(ends)
         if finished:
-            self.ended.clear()
+            if stored:
+                self.ended.clear()
             yield Row(job_id=key[0], completed=succeeded + failed, succeeded=succeeded, failed=failed)
 
+    def _store(self, positions: set[int]) -> None:
+        for position in positions:
+            self.ended.updateValue((position,), (1,))
+        positions.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        done = (self.counts.get() or (0, 0, 0, 0))[2]
         self.counts.clear()
-        self.ended.clear()
+        if not done:
+            self.ended.clear()
         return iter(())
 
     def close(self) -> None:

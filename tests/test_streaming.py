@@ -282,3 +282,42 @@ def test_every_command_of_a_micro_batch_is_carried_out(spark, small, tmp_path):
     together, apart = run([first + second], "together"), run([first, second], "apart")
     assert together == apart
     assert {c for _, c, _, _ in together} == {"a", "b"}
+
+
+def test_a_job_that_completes_at_once_stores_no_position():
+    """Positions go to the state store only for a job that a call does not complete."""
+    from pyspark.sql import Row
+    from pressroom.streaming.state import _JobCompletion
+
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+    class Map(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    job = _JobCompletion(None)
+    rows = [Row(position=p, status="success", total=3) for p in (0, 1, 1, 2)]
+    job.counts, job.ended = Value(), Map()
+    assert [r.completed for r in job.handleInputRows((1,), iter(rows), None)] == [3] and job.ended.calls == 0
+    assert list(job.handleInputRows((1,), iter(rows), None)) == []
+    job.HELD = 2
+    job.counts, job.ended = Value(), Map()
+    assert list(job.handleInputRows((2,), iter(rows[:3]), None)) == [] and set(job.ended) == {(0,), (1,)}
+    assert [r.completed for r in job.handleInputRows((2,), iter(rows), None)] == [3] and not job.ended
