@@ -254,3 +254,23 @@ def test_position(spark):
         (2, 0, "2024-01-01", "2024-01-31"), (2, 0, "2024-01-01", "2024-01-31"), (2, 1, "2024-02-01", "2024-02-10"),
         (2, 1, "2024-02-01", "2024-02-10"), (2, 2, "2024-02-01", "2024-02-10"), (2, 2, "None", "None"),
     ]
+
+
+def test_searches_are_never_broadcast(spark):
+    """A file's size says little of the rows that are made of it, so tables of searches meet by a sort."""
+    pages = spark.createDataFrame([("s", 0, 0, False, None, None)], PAGES)
+    hits = spark.createDataFrame([("s", 0, 0, 0, "u0")], HITS)
+    seen = spark.createDataFrame([], "search_id string, url string")
+    runs = one_run(spark, max_pages=1)
+    moved = advance(runs, pages, hits, seen)
+    for df in (moved, next_runs(runs, moved)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [r.urls for r in moved.collect()] == [["u0"]]
+
+
+def test_replay_plan_does_not_repeat_the_walk(spark, small):
+    from pressroom.plans.catalog import QUERIES
+
+    plan = QUERIES["advance_replay"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") < 10
