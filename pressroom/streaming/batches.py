@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.search import search_books
 from ..operators.skew import durable
 from .common import with_rocksdb, write_available
-from .state import discovered_on_stream, scheduled_on_stream
+from .state import RUN_STATE, SEARCH_STATE, discovered_on_stream, scheduled_on_stream
 
 
 def schedule_stream(
@@ -37,6 +39,13 @@ def advance_stream(
 
 def discovery_state(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """What :func:`advance_stream` carries, read from its state store: ``run``, ``pending``, ``seen``, ``fingerprints``, ``job_ids`` or ``warnings``, by search_id."""
-    store = spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/checkpoint")
-    found = {"seen": ["user_map_key.url"], "run": ["value.*"]}.get(name, ["list_element.value"])
-    return store.selectExpr("key.search_id AS search_id", *found)
+    def stored(variable: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", variable).load(f"{folder}/checkpoint")
+
+    searches = stored("searches").select("user_map_key.search_id", F.from_json("user_map_value.state", SEARCH_STATE).alias("_state")).select("search_id", "_state.*")
+    if name == "run":
+        return searches.select("search_id", *StructType.fromDDL(RUN_STATE).names)
+    if name == "seen":
+        held = searches.select("search_id", F.explode("seen").alias("url"))
+        return held.unionByName(stored("seen").select("user_map_key.search_id", "user_map_key.url"))
+    return searches.select("search_id", F.explode(name).alias("value"))

@@ -1,17 +1,18 @@
 """Keyed state on streams: job completion, lease expiry, politeness and discovery.
 
-Each processor keeps a few numbers per key, or what one search has found, and reads its rows one after the other or, for politeness, as arrays.
+Each processor keeps a few numbers per key, or what some searches have found, and reads its rows one after the other or, for politeness, as arrays.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
@@ -206,54 +207,92 @@ def scheduled_on_stream(requests: DataFrame, domain: str, arrival: str, tie: Seq
 
 ITEMS = "search_id string, command_id string, job_id string, position int, url string"
 RUN_STATE = "month int, offset int, pages int, skipped int, requests_attempted int, status string, last_command_id string, answered boolean"
+LISTS_STATE = "pending array<string>, fingerprints array<string>, job_ids array<string>, warnings array<string>"
+SEARCH_STATE = f"{RUN_STATE}, windows array<string>, max_articles int, max_pages int, {LISTS_STATE}, seen array<string>, more_seen boolean"
+
+# searches share a key of the stream by the hash of their id, and a row of the start state holds some of them; a checkpoint keeps the number that it began with
+SEARCH_BUCKETS = 4096
+SEARCH_SLICE = 100
+# so many seen URLs are kept in the row of a search
+HELD = 1_000
 
 
 class _Discovery(StatefulProcessor):
-    """State of one search: its place and counters, the URLs that wait, the URLs it has seen, the prints of the month's pages, its jobs and warnings."""
+    """State of a search, one row: its place and counters, the URLs that wait, the URLs it has seen, the prints of the month's pages, its jobs and warnings.
+
+    Every call of the state store is a round trip, every key of the stream an Arrow batch of its own, and every field of a stored row is parsed again with its type. So
+    searches share keys, a search is one text (JSON, :data:`SEARCH_STATE`), and its commands of a micro-batch cost one read and one write of it. The URLs seen stay
+    in it up to ``HELD``; beyond that they move to entries of their own, where only those of a page are looked up. A bucket's commands of one micro-batch are
+    held with their pages, since they are carried out in order of command_id per search.
+    """
+
+    def __init__(self, held: int = HELD) -> None:
+        self.held = held
+        self.begun: tuple = (None, {})
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", RUN_STATE)
-        self.limits = handle.getValueState("limits", "windows array<string>, max_articles int, max_pages int")
-        self.pending, self.prints, self.jobs, self.warnings = (
-            handle.getListState(name, "value string") for name in ("pending", "fingerprints", "job_ids", "warnings")
-        )
-        self.seen = handle.getMapState("seen", "url string", "one int")
+        self.searches = handle.getMapState("searches", "search_id string", "state string")
+        self.seen = handle.getMapState("seen", "search_id string, url string", "one int")
 
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        row = initialState
-        if row.seen_url is not None:
-            self.seen.updateValue((row.seen_url,), (1,))
-        if row.status is not None:
-            self.run.update((row.month, row.offset, row.pages, row.skipped, row.requests_attempted, row.status, row.last_command_id, bool(row.answered)))
-            self.limits.update((list(row.windows), row.max_articles, row.max_pages))
-            for state, values in ((self.pending, row.pending), (self.prints, row.fingerprints), (self.jobs, row.job_ids), (self.warnings, row.warnings)):
-                if values:
-                    state.put([(v,) for v in values])
-
-    @staticmethod
-    def _all(state) -> list[str]:
-        return [r[0] for r in state.get()] if state.exists() else []
+        if self.begun[0] != key:
+            self.begun = (key, {})
+        for search in initialState.searches:
+            for url in search["aside"]:
+                self.seen.updateValue((search["search_id"], url), (1,))
+            if search["state"] is not None:
+                self.searches.updateValue((search["search_id"],), (search["state"],))
+                self.begun[1][search["search_id"]] = search["state"]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        commands = {row.command_id: row.book for row in rows}
-        if self.run.exists():
+        # what was stored for this key a moment ago need not be read again
+        begun = self.begun[1] if self.begun[0] == key else {}
+        self.begun = (None, {})
+        asked: dict[str, dict[str, str]] = {}
+        for row in rows:
+            asked.setdefault(row.search_id, {})[row.command_id] = row.book
+        for search, commands in asked.items():
+            known = begun.get(search) or (self.searches.getValue((search,)) or (None,))[0]
+            if known is None:
+                continue
+            state, moved = json.loads(known), False
             for command in sorted(commands):
-                yield from self._carry_out(key[0], command, {(p["month"], p["offset"]): p for p in commands[command] or ()})
-
-    def _carry_out(self, search: str, command: str, book: dict) -> Iterator[Row]:
-        month, offset, pages, skipped, asked, status, last, answered = self.run.get()
-        windows, max_articles, max_pages = self.limits.get()
-        if status in ("discovery_complete", "failed") or (answered and last == command):
-            return
-        waiting, prints = self._all(self.pending), self._all(self.prints)
+                book = {(p.get("month"), p.get("offset")): p for p in json.loads(commands[command] or "[]")}
+                batch = self._carry_out(search, command, book, state)
+                if batch is None:
+                    continue
+                moved = True
+                for position, url in enumerate(batch):
+                    yield Row(search_id=search, command_id=command, job_id=state["job_ids"][-1], position=position, url=url)
+            if moved:
+                self._store(search, state)
+
+    def _store(self, search: str, state: dict) -> None:
+        if len(state["seen"]) > self.held:
+            for url in state["seen"]:
+                self.seen.updateValue((search, url), (1,))
+            state.update(seen=[], more_seen=True)
+        self.searches.updateValue((search,), (json.dumps(state, ensure_ascii=False),))
+
+    def _carry_out(self, search: str, command: str, book: dict, state: dict) -> list[str] | None:
+        """The URLs of the job that a command emits, ``state`` moved on; None where the command leaves the search as it is."""
+        month, offset, windows, max_articles = (state[name] for name in ("month", "offset", "windows", "max_articles"))
+        if state["status"] in ("discovery_complete", "failed") or (state["answered"] and state.get("last_command_id") == command):
+            return None
+        waiting, prints, seen = state["pending"], state["fingerprints"], set(state["seen"])
         kept: dict[str, None] = {}
         unused: dict[str, None] = {}
+
+        def fresh(url: str) -> bool:
+            known = url in seen or url in kept or url in unused
+            return not known and not (state["more_seen"] and self.seen.containsKey((search, url)))
+
         repeats, read, hits = [], 0, 0
-        while month < len(windows) and read < max_pages and len(waiting) + len(kept) < max_articles:
+        while month < len(windows) and read < state["max_pages"] and len(waiting) + len(kept) < max_articles:
             page = book.get((month, offset))
-            if page is None or page["error_code"] is not None:
-                return  # not captured, or failed: the search stays where it was
-            found = dict.fromkeys(u for u in page["urls"] if u not in kept and u not in unused and not self.seen.containsKey((u,)))
+            if page is None or page.get("error_code") is not None:
+                return None  # not captured, or failed: the search stays where it was
+            found = dict.fromkeys(u for u in page["urls"] if fresh(u))
             mark = hashlib.sha256("\n".join(found).encode()).hexdigest()
             again = mark in prints
             (unused if again else kept).update(found)
@@ -267,40 +306,45 @@ class _Discovery(StatefulProcessor):
         urls = [*waiting, *kept]
         batch, rest = urls[:max_articles], urls[max_articles:]
         complete = month >= len(windows) and not rest
-        self.run.update((
-            month, offset, pages + read, skipped + hits - len(kept) - len(unused), asked + read,
-            "discovery_complete" if complete else "ready", command, True,
-        ))
-        for url in (*kept, *unused):
-            self.seen.updateValue((url,), (1,))
-        for state, values in ((self.pending, rest), (self.prints, prints)):
-            state.clear()
-            if values:
-                state.put([(v,) for v in values])
-        if repeats:
-            self.warnings.appendList([(r,) for r in repeats])
-        if batch:
-            job = hashlib.md5(f"{search}|{command}".encode()).hexdigest()
-            self.jobs.appendValue((job,))
-            for position, url in enumerate(batch):
-                yield Row(search_id=search, command_id=command, job_id=job, position=position, url=url)
+        job = [hashlib.md5(f"{search}|{command}".encode()).hexdigest()] if batch else []
+        state.update(
+            month=month, offset=offset, pages=state["pages"] + read, skipped=state["skipped"] + hits - len(kept) - len(unused),
+            requests_attempted=state["requests_attempted"] + read, status="discovery_complete" if complete else "ready", last_command_id=command,
+            answered=True, pending=rest, fingerprints=prints, job_ids=[*state["job_ids"], *job], warnings=[*state["warnings"], *repeats],
+            seen=[*state["seen"], *kept, *unused],
+        )
+        return batch
 
     def close(self) -> None:
         pass
 
 
-def discovered_on_stream(commands: DataFrame, runs: DataFrame, books: DataFrame, seen: DataFrame) -> DataFrame:
+def discovered_on_stream(
+    commands: DataFrame, runs: DataFrame, books: DataFrame, seen: DataFrame, buckets: int = SEARCH_BUCKETS, held: int = HELD
+) -> DataFrame:
     """Resumable discovery on a stream of commands (search_id, command_id): the URLs of each job that a command emits.
 
-    ``runs`` and ``seen`` are the state to start from; afterwards the state lives in the stream's state store, one search per key, and no
+    ``runs`` and ``seen`` are the state to start from; afterwards the state lives in the stream's state store, one entry per search, and no
     table is rewritten. ``books`` (see :func:`pressroom.operators.search.search_books`) holds the captured pages per search. Commands of one search in one micro-batch are carried out in order of
-    command_id. A command that comes again right after it was answered, or after its search has ended, emits nothing.
+    command_id. A command that comes again right after it was answered, or after its search has ended, emits nothing. A row of the start state holds what its search has seen, as a
+    book holds what was captured for it.
     """
-    known = seen.select("search_id", F.col("url").alias("seen_url")).filter("seen_url IS NOT NULL")
-    start = search_limits(runs).withColumn("answered", F.col("last_result").isNotNull()).select(
-        "search_id", F.lit(None).cast("string").alias("seen_url"), "month", "offset", "pages", "skipped", "requests_attempted", "status", "last_command_id",
-        "answered", "windows", "max_articles", "max_pages", "pending", "fingerprints", "job_ids", "warnings",
-    )
-    initial = start.unionByName(known, allowMissingColumns=True).groupBy("search_id")
+    hashed = F.xxhash64("search_id")
+    bucket = F.pmod(hashed, F.lit(buckets)).cast("int").alias("bucket")
+    known = seen.select("search_id", F.col("url").alias("_url")).filter("_url IS NOT NULL")
+    limits = search_limits(runs).withColumn("answered", F.col("last_result").isNotNull())
+    run = F.struct(*[name for name in StructType.fromDDL(SEARCH_STATE).names if name not in ("seen", "more_seen")])
+    start = limits.select("search_id", F.when(F.col("status").isNotNull(), run).alias("_run")).unionByName(known, allowMissingColumns=True)
+    start = start.groupBy("search_id").agg(F.first("_run", ignorenulls=True).alias("_run"), F.collect_set("_url").alias("_seen"))
+    # URLs that the row of a search can't hold, or that belong to none, get entries of their own
+    many = F.col("_run").isNull() | (F.size("_seen") > held)
+    none = F.expr("CAST(array() AS array<string>)")
+    state = F.struct("_run.*", F.when(many, none).otherwise(F.col("_seen")).alias("seen"), many.alias("more_seen"))
+    search = F.struct("search_id", F.when(F.col("_run").isNotNull(), F.to_json(state)).alias("state"), F.when(many, F.col("_seen")).otherwise(none).alias("aside"))
+    # rows of the start state hold about SEARCH_SLICE searches, however many there are: the rows of a bucket are cut by their order
+    cut = F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("_hash")) - 1) / SEARCH_SLICE).alias("_slice")
+    rows = start.select(bucket, hashed.alias("_hash"), search.alias("_search")).select("bucket", cut, "_search")
+    initial = rows.groupBy("bucket", "_slice").agg(F.collect_list("_search").alias("searches")).drop("_slice").groupBy("bucket")
     asked = commands.select("search_id", "command_id").join(books, "search_id", "left")
-    return asked.groupBy("search_id").transformWithState(_Discovery(), StructType.fromDDL(ITEMS), "Append", "None", initial)
+    asked = asked.select(bucket, "search_id", "command_id", F.to_json("book").alias("book"))
+    return asked.groupBy("bucket").transformWithState(_Discovery(held), StructType.fromDDL(ITEMS), "Append", "None", initial)

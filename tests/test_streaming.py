@@ -321,3 +321,59 @@ def test_a_job_that_completes_at_once_stores_no_position():
     job.counts, job.ended = Value(), Map()
     assert list(job.handleInputRows((2,), iter(rows[:3]), None)) == [] and set(job.ended) == {(0,), (1,)}
     assert [r.completed for r in job.handleInputRows((2,), iter(rows), None)] == [3] and not job.ended
+
+
+def test_discovery_reads_and_writes_a_search_once():
+    """A micro-batch costs a search one read and one write of the state store, however many URLs it finds; a search that was just begun is not read again."""
+    import json
+
+    from pyspark.sql import Row
+    from pressroom.streaming.state import _Discovery
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    def page(month, offset, urls, has_next):
+        return {"month": month, "offset": offset, "has_next": has_next, "hits": len(urls), "urls": urls}
+
+    pages = [page(0, 0, [f"u{n}" for n in range(10)], True), page(0, 10, [f"u{n}" for n in range(5, 15)], False), page(1, 0, ["u1", "u3", "u20"], False)]
+    state = {
+        "month": 0, "offset": 0, "pages": 0, "skipped": 0, "requests_attempted": 0, "status": "ready", "answered": False, "windows": ["2024-04", "2024-05"],
+        "max_articles": 12, "max_pages": 1, "pending": [], "fingerprints": [], "job_ids": [], "warnings": [], "seen": ["u1"], "more_seen": False,
+    }
+    begin = Row(searches=[{"search_id": "s", "state": json.dumps(state), "aside": []}, {"search_id": "t", "state": None, "aside": ["u1"]}])
+
+    def run(held):
+        search = _Discovery(held)
+        search.searches, search.seen = Map(), Map()
+        search.handleInitialState((3,), begin, None)
+        found = []
+        for command in ("c1", "c2", "c3", "c3", "c4"):
+            before = search.searches.calls
+            asked = [Row(search_id=s, command_id=command, book=json.dumps(pages)) for s in ("s", "t")]
+            found += [(r.search_id, r.command_id, r.position, r.url) for r in search.handleInputRows((3,), iter(asked), None)]
+            assert search.searches.calls - before <= 3
+        return found, search
+
+    found, search = run(1000)
+    urls = [f"u{n}" for n in (0, *range(2, 15), 20)]
+    assert [u for _, _, _, u in found] == urls and {s for s, _, _, _ in found} == {"s"}
+    assert search.seen.calls == 1  # that of the search without a run
+    kept = json.loads(search.searches[("s",)][0])
+    assert sorted(kept["seen"]) == sorted(["u1", *urls]) and kept["status"] == "discovery_complete"
+    # seen URLs that no longer fit the row of their search are known all the same
+    again, moved = run(2)
+    assert again == found
+    assert {u for s, u in moved.seen if s == "s"} | set(json.loads(moved.searches[("s",)][0])["seen"]) == {"u1", *urls}
