@@ -34,6 +34,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# so many rows are grouped in one task where a query sizes its tasks by rows
+ROWS_PER_TASK = 250_000
+
+
+def tasks_for(df: DataFrame, rows: int = ROWS_PER_TASK) -> int:
+    """Tasks of about ``rows`` rows for a table, as many as there are shuffle partitions at least. Counting Parquet files reads their footers only."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the order. Spark limits each key to one row per task before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)

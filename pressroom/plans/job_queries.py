@@ -35,6 +35,7 @@ from ..operators.metrics import (
     search_totals,
 )
 from ..operators.search import progress_by_month, progress_rollup, search_position
+from ..operators.skew import tasks_for
 from ..sources.sinks import insert_ignore, upsert_latest
 from .catalog import query, table
 
@@ -202,10 +203,12 @@ def search_progress(spark, folder):
     SELECT o_orderkey AS search_id, month, sum(n)::BIGINT AS n FROM orders JOIN m ON job_id IN (o_orderkey, o_orderkey + 1) GROUP BY 1, 2"""
 )
 def search_progress_by_month(spark, folder):
-    months = table(spark, folder, "lineitem").groupBy(
-        F.col("l_orderkey").alias("job_id"), F.date_format("l_shipdate", "yyyy-MM").alias("month")
-    ).agg(F.count("*").alias("n"))
-    return progress_by_month(_runs(spark, folder), months)
+    lines = table(spark, folder, "lineitem")
+    tasks = tasks_for(lines)
+    # a task that reads a large file would count its months in one table in memory, so lines are sent to their job first
+    dated = lines.select(F.col("l_orderkey").alias("job_id"), F.date_format("l_shipdate", "yyyy-MM").alias("month")).repartition(tasks, "job_id")
+    months = dated.groupBy("job_id", "month").agg(F.count("*").alias("n"))
+    return progress_by_month(_runs(spark, folder), months, tasks)
 
 
 @query(

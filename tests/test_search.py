@@ -274,3 +274,20 @@ def test_replay_plan_does_not_repeat_the_walk(spark, small):
 
     plan = QUERIES["advance_replay"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") < 10
+
+
+def test_progress_by_month_sizes_its_tasks_by_rows(spark, small):
+    """Every shuffle has as many tasks as the lines ask for, and no task counts the months of a whole file before one."""
+    from pressroom.operators.search import progress_by_month
+    from pressroom.operators.skew import tasks_for
+    from pressroom.plans import QUERIES
+
+    runs = spark.createDataFrame([("a", [1, 2]), ("b", [2, 3, None]), ("c", [])], "search_id string, job_ids array<int>")
+    months = spark.createDataFrame([(1, "2024-01", 2), (2, "2024-01", 3), (2, None, 1), (4, "2024-02", 5), (None, "2024-01", 9)], "job_id int, month string, n long")
+    out = progress_by_month(runs, months, 7)
+    expected = [("a", "2024-01", 5), ("a", None, 1), ("b", "2024-01", 3), ("b", None, 1)]
+    assert out.rdd.getNumPartitions() == 7
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, progress_by_month(runs, months).collect()), key=str) == sorted(expected, key=str)
+    assert tasks_for(spark.range(1000), rows=100) == 10 and tasks_for(spark.range(10), rows=100) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = QUERIES["search_progress_by_month"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
