@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .shared import fresh, text_of
+from .shared import Texts, fresh, text_of
 
 BUDGET = 32 * 1024 * 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -162,9 +162,12 @@ def _owner_tries(keep: str):
 
 @arrow_udf(CONTENT_KEY)
 def content_key(texts: pa.Array) -> pa.Array:
-    keys = [(t.as_py() or "").encode().translate(LOWER) for t in texts]
-    shas = pa.array([hashlib.sha256(k).hexdigest() for k in keys], pa.string())
-    return pa.StructArray.from_arrays([pa.array([len(k) for k in keys], pa.int64()), shas], ["length", "sha"])
+    lengths, shas = [], []
+    for t in Texts(texts):
+        key = (t or "").encode().translate(LOWER)
+        lengths.append(len(key))
+        shas.append(hashlib.sha256(key).hexdigest())
+    return pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.array(shas, pa.string())], ["length", "sha"])
 
 
 def text_owners(docs: DataFrame, keep: str = "max", budget: int = BUDGET) -> DataFrame:

@@ -10,7 +10,7 @@ greedily, whole where it fits and cut where it doesn't.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import Remembered, text_of
 
 WINDOW = 4096
 BINS = 32
@@ -31,6 +31,14 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 # ---- encoding
 
 
+class Words(Remembered):
+    """Ids of each token of a text."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.work_out = encode
+
+
 class WordEncoder:
     """Token ids, as little-endian unsigned 32-bit bytes, of a word-level BPE file for the tokenizers library.
 
@@ -38,7 +46,6 @@ class WordEncoder:
     space and never merges across it. Any other text goes through the library whole. Both give the library's ids.
     """
 
-    WORDS = 500_000
     # Latin-1 bytes that a plain text has none of: controls but tab and line feeds, the no-break blank, the soft hyphen
     ODD = bytes(b for b in range(256) if b < 32 and b not in (9, 10, 13) or 127 <= b <= 160 or b == 173)
     loaded: dict[int, WordEncoder] = {}
@@ -50,7 +57,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(config)
         self.model = self.tokenizer.model
         self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self._word)
         self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in set(printable)]
@@ -67,9 +74,6 @@ class WordEncoder:
         """Ids of one token of a text; the words inside it are remembered too, whatever signs are around them."""
         pieces = [word] if word.isalpha() else self.piece.findall(word)
         if len(pieces) > 1:
-            for p in pieces:
-                if p not in self.words:
-                    self.words[p] = self._word(p)
             return b"".join([self.words[p] for p in pieces])
         shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
         return b"".join([self.coded[t.id] for t in self.model.tokenize(shown)])
@@ -84,17 +88,7 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not self._plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        tokens = text.lower().split()
-        words = self.words
-        try:
-            return b"".join([words[t] for t in tokens])
-        except KeyError:
-            if len(words) > self.WORDS:
-                words.clear()
-            for t in tokens:
-                if t not in words:
-                    words[t] = self._word(t)
-            return b"".join([words[t] for t in tokens])
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 # ---- packing one block

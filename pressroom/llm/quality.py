@@ -14,12 +14,12 @@ from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from .shared import fresh, labelled_sample, remainder, text_of
+from .shared import Remembered, Texts, fresh, labelled_sample, remainder, text_of
 from .toxicity import isotonic, scorer
 
 SAMPLE_ROWS = 12_000
@@ -30,16 +30,11 @@ STAT_VALUE = 0.4
 STATS = 15
 
 
-class Hashes(dict):
-    """Hash of each word, remembered while they are few."""
+class Hashes(Remembered):
+    """Hash of each word."""
 
-    MOST = 300_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.MOST:
-            self.clear()
-        self[word] = zlib.crc32(word.encode("utf-8", "replace")) % HASHED
-        return self[word]
+    def work_out(self, word: str) -> int:
+        return zlib.crc32(word.encode("utf-8", "replace")) % HASHED
 
 
 HASHES = Hashes()
@@ -144,10 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, holdout: Sequence[int] = (3, 1), r
     calibrates the margins. With no usable label every score is 1, so nothing is rejected; with labels of one kind only, that label.
     """
 
-    @pandas_udf("struct<words: binary, stats: array<double>>")
-    def described(texts: pd.Series) -> pd.DataFrame:
-        found = [describe(t) for t in texts]
-        return pd.DataFrame({"words": [w.tobytes() for w, _ in found], "stats": [s for _, s in found]})
+    @arrow_udf("struct<words: binary, stats: array<double>>")
+    def described(texts: pa.Array) -> pa.Array:
+        found = [(w.tobytes(), s) for w, s in map(describe, Texts(texts))]
+        columns = [pa.array([w for w, _ in found], pa.binary()), pa.array([s for _, s in found], pa.list_(pa.float64()))]
+        return pa.StructArray.from_arrays(columns, ["words", "stats"])
 
     sample = labelled_sample(docs, labels, label, holdout, rows)
     table = sample.select("doc_id", "label", described("text").alias("d")).groupBy("doc_id").agg(F.min(F.struct("label", "d")).alias("r"))

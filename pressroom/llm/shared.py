@@ -1,10 +1,12 @@
-"""What the operators of this subpackage share: reading tables, null handling, labelled samples."""
+"""What the operators of this subpackage share: reading tables, null handling, labelled samples, and what a Python worker holds."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,40 @@ def work_path(spark: SparkSession, stem: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+class Texts:
+    """The texts of an Arrow array, read one at a time: a batch of Spark's may hold 10,000 of them."""
+
+    def __init__(self, column: pa.Array):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __iter__(self) -> Iterator[str | None]:
+        return (t.as_py() for t in self.column)
+
+
+class Remembered(dict):
+    """What ``work_out`` gives for each word. Words of ``LONGEST`` characters at most are remembered, and all forgotten when there are ``MOST``.
+
+    A Python worker lives as long as its executor, so what it remembers is bounded in words and in their length, to some 60 MB at most.
+    """
+
+    MOST = 100_000
+    LONGEST = 64
+
+    def work_out(self, word: str) -> Any:
+        raise NotImplementedError
+
+    def __missing__(self, word: str) -> Any:
+        value = self.work_out(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = value
+        return value
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """CRC32 of the decimal text of ``doc_id``, modulo ``modulus``; -1 for a null, which no fold takes."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1)).cast("int")

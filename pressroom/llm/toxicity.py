@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from .shared import fresh, labelled_sample, remainder, text_of
+from .shared import Remembered, Texts, fresh, labelled_sample, remainder, text_of
 
 # Insults and slurs of the mild kind, by language.
 INSULTS = {
@@ -62,16 +62,14 @@ class Lexicon:
         return max(self.words.get(word, 0.0), self.prefixes.get(word[:PREFIX], 0.0))
 
 
-class Tokens(dict):
-    """Bits of each token of a text, worked out once per token and remembered while they are few."""
-
-    MOST = 300_000
+class Tokens(Remembered):
+    """Bits of each token of a text."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, token: str) -> int:
+    def work_out(self, token: str) -> int:
         parts = WORD.findall(token.lower())
         bits = 0
         for p in parts:
@@ -81,9 +79,6 @@ class Tokens(dict):
         if len(token) > 2 and MASKED.search(token):
             plain = token.lower().strip(".,;:!?()\"'").translate(HIDDEN)
             bits |= HID | UNCOVERED * (plain in self.lexicon.fixed or self.lexicon.weight(plain) > 0)
-        if len(self) > self.MOST:
-            self.clear()
-        self[token] = bits
         return bits
 
 
@@ -261,10 +256,10 @@ def train(docs: DataFrame, labels: DataFrame, holdout: Sequence[int] = (5, 0), r
     sample = labelled_sample(docs, labels, label, holdout, rows)
     lexicon = learn_lexicon(sample)
 
-    @pandas_udf("array<double>")
-    def dense(texts: pd.Series) -> pd.Series:
+    @arrow_udf("array<double>")
+    def dense(texts: pa.Array) -> pa.Array:
         tokens = Tokens(lexicon)
-        return texts.map(lambda t: features(t, tokens))
+        return pa.array([features(t, tokens) for t in Texts(texts)], pa.list_(pa.float64()))
 
     table = sample.select("doc_id", "label", dense("text").alias("x")).groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r"))
     got = table.select("doc_id", "r.label", "r.x").orderBy("doc_id").toPandas()
@@ -284,9 +279,9 @@ def train(docs: DataFrame, labels: DataFrame, holdout: Sequence[int] = (5, 0), r
 def scorer(model):
     """A column function from text to score; the model has a few hundred words and a few thousand numbers."""
 
-    @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.tolist()))
+    @arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(Texts(texts)), pa.float64())
 
     return score
 

@@ -1,12 +1,16 @@
 import random
+import sys
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pressroom.llm import ann, quality, toxicity
+from pressroom.llm import ann, packing, quality, toxicity
 from pressroom.llm.shared import labelled_sample, remainder
 
 MIDDLE = "/root/testdata/sf0.1"
@@ -88,6 +92,41 @@ def test_hidden_words_count(spark):
     assert plain[6] > 0 and hidden[14] > 0 and clean[6] == clean[14] == 0 and plain[8] > 0
 
 
+# ---- memory of a Python worker
+
+
+def two_models():
+    size = quality.HASHED + quality.STATS * quality.BINS
+    steps = np.array([-1.0, 1.0]), np.array([0.0, 1.0])
+    machine = quality.FactorMachine(0.0, [np.arange(11.0)] * quality.STATS, np.ones(size), np.ones((size, quality.RANK)), steps)
+    tree = toxicity.Tree(np.zeros(7, int), np.ones(7), np.arange(8.0), 3)
+    return machine, toxicity.ToxicityModel(toxicity.Lexicon(), 0.0, [tree], steps)
+
+
+@pytest.mark.parametrize("model", two_models(), ids=["quality", "toxicity"])
+def test_texts_of_a_batch_are_read_one_at_a_time(spark, model):
+    texts = ["x" * 250_000] * 128 + [None, ""]
+    batch = pa.array(texts)
+    score = toxicity.scorer(model).func
+    tracemalloc.start()
+    got = score(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+    assert list(got.to_pylist()) == model.score(texts).tolist()
+
+
+def test_what_a_worker_remembers_is_bounded():
+    encoder = packing.WordEncoder(packing.tokenizer_config(public_tokenizers.path("word_bpe_49k.json")))
+    for remembered, use in ((h := quality.Hashes(), h.__getitem__), (t := toxicity.Tokens(toxicity.Lexicon()), t.__getitem__), (encoder.words, encoder.encode)):
+        for i in range(250_000):
+            use(f"w{i}")
+        for i in range(60):
+            use(f"{i}" + "x" * 20_000)
+        assert len(remembered) <= 100_000
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in remembered.items()) < 20e6
+
+
 # ---- nearest neighbours
 
 
