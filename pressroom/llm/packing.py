@@ -10,8 +10,9 @@ greedily, whole where it fits and cut where it doesn't.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,35 +20,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Remembered, text_of
+from .shared import Remembered, Texts, text_of
 
 WINDOW = 4096
 BINS = 32
 PARTS = 4
 BLOCK_TOKENS = 8_000_000
+TOGETHER = 4_000_000  # characters of texts that are encoded together
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 # ---- encoding
 
 
-class Words(Remembered):
-    """Ids of each token of a text."""
-
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.work_out = encode
-
-
 class WordEncoder:
     """Token ids, as little-endian unsigned 32-bit bytes, of a word-level BPE file for the tokenizers library.
 
-    A text of plain Latin-1 characters is cut at white space, and words are encoded once and remembered: this tokenizer drops white
-    space and never merges across it. Any other text goes through the library whole. Both give the library's ids.
+    Texts of plain Latin-1 characters are cut together into the pieces that the file's pattern gives, and the library encodes each distinct
+    piece once: this tokenizer drops white space and never merges across a cut. Any other text goes through the library whole. Both give the
+    library's ids. Pieces that occur again among the same texts are remembered for the next ones, as many as ``Remembered`` allows.
     """
 
     # Latin-1 bytes that a plain text has none of: controls but tab and line feeds, the no-break blank, the soft hyphen
     ODD = bytes(b for b in range(256) if b < 32 and b not in (9, 10, 13) or 127 <= b <= 160 or b == 173)
+    LOWER = bytes(chr(b).lower().encode("latin-1")[0] for b in range(256))
+    SPACE, LETTER, NUMBER, SIGN = range(4)
     loaded: dict[int, WordEncoder] = {}
 
     def __init__(self, config: str):
@@ -56,8 +53,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(config)
         self.model = self.tokenizer.model
-        self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.words = Words(self._word)
+        kinds = regex.compile(r"(\s)|(\p{L})|(\p{N})|([^\s\p{L}\p{N}])", regex.DOTALL)
+        self.kind = np.array([kinds.match(chr(b)).lastindex - 1 for b in range(256)], np.uint8)
+        self.words: dict[bytes, bytes] = {}
         self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in set(printable)]
@@ -70,25 +68,80 @@ class WordEncoder:
             cls.loaded[key] = cls(config)
         return cls.loaded[key]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one token of a text; the words inside it are remembered too, whatever signs are around them."""
-        pieces = [word] if word.isalpha() else self.piece.findall(word)
-        if len(pieces) > 1:
-            return b"".join([self.words[p] for p in pieces])
+    def _word(self, piece: bytes) -> bytes:
+        word = piece.decode("latin-1")
         shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
         return b"".join([self.coded[t.id] for t in self.model.tokenize(shown)])
 
-    def _plain(self, text: str) -> bool:
+    def _plain(self, text: str) -> bytes | None:
+        """The text in lower case, as Latin-1; None if it isn't plain."""
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        return len(raw.translate(None, self.ODD)) == len(raw) and "<|" not in text
+            return None
+        return raw.translate(self.LOWER) if len(raw.translate(None, self.ODD)) == len(raw) and "<|" not in text else None
+
+    def _heads(self, raw: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Where the pieces ``'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+`` begin; ``raw`` ends in three blanks."""
+        head = kind == self.NUMBER
+        head[1:] |= kind[1:] != kind[:-1]
+        head[0] = True
+        head &= kind != self.SPACE
+        mark = np.flatnonzero(raw == ord("'"))
+        if mark.size:
+            mark = mark[head[mark]]
+            after, second = raw[mark + 1], raw[mark + 2]
+            short = np.isin(after, np.frombuffer(b"stmd", np.uint8))
+            long = ((after == ord("r")) | (after == ord("v"))) & (second == ord("e")) | (after == ord("l")) & (second == ord("l"))
+            for found, size in ((mark[short], 2), (mark[long], 3)):
+                head[found + 1] = False
+                head[found + size] |= kind[found + size] == self.LETTER
+        return np.flatnonzero(head)
+
+    def _codes(self, pieces: pa.DictionaryArray) -> list[bytes]:
+        """Ids of each distinct piece."""
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = [self._word(p) if c is None else c for p, c in zip(distinct, map(self.words.get, distinct), strict=True)]
+        often = np.bincount(pieces.indices.to_numpy(), minlength=len(distinct)).tolist()
+        again = ((p, c) for p, c, n in zip(distinct, codes, often, strict=True) if n > 1 and len(p) <= Remembered.LONGEST)
+        seen = dict(islice(again, Remembered.MOST))
+        if len(self.words) + len(seen) > Remembered.MOST and len(self.words.keys() | seen.keys()) > Remembered.MOST:
+            self.words.clear()
+        self.words.update(seen)
+        return codes
+
+    def _encode_plain(self, texts: list[bytes]) -> list[bytes]:
+        raw = np.frombuffer(b" ".join(texts) + b"   ", np.uint8)
+        kind = self.kind[raw]
+        heads = self._heads(raw, kind)
+        shown = kind != self.SPACE
+        offsets = np.zeros(len(heads) + 1, np.int32)
+        np.cumsum(np.add.reduceat(shown, heads, dtype=np.int32), out=offsets[1:])
+        pieces = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(raw[shown])]).dictionary_encode()
+        codes = self._codes(pieces)
+        ids = np.frombuffer(b"".join(codes), "<u4")
+        sizes = np.fromiter(map(len, codes), np.int32, len(codes)) // 4
+        which = pieces.indices.to_numpy()
+        until = np.zeros_like(offsets)
+        np.cumsum(sizes[which], dtype=np.int32, out=until[1:])
+        places = np.arange(until[-1], dtype=np.int32)
+        places += np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[which] - until[:-1], sizes[which])
+        out = ids[places]
+        # a text begins where the texts before it and the blanks between them end
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = until[np.searchsorted(heads, begins)].tolist()
+        return [out[a:b].tobytes() for a, b in pairwise(cuts)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        plain = [self._plain(t) for t in texts]
+        done = iter(self._encode_plain([p for p in plain if p is not None]))
+        return [
+            next(done) if p is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            for t, p in zip(texts, plain, strict=True)
+        ]
 
     def encode(self, text: str) -> bytes:
-        if not self._plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return self.encode_all([text])[0]
 
 
 # ---- packing one block
@@ -223,6 +276,18 @@ def _packer(config: str, end_id: int, window: int, block_tokens: int):
                 yield ids[d], start, length, codes[d][4 * start : 4 * (start + length)], len(codes[d]) // 4, first + n, offset
                 offset += length
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+        some, texts, size = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), Texts(batch.column(1)), strict=True):
+                some.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size >= TOGETHER:
+                    yield some, texts
+                    some, texts, size = [], [], 0
+        yield some, texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(config)
         following = TaskContext.get().partitionId() << 40
@@ -247,10 +312,10 @@ def _packer(config: str, end_id: int, window: int, block_tokens: int):
             codes.clear()
             held = 0
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for some, texts in together(batches):
+            for doc_id, code in zip(some, encoder.encode_all(texts), strict=True):
                 ids.append(doc_id)
-                codes.append(encoder.encode(text.as_py()) + end)
+                codes.append(code + end)
                 held += len(codes[-1]) // 4
                 if held >= block_tokens:
                     yield from flush()
@@ -273,7 +338,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = W
     powers of two, so nothing is padded. Repeated rows, and rows without doc_id, are documents of their own; which of them
     a piece is from shows in nothing but its ids. An empty table gives no sequence.
 
-    A task holds one block of ``block_tokens`` tokens (4 bytes each) or one longer document; block borders fall between documents.
+    A task holds one block of ``block_tokens`` tokens (4 bytes each) or one longer document, and ``TOGETHER`` characters of texts or one longer
+    text that it encodes; block borders fall between documents.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(_packer(tokenizer_config(tokenizer), end_id, window, block_tokens), PIECES)

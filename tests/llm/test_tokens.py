@@ -2,9 +2,11 @@ import random
 import re
 import time
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
@@ -32,6 +34,63 @@ def test_words_encode_as_the_library_does():
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_texts_that_are_encoded_together_give_the_ids_of_the_library():
+    draw = random.Random(4)
+    signs = ["".join(draw.choice("'''srtvelmd5.é SLEV\t\r\nÞµªº½²×") for _ in range(draw.randrange(40))) for _ in range(3000)]
+    texts = ["it's", "'s", "'re", "'l", "'", "''s", "x'", "'sam", "5's't", ".'ve", *HARD, *mixed(6, 1000), *signs]
+    draw.shuffle(texts)
+    encoder, library = packing.WordEncoder(packing.tokenizer_config(WORDS)), Tokenizer.from_file(WORDS)
+    for _ in range(2):  # the second time with words remembered
+        for t, ids in zip(texts, encoder.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert encoder.words and encoder.encode_all([]) == []
+
+
+class Counted:
+    """A model that counts its calls."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def tokenize(self, word):
+        self.calls += 1
+        return self.model.tokenize(word)
+
+
+@pytest.fixture
+def one_task(monkeypatch):
+    """Runs the packer on rows in this process, with an encoder of its own."""
+    config = packing.tokenizer_config(WORDS)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing.WordEncoder, "loaded", {})
+
+    def run(texts, block_tokens=packing.BLOCK_TOKENS):
+        encoder = packing.WordEncoder.of(config)
+        encoder.model = counted = Counted(encoder.tokenizer.model)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        batches = [batch.slice(i, 7) for i in range(0, len(texts), 7)]
+        return [r for b in packing._packer(config, 2, 4096, block_tokens)(iter(batches)) for r in b.to_pylist()], counted.calls
+
+    return run
+
+
+def test_words_of_texts_that_are_encoded_together_are_worked_out_once(one_task):
+    draw = random.Random(7)
+    words = list({"".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(120_000)})
+    lines = [" ".join(w + draw.choice(["", ",", ".", ");"]) for w in words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    rows, calls = one_task(lines + lines)
+    assert calls <= len(words) + 3
+    assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+
+
+def test_texts_are_packed_alike_however_many_are_encoded_together(one_task, monkeypatch):
+    texts = HARD + mixed(8, 400) + ["many words " * 3000, ""]
+    whole, _ = one_task(texts, 1500)
+    for size in (1, 500):
+        monkeypatch.setattr(packing, "TOGETHER", size)
+        assert one_task(texts, 1500)[0] == whole
+
+
 @pytest.mark.parametrize("lengths", [[], [5], [4096] * 3, [3000] * 400, [1] * 5000, [random.Random(2).randrange(1, 9000) for _ in range(900)]])
 def test_packing_is_whole_and_full(lengths):
     sequences = packing.pack(lengths)
