@@ -1,6 +1,6 @@
 """Keyed state on streams: job completion, lease expiry, politeness and discovery.
 
-Each processor keeps a few numbers per key, or what some searches have found, and reads its rows one after the other or, for politeness, as arrays.
+Each processor keeps a few numbers per key, or what is known of some jobs or searches, and reads its rows one after the other or, for jobs and politeness, as arrays.
 """
 
 from __future__ import annotations
@@ -8,14 +8,15 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators.jobs import MAX_ATTEMPTS
 from ..operators.search import PAGE_SIZE, REPEATED_PAGE, search_limits
@@ -23,6 +24,12 @@ from ..operators.search import PAGE_SIZE, REPEATED_PAGE, search_limits
 
 # a job whose items have been quiet for a week is forgotten
 JOB_SECONDS = 7 * 24 * 3600
+# jobs share a key of the stream by the hash of their id; a checkpoint keeps the number that it began with
+JOB_BUCKETS = 2048
+# so many rows of a bucket are counted together, or a quarter of the positions known of it
+JOB_ROWS = 200_000
+# pandas has no later times; only a watermark that is past it is held back
+LAST_TIME = dt.datetime(2262, 1, 1)
 
 
 def _struct(**fields) -> StructType:
@@ -97,20 +104,141 @@ class _JobCompletion(StatefulProcessor):
         pass
 
 
-def completed_jobs(outcomes: DataFrame, time: str | None = None, keep_seconds: int = JOB_SECONDS, late: str = "10 minutes") -> DataFrame:
+JOBS = _struct(jobs=BinaryType(), ended=BinaryType())
+_JOB = np.dtype([("job", np.int64), ("succeeded", np.int64), ("failed", np.int64), ("ends", np.int64), ("total", np.int64), ("done", np.bool_)])
+_ITEM = np.dtype([("job", np.int64), ("position", np.int64), ("blank", np.bool_)])
+# the total of a job that no row of the call names: it can't complete
+_UNKNOWN = 2**63 - 1
+
+
+class _Jobs:
+    """What is known of the jobs of a bucket: their counts, by job, and the positions that have ended of those that are not done. Two arrays, stored as their bytes."""
+
+    def __init__(self, known: tuple[bytes, bytes] | None) -> None:
+        jobs, ended = known or (b"", b"")
+        self.jobs, self.ended = np.frombuffer(jobs, _JOB).copy(), np.frombuffer(ended, _ITEM)
+        self.jobs["total"] = _UNKNOWN
+
+    def stored(self) -> tuple[bytes, bytes]:
+        return self.jobs.tobytes(), self.ended.tobytes()
+
+    def add(self, rows: dict[str, np.ndarray], ends: np.ndarray | None) -> None:
+        """Count rows in their order; ``ends`` is when each lets its job be forgotten."""
+        ids, at = np.unique(rows["job"], return_inverse=True)
+        new = np.zeros(len(ids), _JOB)
+        new["job"] = ids
+        jobs = np.concatenate([self.jobs, new[~np.isin(ids, self.jobs["job"], assume_unique=True)]])
+        self.jobs = jobs = jobs[np.argsort(jobs["job"])]
+        at = np.searchsorted(jobs["job"], ids)[at]
+        jobs["total"][at] = rows["total"]  # of a job's rows the last one counts
+        if ends is not None:
+            np.maximum.at(jobs["ends"], at, ends)
+        going = np.flatnonzero(~jobs["done"][at])
+        items = np.empty(len(going), _ITEM)
+        for name in _ITEM.names:
+            items[name] = rows[name][going]
+        # a stable sort: what is known comes first, then the rows as they came
+        known, items = len(self.ended), np.concatenate([self.ended, items])
+        order = np.lexsort((items["blank"], items["position"], items["job"]))
+        items = items[order]
+        first = np.ones(len(items), np.bool_)
+        first[1:] = items[1:] != items[:-1]
+        self.ended, order = items[first], order[first]
+        fresh = going[order[order >= known] - known]
+        failed = rows["failed"][fresh]
+        np.add.at(jobs["failed"], at[fresh[failed]], 1)
+        np.add.at(jobs["succeeded"], at[fresh[~failed]], 1)
+
+    def finish(self) -> np.ndarray:
+        """The jobs that are complete now. Of their positions nothing is kept."""
+        now = ~self.jobs["done"] & (self.jobs["succeeded"] + self.jobs["failed"] >= self.jobs["total"])
+        self.jobs["done"] |= now
+        self.ended = self.ended[~self._of("done", self.ended["job"])]
+        return self.jobs[now]
+
+    def forget(self, watermark: int) -> None:
+        kept = self.jobs["ends"] >= watermark
+        if not kept.all():
+            self.ended = self.ended[self._of("ends", self.ended["job"]) >= watermark]
+            self.jobs = self.jobs[kept]
+
+    def _of(self, name: str, jobs: np.ndarray) -> np.ndarray:
+        return self.jobs[name][np.searchsorted(self.jobs["job"], jobs)]
+
+
+def _job_buckets(keep_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """:class:`_JobCompletion` for all jobs of a bucket at once, their state in one row."""
+
+    def complete(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        jobs = _Jobs(state.getOption)
+        watermark = max(state.getCurrentWatermarkMs(), 0) if keep_ms else 0
+
+        def add(frames: list[pd.DataFrame]) -> None:
+            rows = {name: np.concatenate([frame[name].to_numpy() for frame in frames]) for name in frames[0].columns}
+            # a row without a time counts as heard of now
+            jobs.add(rows, np.where(np.isnat(rows["at"]), watermark, rows["at_ms"]) + keep_ms if keep_ms else None)
+
+        waiting, n = [], 0
+        for frame in frames:
+            waiting.append(frame)
+            n += len(frame)
+            if n >= max(JOB_ROWS, len(jobs.ended) // 4):
+                add(waiting)
+                waiting, n = [], 0
+        if n:
+            add(waiting)
+        finished = jobs.finish()
+        if keep_ms:
+            jobs.forget(watermark)
+        if len(jobs.jobs):
+            state.update(jobs.stored())
+            if keep_ms:
+                state.setTimeoutTimestamp(int(jobs.jobs["ends"].min()))
+        elif state.exists:
+            state.remove()
+        if len(finished):
+            ids = pd.Series(finished["job"] if key[0] >= 0 else [None] * len(finished), dtype="Int64")
+            succeeded, failed = finished["succeeded"], finished["failed"]
+            yield pd.DataFrame({"job_id": ids, "completed": succeeded + failed, "succeeded": succeeded, "failed": failed})
+
+    return complete
+
+
+def completed_jobs(
+    outcomes: DataFrame, time: str | None = None, keep_seconds: int = JOB_SECONDS, late: str = "10 minutes", buckets: int | None = JOB_BUCKETS
+) -> DataFrame:
     """Emit a job once, when as many of its items have ended as it has (columns job_id, position, status, total).
 
     Items that are queued again or still running do not count. An item that is delivered again does not count again; its
     first outcome stays. A job's positions are kept only until it completes. With the event time of an outcome in the column ``time``, what is known of a job is
     forgotten once the watermark (``late`` behind) is ``keep_seconds`` past its last outcome: the state holds the jobs of that time and not all there
     ever were, and the result is exact as long as outcomes of a job, redelivered ones too, follow each other within it. Without ``time`` everything is kept.
+
+    Jobs share ``buckets`` rows of state, of which a micro-batch reads and writes those that it touches. With ``buckets=None`` a job has entries of its own, at several
+    calls of the state store each: for micro-batches that touch few of very many jobs.
     """
     ended = outcomes.filter("status IN ('success', 'failed')")
-    kept = ["job_id", F.col("position").cast("long").alias("position"), "status", "total"]
+    position = F.col("position").cast("long")
+    if buckets is None:
+        kept = ["job_id", position.alias("position"), "status", "total"]
+        if time is None:
+            return ended.select(*kept).groupBy("job_id").transformWithState(_JobCompletion(None), COMPLETED, "Append", "None")
+        marked = ended.select(*kept, F.col(time).alias("at")).withWatermark("at", late)
+        return marked.groupBy("job_id").transformWithState(_JobCompletion(keep_seconds * 1000), COMPLETED, "Append", "EventTime")
+    # the arrays have no nulls: rows without a job have a bucket of their own, a position that is missing is one more of its job
+    job, total, zero = F.col("job_id").cast("long"), F.col("total").cast("long"), F.lit(0).cast("long")
+    bucket = F.when(job.isNull(), -1).otherwise(F.pmod(F.xxhash64(job), F.lit(buckets)).cast("int"))
+    kept = [
+        bucket.alias("bucket"), F.coalesce(job, zero).alias("job"), F.coalesce(position, zero).alias("position"), position.isNull().alias("blank"),
+        (F.col("status") == "failed").alias("failed"), F.coalesce(total, F.lit(_UNKNOWN)).alias("total"),
+    ]
     if time is None:
-        return ended.select(*kept).groupBy("job_id").transformWithState(_JobCompletion(None), COMPLETED, "Append", "None")
-    marked = ended.select(*kept, F.col(time).alias("at")).withWatermark("at", late)
-    return marked.groupBy("job_id").transformWithState(_JobCompletion(keep_seconds * 1000), COMPLETED, "Append", "EventTime")
+        return ended.select(*kept).groupBy("bucket").applyInPandasWithState(_job_buckets(0), COMPLETED, JOBS, "append", GroupStateTimeout.NoTimeout)
+    at, last = F.col(time), F.lit(LAST_TIME)
+    near = F.when(at > last, last).otherwise(at).alias("at")
+    marked = ended.select(*kept, F.coalesce(F.unix_millis(at), zero).alias("at_ms"), near).withWatermark("at", late)
+    complete = _job_buckets(int(keep_seconds * 1000))
+    return marked.groupBy("bucket").applyInPandasWithState(complete, COMPLETED, JOBS, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 LEASE_EVENT = _struct(id=LongType(), attempts=IntegerType(), status=StringType(), expired_at=TimestampType())

@@ -167,6 +167,114 @@ def test_completed_jobs_are_forgotten(spark, files, tmp_path):
     assert sorted(tuple(r) for r in got) == [(j, 2, 2, 0) for j in range(30)] + [(50, 2, 1, 1), (100, 1, 0, 1)]
 
 
+def outcomes_of_jobs(seed):
+    """Micro-batches of outcomes, and the jobs that they complete. An item comes again with another outcome, but not in the same micro-batch, whose rows have no order."""
+    rng = random.Random(seed)
+    totals = {j: rng.randint(1, 5) for j in [None, *range(400)]}
+    batches, known, done = [], {j: {} for j in totals}, {}
+    for n in range(3):
+        rows, said = [], {}
+        for _ in range(1200):
+            j = rng.choice([*totals, None])
+            position = rng.choice([None, *range(totals[j])]) if totals[j] > 1 else None
+            total = said.setdefault(j, None if rng.random() < 0.1 else totals[j] + (j == 7))
+            ended = said.setdefault((j, position), rng.choice(["success", "success", "failed"]))
+            rows.append((j, position, rng.choice([ended, ended, "queued", None]), total, at(n * 50 + rng.randint(0, 20))))
+        batches.append(rows)
+        last = {}
+        for j, position, status, total, _ in rows:
+            if status in ("success", "failed"):
+                last[j] = total
+                if j not in done:
+                    known[j].setdefault(position, status)
+        for j, total in last.items():
+            if j not in done and total is not None and len(known[j]) >= total:
+                failed = [*known[j].values()].count("failed")
+                done[j] = (j, len(known[j]), len(known[j]) - failed, failed)
+    return batches, done
+
+
+@pytest.mark.parametrize("time", ["at", None])
+def test_jobs_share_rows_of_state(spark, files, tmp_path, time):
+    """However many jobs there are, a micro-batch costs as many rows of state as there are buckets (and one for items without a job)."""
+    with_rocksdb(spark)
+    add, stream = files
+    batches, done = outcomes_of_jobs(3)
+    for rows in batches:
+        add(rows, "job_id bigint, position int, status string, total bigint, at timestamp")
+    rows = run_batches(completed_jobs(stream(), time=time, keep_seconds=3600, buckets=8), tmp_path, "shared")
+    assert max(rows) == 9
+    run_batches(completed_jobs(stream(), time=time, keep_seconds=3600, buckets=None), tmp_path, "apart")
+    shared, apart = ([tuple(r) for r in spark.read.parquet(str(tmp_path / name)).collect()] for name in ("shared", "apart"))
+    assert sorted(shared, key=str) == sorted(apart, key=str) == sorted(done.values(), key=str)
+    assert len(done) > 100 and None in done
+
+
+def test_most_jobs_cost_no_state_of_their_own(spark, files, tmp_path):
+    with_rocksdb(spark)
+    add, stream = files
+    add([(j, p, "success", 2, at(p)) for j in range(6000) for p in range(2)], "job_id bigint, position int, status string, total bigint, at timestamp")
+    rows = run_batches(completed_jobs(stream(), time="at", keep_seconds=3600), tmp_path, "jobs")
+    assert max(rows) < 6000
+    assert spark.read.parquet(str(tmp_path / "jobs")).count() == 6000
+
+
+def test_jobs_with_far_times_and_without(spark, files):
+    with_rocksdb(spark)
+    add, stream = files
+    far = dt.datetime(9999, 12, 31)
+    rows = [(1, 0, "success", 2, far), (1, 1, "success", 2, at(0)), (2, 0, "failed", 1, None), (3, 0, "success", 2, far), (3, 1, "success", 2, None)]
+    add(rows, "job_id bigint, position int, status string, total bigint, at timestamp")
+    got = run_available(spark, completed_jobs(stream(), time="at", keep_seconds=60), "jobs").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 2, 0), (2, 1, 0, 1), (3, 2, 2, 0)]
+
+
+def test_a_bucket_counts_in_parts_as_at_once(monkeypatch):
+    """The rows of a micro-batch are counted some at a time; a job is complete by all of them."""
+    import pandas as pd
+    from pressroom.streaming import state
+
+    class Kept:
+        value, until, exists = None, None, False
+
+        def getCurrentWatermarkMs(self):
+            return 1000
+
+        @property
+        def getOption(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def setTimeoutTimestamp(self, until):
+            self.until = until
+
+        def remove(self):
+            self.value, self.exists = None, False
+
+    names = ["job", "position", "blank", "failed", "total", "at_ms", "at"]
+    rows = [(5, 0, False, False, 3, 1500, 0), (5, 1, False, True, 3, 1700, 0), (9, 0, False, False, 2, 990, 0), (5, 1, False, False, 3, 1600, 0)]
+    rows += [(5, 0, True, False, 3, 1500, 0), (9, 0, False, True, 2, 1200, 0), (2, 4, False, False, 1, 1100, 0), (5, 7, False, False, 3, 1200, 0)]
+    frame = pd.DataFrame(rows, columns=names).astype({"at": "datetime64[ns]"})
+
+    def run(frames, kept):
+        return [tuple(r) for out in state._job_buckets(100)((3,), iter(frames), kept) for r in out.itertuples(index=False)]
+
+    found = []
+    for held in (1, 2, 100):
+        monkeypatch.setattr(state, "JOB_ROWS", held)
+        kept = Kept()
+        found.append((run([frame[n : n + 1] for n in range(len(frame))], kept), kept.until, kept.value))
+    assert found[0] == found[1] == found[2]
+    assert found[0][:2] == ([(2, 1, 1, 0), (5, 4, 3, 1)], 1200)
+    # one more call brings what job 9 waits for; what was delivered before changes nothing
+    assert run([frame, frame.assign(position=1)[5:6]], kept) == [(9, 2, 1, 1)]
+    assert run([frame[:0]], kept) == [] and kept.exists
+    kept.getCurrentWatermarkMs = lambda: 5000
+    assert run([frame[:0]], kept) == [] and not kept.exists
+
+
 def test_unique_urls_are_forgotten(spark, files, tmp_path):
     add, stream = files
     schema = "url string, seen timestamp"
